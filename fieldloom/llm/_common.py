@@ -1,0 +1,53 @@
+"""Pieces shared by the training-data operators: durable tables and components."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``; a temporary folder only where it is unset (tests)."""
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not d:
+        d = f"file://{tempfile.mkdtemp(prefix='fieldloom-')}"
+        spark.conf.set("spark.checkpoint.dir", d)
+    return d.rstrip("/")
+
+
+def durable(df: DataFrame, codec: str = "zstd") -> DataFrame:
+    """Write a frame as a table in the shared folder and read it again: cuts lineage and survives lost executors."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/fieldloom-{uuid.uuid4().hex}"
+    df.write.option("compression", codec).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def partitions(spark: SparkSession) -> int:
+    """Shuffle partitions the session asks for; it grows with the input on a sized cluster."""
+    return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def components(edges: DataFrame, left: str, right: str) -> DataFrame:
+    """Connected components of undirected edges: (node, component = smallest node reachable).
+
+    Labels fall along edges and are then shortened by pointer jumping, so the
+    rounds grow with the logarithm of a component's diameter. Every round is a
+    durable table; nothing but one count per round reaches the driver. A hub
+    with very many edges is pre-aggregated by ``min`` before its shuffle.
+    """
+    one_way = edges.select(F.col(left).alias("a"), F.col(right).alias("b")).where("a <> b")
+    e = durable(one_way.union(one_way.select("b", "a")).groupBy("a", "b").agg(F.lit(1).alias("one")).select("a", "b"))
+    labels = durable(e.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
+    while True:
+        near = e.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        jump = labels.select(F.col("node").alias("at"), F.col("label").alias("far"))
+        step = durable(step.join(jump, step["label"] == jump["at"], "left").select("node", "old", F.coalesce(F.least("label", "far"), "label").alias("label")))
+        changed = step.where("label <> old").limit(1).count()
+        labels = step.select("node", "label")
+        if not changed:
+            return labels.withColumnRenamed("label", "component")

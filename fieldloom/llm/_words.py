@@ -1,0 +1,126 @@
+"""Columnar words: whole Arrow batches of texts become word codes without a Python object per word.
+
+A word is a run of bytes other than 0x20 and 0x09-0x0D. A chunk's words are
+dictionary-encoded, so Python touches each distinct word once per chunk.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+
+#: Bytes of text handled at once; bounds a task's memory however long its partition is. A longer text is one chunk.
+CHUNK_BYTES = 8 << 20
+
+U = np.uint64
+#: Odd multipliers of the polynomial and finishing steps of the 64-bit hashes.
+BASE, MIX1, MIX2 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
+
+
+def mix(h: np.ndarray) -> np.ndarray:
+    """Bijective finisher of 64-bit hashes."""
+    h = (h ^ (h >> U(30))) * MIX1
+    h = (h ^ (h >> U(27))) * MIX2
+    return h ^ (h >> U(31))
+
+
+def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with about ``limit`` bytes of text each, one row at least."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + limit, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
+def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts behind one another (null: none) and each text's first byte, with the end."""
+    if isinstance(texts, pa.ChunkedArray):
+        texts = texts.combine_chunks()
+    texts = pc.fill_null(texts.cast(pa.large_binary()) if pa.types.is_binary(texts.type) or pa.types.is_large_binary(texts.type) else texts.cast(pa.large_string()), b"" if pa.types.is_binary(texts.type) or pa.types.is_large_binary(texts.type) else "")
+    if not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[off[0] : off[-1]]
+    return data, off - off[0]
+
+
+def space(data: np.ndarray) -> np.ndarray:
+    """Which bytes separate words."""
+    return (data == 32) | ((data >= 9) & (data <= 13))
+
+
+def lower(data: np.ndarray) -> np.ndarray:
+    """A-Z in lower case."""
+    return np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
+
+
+def strings(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Binary array of pieces that lie behind one another."""
+    off = np.zeros(len(lengths) + 1, np.int64)
+    np.cumsum(lengths, out=off[1:])
+    return pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+@dataclass
+class Words:
+    """doc[i]:doc[i + 1] are text i's places in codes; a code is a place in distinct."""
+
+    doc: np.ndarray
+    codes: np.ndarray
+    distinct: pa.Array
+
+    def owner(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.doc) - 1), np.diff(self.doc))
+
+    def hashes(self) -> np.ndarray:
+        """64-bit hash of each distinct word."""
+        h = xxhash.xxh3_64_intdigest
+        return np.fromiter(map(h, self.distinct.to_pylist()), np.uint64, len(self.distinct))
+
+
+def words(texts: pa.Array, fold: bool = False) -> Words:
+    """Words of every text; fold: A-Z lower-cased."""
+    data, off = raw(texts)
+    if fold:
+        data = lower(data)
+    ws = space(data)
+    edge = np.zeros(len(data) + 1, bool)
+    edge[off] = True
+    before = np.ones(len(data), bool)
+    before[1:] = ws[:-1]
+    starts = np.flatnonzero(~ws & (before | edge[:-1]))
+    after = np.ones(len(data), bool)
+    after[:-1] = ws[1:]
+    ends = np.flatnonzero(~ws & (after | edge[1:])) + 1
+    coded = strings(data[~ws], ends - starts).dictionary_encode()
+    return Words(np.searchsorted(starts, off).astype(np.int64), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary)
+
+
+def sequences(h: np.ndarray, stop: np.ndarray, k: int) -> np.ndarray:
+    """Hash of the k words from each place on, fewer at a text's end; stop: the end of each place's text."""
+    at, out = np.arange(len(h)), np.zeros(len(h), np.uint64)
+    power, n = U(1), np.minimum(stop - at, k)
+    for j in range(k):
+        ok = at + j < stop
+        out[ok] += h[at[ok] + j] * power
+        with np.errstate(over="ignore"):
+            power = power * BASE
+    return mix(out + n.astype(np.uint64) * MIX2)
+
+
+def flat_ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... of every range behind one another."""
+    if not len(starts):
+        return np.zeros(0, np.int64)
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1]) + np.repeat(starts - (ends - lengths), lengths)
