@@ -9,9 +9,10 @@ repeats and their words are removed.
 
 Frequent minimisers are found with a table of counters of fixed size (CELLS); a
 cell with more than 1/HOT of all super-k-mers is hot, so there are fewer than
-HOT of them. Super-k-mers of hot cells are cut into single windows that are
-aggregated before the shuffle and joined to their first place; no task
-gathers a hot group.
+HOT of them. Buckets of hot cells are salted by document: each salted bucket
+settles the repeats within it and passes on one first place per window; the
+least of those, aggregated per window, settles the rest. No task gathers a hot
+group.
 
 Null text has no words. Rows of one doc_id count as one document. Documents of
 under 20 words are never changed. Null ids sort first.
@@ -21,14 +22,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import chain, groupby
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, table, words  # noqa: F401
+from .common import Cache, cut, words
 
 SPAN, MER, CELLS, HOT = 20, 3, 1 << 16, 4096
 RUNS = "mini bigint, cell int, doc_id bigint, start bigint, n bigint, again boolean, packed string"
@@ -103,50 +104,45 @@ def _place(doc_id, start) -> tuple:
     return (False, 0, start) if pd.isna(doc_id) else (True, int(doc_id), start)
 
 
+FOUND = "window binary, doc_id bigint, starts array<bigint>"
+
+
 def _bucket(span: int):
-    """Windows that repeat an earlier one, per super-k-mer; rows arrive sorted by minimiser, document and place."""
+    """Windows that repeat an earlier one of their bucket, per super-k-mer; for salted buckets also each window's first place there.
+
+    Rows arrive sorted by minimiser, salt, document and place.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def rows():
             for b in batches:
-                yield from zip(b["mini"], b["doc_id"], b["start"], b["n"], b["again"], b["packed"])
+                yield from zip(b["mini"], b["salt"], b["doc_id"], b["start"], b["n"], b["again"], b["packed"])
+
+        def frame(out):
+            return pd.DataFrame(out, columns=["window", "doc_id", "starts"]).astype({"doc_id": "Int64"})
 
         out: list[tuple] = []
-        for _, group in groupby(rows(), key=lambda r: r[0]):
+        for (_, salt), group in groupby(rows(), key=lambda r: r[:2]):
             first: dict[tuple, tuple] = {}
             held = next(group)
             following = next(group, None)
-            if following is None and not held[4]:
+            if following is None and not held[5] and salt < 0:
                 continue
-            queue = [held] if following is None else [held, following]
-            while queue:
-                _, doc_id, start, n, _, text = queue.pop(0)
+            for _, _, doc_id, start, n, _, text in chain([held] if following is None else [held, following], group):
                 ws, starts = text.split(" "), []
                 for i in range(n):
                     at = _place(doc_id, start + i)
                     if first.setdefault(tuple(ws[i : i + span]), at) < at:
                         starts.append(start + i)
                 if starts:
-                    out.append((doc_id, starts))
-                if not queue and (more := next(group, None)) is not None:
-                    queue.append(more)
-            if len(out) > 10_000:
-                yield pd.DataFrame(out, columns=["doc_id", "starts"]).astype({"doc_id": "Int64"})
-                out = []
-        yield pd.DataFrame(out, columns=["doc_id", "starts"]).astype({"doc_id": "Int64"})
-
-    return run
-
-
-def _windows(span: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for doc_id, start, n, text in zip(b["doc_id"], b["start"], b["n"], b["packed"]):
-                ws = text.split(" ")
-                for i in range(n):
-                    out.append((hashlib.blake2b(" ".join(ws[i : i + span]).encode("utf-8", "surrogatepass"), digest_size=16).digest(), doc_id, start + i))
-            yield pd.DataFrame(out, columns=["window", "doc_id", "start"]).astype({"doc_id": "Int64"})
+                    out.append((None, doc_id, starts))
+                if len(out) > 10_000:
+                    yield frame(out)
+                    out = []
+            if salt >= 0:
+                for w, (known, doc_id, start) in first.items():
+                    out.append((hashlib.blake2b(" ".join(w).encode("utf-8", "surrogatepass"), digest_size=16).digest(), doc_id if known else None, [start]))
+        yield frame(out)
 
     return run
 
@@ -155,18 +151,21 @@ def repeats(docs: DataFrame, span: int = SPAN, mer: int = MER) -> DataFrame:
     """(doc_id, starts): start places of windows that repeat an earlier one, a row or more per document."""
     count = runs(docs, span, mer, packed=False).groupBy("cell").agg(F.sum("n").alias("n")).collect()
     total = sum(r["n"] for r in count)
-    hot = [r["cell"] for r in count if r["n"] > max(64, total / HOT)]
-    rows = runs(docs, span, mer)
-    cold = rows.where(~F.col("cell").isin(hot)) if hot else rows
-    sorted_rows = cold.select("mini", "doc_id", "start", "n", "again", "packed").repartition("mini").sortWithinPartitions("mini", "doc_id", "start")
-    found = sorted_rows.mapInPandas(_bucket(span), "doc_id bigint, starts array<bigint>")
+    most = max(64, total / HOT)
+    hot = [r["cell"] for r in count if r["n"] > most]
+    salts = int(max((r["n"] for r in count), default=0) / most) + 1
+    salt = F.lit(-1).cast("long")
+    if hot:
+        salt = F.when(F.col("cell").isin(hot), F.pmod(F.xxhash64("doc_id"), F.lit(salts))).otherwise(salt)
+    rows = runs(docs, span, mer).withColumn("salt", salt).select("mini", "salt", "doc_id", "start", "n", "again", "packed")
+    found = rows.repartition("mini", "salt").sortWithinPartitions("mini", "salt", "doc_id", "start").mapInPandas(_bucket(span), FOUND)
     if not hot:
-        return found
-    windows = rows.where(F.col("cell").isin(hot)).select("doc_id", "start", "n", "packed").mapInPandas(_windows(span), "window binary, doc_id bigint, start bigint")
-    place = F.struct(F.col("doc_id"), F.col("start"))
-    first = windows.groupBy("window").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("window", "first")
-    later = windows.join(first, "window").where(place > F.col("first"))
-    return found.unionByName(later.groupBy("doc_id").agg(F.collect_list("start").alias("starts")))
+        return found.select("doc_id", "starts")
+    found = cut(found)
+    local = found.where("window is not null").select("window", F.struct(F.col("doc_id"), F.col("starts")[0].alias("start")).alias("place"))
+    first = local.groupBy("window").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last").select("window", "first")
+    later = local.join(first, "window").where("place > first").select(F.col("place.doc_id").alias("doc_id"), F.array("place.start").alias("starts"))
+    return found.where("window is null").select("doc_id", "starts").unionByName(later)
 
 
 def dedup(docs: DataFrame, span: int = SPAN, mer: int = MER) -> DataFrame:
