@@ -12,7 +12,8 @@ are therefore found by a rule that cannot lose a link: two sets of J >= 0.85
 differ in at most k elements, so over k + 1 groups at least one group is equal.
 Each set sends one key per group to the level of its size.
 
-Per key, members are compared with its least member (a star, not all pairs).
+Per key, members pair with its least member (a star, not all pairs), and each is
+verified against the least partner that passes the bound.
 Components follow; then only pairs of one key that are still in different
 components are compared. That decides every pair that could join two components.
 
@@ -134,15 +135,15 @@ def _verify(percent: int, k: int):
     return run
 
 
-def links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
-    """Pairs (a, b) that pass the bound of coordinate minima and then the exact test."""
+def links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int, k: int, one: bool = False) -> DataFrame:
+    """Pairs (a, b) that pass the bound of coordinate minima and then the exact test; with one, only the least a of each b is tested."""
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("counts").alias(f"c{x}"))
     least = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
     near = pairs.join(side("a"), "a").join(side("b"), "b").where((100 + percent) * least >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
+    if one:
+        near = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     near = cut(near)
     text = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}"))
-    used = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
-    texts = texts.join(used, "doc_id", "left_semi")
     return cut(near.join(text("a"), "a").join(text("b"), "b").mapInPandas(_verify(percent, k), "a bigint, b bigint"))
 
 
@@ -172,7 +173,7 @@ def near_groups(docs: DataFrame, percent: int = 85, k: int = 4) -> DataFrame:
     heads = keys.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head < tail").select("key", "head")
     shared = cut(keys.join(heads, "key"))
     stars = shared.where("node > head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    found = links(stars, nodes, texts, percent, k)
+    found = links(stars, nodes, docs, percent, k, one=True)
     comp = components(found)
     with_comp = shared.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
     mixed = with_comp.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
@@ -181,7 +182,7 @@ def near_groups(docs: DataFrame, percent: int = 85, k: int = 4) -> DataFrame:
     facing = left.join(kinds, "key").where("comp < other")
     members = left.select("key", F.col("comp").alias("other"), F.col("node").alias("b"))
     cross = facing.join(members, ["key", "other"]).select(F.col("node").alias("x"), "b").select(F.least("x", "b").alias("a"), F.greatest("x", "b").alias("b")).distinct()
-    more = links(cross.join(stars, ["a", "b"], "left_anti"), nodes, texts, percent, k)
+    more = links(cross, nodes, docs, percent, k)
     if more.limit(1).count():
         comp = components(found.union(more))
     label = reps.join(comp, "node", "left").select("digest", F.coalesce("comp", "node").alias("__comp"))
