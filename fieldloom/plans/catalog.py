@@ -1,9 +1,63 @@
-"""Queries of the engine's own operators."""
+"""Queries of the engine's own operators, each with its DuckDB equivalent."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import numbers
+from ..operators import quality, stores
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def customer_values(spark, d) -> DataFrame:
+    """Customers as records: form is the market segment, fields are numbers."""
+    spent = read(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").cast("double").alias("order_count"), F.sum(F.col("o_totalprice").cast("double")).alias("total_spend"))
+    c = read(spark, d, "customer").join(spent, F.col("c_custkey") == F.col("o_custkey"), "left")
+    wide = c.select(F.col("c_mktsegment").alias("form"), F.col("c_custkey").alias("record_key"), F.col("c_acctbal").cast("double").alias("acctbal"), F.coalesce("order_count", F.lit(0.0)).alias("order_count"), F.round(F.coalesce("total_spend", F.lit(0.0)), 2).alias("total_spend"))
+    return wide.unpivot(["form", "record_key"], ["acctbal", "order_count", "total_spend"], "field", "value")
 
 
 def queries() -> dict:
-    return {}
+    return {
+        "outliers_iqr": lambda s, d: quality.outliers(customer_values(s, d)),
+        "dedup_names": lambda s, d: quality.dedup_names(read(s, d, "part").select("p_partkey", "p_brand"), "p_brand", ["p_partkey"], []),
+        "upsert_last": lambda s, d: stores.upsert_last(read(s, d, "events"), "user_id", "event_id", ["event_type", "value"]),
+        "corrections": lambda s, d: stores.corrected(
+            read(s, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("value"), F.lit("check").alias("flag")),
+            read(s, d, "orders").where("o_orderkey % 7 = 0").select("o_orderkey", F.lit("X").alias("new_value")), ["o_orderkey"]),
+        "summary_first_nonempty": lambda s, d: stores.first_non_empty(read(s, d, "orders"), "o_custkey", "o_orderkey", "o_orderstatus"),
+        "incremental_sync": lambda s, d: stores.incremental(read(s, d, "events").select("event_id", "user_id", "event_type"), "event_id", 100),
+        "entries_idempotent": lambda s, d: stores.idempotent(read(s, d, "events").unionByName(read(s, d, "events")).withColumn("key", F.concat_ws("/", "user_id", "event_type", "event_id")), "key", "event_id"),
+        "label_counts": lambda s, d: stores.label_counts(read(s, d, "documents"), "lang"),
+        "first_number": lambda s, d: read(s, d, "pages").select("page_id", numbers.first_number(F.col("url")).alias("number")),
+        "normalize_key": lambda s, d: read(s, d, "part").select("p_partkey", numbers.normalized_key(F.col("p_brand")).alias("norm_key")),
+    }
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return {
+        "outliers_iqr": """
+WITH t AS (SELECT o_custkey, count(*)::DOUBLE AS n, sum(o_totalprice::DOUBLE) AS s FROM orders GROUP BY 1),
+w AS (SELECT c_mktsegment AS form, c_custkey AS record_key, c_acctbal::DOUBLE AS acctbal, coalesce(n, 0) AS order_count, round(coalesce(s, 0), 2) AS total_spend FROM customer LEFT JOIN t ON c_custkey = o_custkey),
+v AS (SELECT form, record_key, 'acctbal' AS field, acctbal AS value FROM w UNION ALL SELECT form, record_key, 'order_count', order_count FROM w UNION ALL SELECT form, record_key, 'total_spend', total_spend FROM w),
+z AS (SELECT *, avg((value = 0)::INT) OVER g >= 0.3 AS zh, min(value) OVER g AS mn FROM v WHERE value IS NOT NULL WINDOW g AS (PARTITION BY form, field)),
+u AS (SELECT *, CASE WHEN NOT (zh AND value = 0) THEN value END AS used FROM z),
+q AS (SELECT form, field, quantile_cont(used, 0.25) AS q1, quantile_cont(used, 0.75) AS q3, count(used) AS n FROM u GROUP BY ALL),
+b AS (SELECT u.*, q.n, q3 - q1 AS iqr, CASE WHEN mn >= 0 AND q1 - 3 * (q3 - q1) < 0 THEN 0 ELSE q1 - 3 * (q3 - q1) END AS lo, q3 + 3 * (q3 - q1) AS hi FROM u JOIN q USING (form, field)),
+f AS (SELECT *, n >= 4 AND iqr > 0 AND used IS NOT NULL AND (value < lo OR value > hi) AS far FROM b),
+h AS (SELECT *, count(*) FILTER (WHERE far) OVER (PARTITION BY form, field) AS hits FROM f)
+SELECT form, record_key, field, value, round(lo, 4) AS lo, round(hi, 4) AS hi, coalesce(far, false) AND (hits <= 1 OR hits <= 0.15 * n) AS is_outlier FROM h""",
+        "dedup_names": "SELECT p_partkey, p_brand, CASE WHEN n = 1 THEN p_brand ELSE p_brand || ' (' || n || ')' END AS unique_name FROM (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part WHERE trim(p_brand) <> '')",
+        "upsert_last": "SELECT user_id, min(event_id) AS first_pos, max_by(event_type, event_id) AS event_type, max_by(value, event_id) AS value FROM events GROUP BY user_id",
+        "corrections": "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS value, CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE 'check' END AS flag FROM orders",
+        "summary_first_nonempty": "SELECT o_custkey, arg_min(o_orderstatus, o_orderkey) FILTER (WHERE trim(o_orderstatus) <> '') AS first_value FROM orders GROUP BY 1",
+        "incremental_sync": "SELECT event_id, user_id, event_type FROM events WHERE event_id > 100 ORDER BY event_id LIMIT 500",
+        "entries_idempotent": "SELECT concat_ws('/', user_id, event_type, event_id) AS key, min(event_id) AS seq, 2 * count(*) AS times_sent FROM events GROUP BY 1",
+        "label_counts": "SELECT coalesce(nullif(trim(lang), ''), '(none)') AS label, count(*) AS n FROM documents GROUP BY 1",
+        "first_number": r"SELECT page_id, nullif(replace(regexp_extract(url, '([+-]?[0-9][0-9,]*(?:\.[0-9]+)?)', 1), ',', ''), '') AS number FROM pages",
+        "normalize_key": r"SELECT p_partkey, regexp_replace(lower(p_brand), '[\s:·.,()\[\]]', '', 'g') AS norm_key FROM part",
+    }
