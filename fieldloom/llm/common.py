@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from contextlib import contextmanager
+from uuid import uuid4
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +37,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def table_cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a compressed table in the shared folder."""
+    checkpoint_dir(spark := df.sparkSession)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def settings(spark: SparkSession, **values):
+    """Settings (two underscores for a point) for the jobs run inside; then the former ones."""
+    keys = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def utf8(col):
     return F.coalesce(col, F.lit(""))
 
@@ -52,3 +77,38 @@ class Cache(dict):
         if len(key) <= 256:
             self[key] = value
         return value
+
+
+SPACE = np.zeros(256, bool)
+SPACE[[32, *range(9, 14)]] = True
+FOLD = np.arange(256, dtype=np.uint8)
+FOLD[65:91] += 32
+CODES = np.random.default_rng(20).integers(0, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+BASE = np.uint64(0x9E3779B97F4A7C15)
+_powers = np.ones(1, np.uint64)
+
+
+def mix(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return h ^ (h >> np.uint64(29))
+
+
+def word_hashes(raw: bytes, fold: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of a UTF-8 text, and their first and end bytes; fold lower-cases A-Z.
+
+    A word's hash is a polynomial over random codes of its bytes, so a whole text takes a few array operations.
+    """
+    global _powers
+    b = np.frombuffer(raw, np.uint8)
+    at = np.flatnonzero(~SPACE[b])
+    if not len(at):
+        return np.zeros(0, np.uint64), at, at
+    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1] + 1)))
+    size = np.diff(np.append(first, len(at)))
+    if size.max() > len(_powers):
+        _powers = np.multiply.accumulate(np.full(2 * int(size.max()), BASE))
+    place = np.arange(len(at)) - np.repeat(first, size)
+    b = b[at]
+    h = np.add.reduceat(CODES[FOLD[b] if fold else b] * _powers[place], first)
+    start = at[first]
+    return mix(h ^ size.astype(np.uint64) * BASE), start, start + size

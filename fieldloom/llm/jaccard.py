@@ -32,35 +32,27 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, cut, words
+from .common import cut, mix, settings, table_cut, word_hashes
 
 RATIO, GROUPS = 1.4, 64
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
-def _cache() -> Cache:
-    import xxhash
-
-    return Cache(lambda w: xxhash.xxh64_intdigest(w.translate(LOWER).encode("utf-8", "surrogatepass")))
-
-
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * B
-    return h ^ (h >> np.uint64(29))
-
-
-def shingles(text: str | None, cache: Cache, k: int = 4) -> np.ndarray:
-    """Sorted distinct hashes of the k-word shingles."""
-    ws = words(text)
-    if not ws:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(cache.__getitem__, ws), np.uint64, len(ws))
+FILTER = {
+    "spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold": "0",
+    "spark__sql__optimizer__runtime__bloomFilter__creationSideThreshold": "1TB",
+    "spark__sql__optimizer__runtime__bloomFilter__maxNumBits": "67108864",
+}
+
+
+def shingles(raw: bytes | None, k: int = 4) -> np.ndarray:
+    """Sorted distinct hashes of the k-word shingles of a UTF-8 text."""
+    h = word_hashes(raw or b"", fold=True)[0]
+    if not len(h):
+        return h
     width = min(k, len(h))
     n = len(h) - width + 1
     s = np.full(n, width, np.uint64)
     for i in range(width):
-        s = _mix((s ^ h[i : i + n]) * A)
+        s = mix((s ^ h[i : i + n]) * A)
     return np.unique(s)
 
 
@@ -79,36 +71,34 @@ def group_keys(s: np.ndarray, level: int, percent: int) -> np.ndarray:
     """One key per group; over that many groups two linked sets of the level have an equal group."""
     top = ceil(RATIO ** (level + 1)) + 1
     groups = 2 * top - 2 * need(top, top, percent) + 2
-    g = (_mix(s * A + np.uint64(7)) % np.uint64(groups)).astype(np.int64)
+    g = (mix(s * A + np.uint64(7)) % np.uint64(groups)).astype(np.int64)
     sums = np.zeros(groups, np.uint64)
-    np.add.at(sums, g, _mix(s ^ B))
-    return _mix((sums + np.arange(groups, dtype=np.uint64)) * A ^ np.uint64(level * 2654435761 + 1)).view(np.int64)
+    np.add.at(sums, g, mix(s ^ B))
+    return mix((sums + np.arange(groups, dtype=np.uint64)) * A ^ np.uint64(level * 2654435761 + 1)).view(np.int64)
 
 
 def sets(docs: DataFrame, k: int = 4) -> DataFrame:
-    """(doc_id, n, digest, counts) per row."""
+    """(doc_id, n, digest, counts) per row of docs(doc_id, raw)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = _cache()
         for b in batches:
             out = []
-            for doc_id, text in zip(b["doc_id"], b["text"]):
-                s = shingles(text, cache, k)
+            for doc_id, raw in zip(b["doc_id"], b["raw"]):
+                s = shingles(raw, k)
                 counts = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS)
                 out.append((doc_id, len(s), hashlib.md5(s.tobytes()).digest(), counts.astype(np.int32)))
             yield pd.DataFrame(out, columns=["doc_id", "n", "digest", "counts"]).astype({"doc_id": "Int64"})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, n bigint, digest binary, counts array<int>")
+    return docs.mapInPandas(run, "doc_id bigint, n bigint, digest binary, counts array<int>")
 
 
 def _emit(percent: int, k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = _cache()
         for b in batches:
             for at in range(0, len(b), 200):
                 ids, found = [], []
-                for doc_id, text in zip(b["doc_id"][at : at + 200], b["text"][at : at + 200]):
-                    s = shingles(text, cache, k)
+                for doc_id, raw in zip(b["doc_id"][at : at + 200], b["raw"][at : at + 200]):
+                    s = shingles(raw, k)
                     for level in levels(len(s), percent) if len(s) else ():
                         found.append(group_keys(s, level, percent))
                         ids.append(np.full(len(found[-1]), doc_id, np.int64))
@@ -120,14 +110,13 @@ def _emit(percent: int, k: int):
 
 def _verify(percent: int, k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = _cache()
         last: dict = {}
         for b in batches:
             keep = []
-            for a, x, y in zip(b["a"], b["ta"], b["tb"]):
+            for a, x, y in zip(b["a"], b["ra"], b["rb"]):
                 if a not in last:
-                    last = {a: shingles(x, cache, k)}
-                t, s = shingles(y, cache, k), last[a]
+                    last = {a: shingles(x, k)}
+                t, s = shingles(y, k), last[a]
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 keep.append(100 * both >= percent * (len(s) + len(t) - both))
             yield b.loc[keep, ["a", "b"]]
@@ -135,16 +124,23 @@ def _verify(percent: int, k: int):
     return run
 
 
-def links(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int, k: int, one: bool = False) -> DataFrame:
-    """Pairs (a, b) that pass the bound of coordinate minima and then the exact test; with one, only the least a of each b is tested."""
+def links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, k: int, one: bool = False) -> DataFrame:
+    """Pairs (a, b), a < b, that pass the bound of coordinate minima and then the exact test; with one, only the least a of each b is tested.
+
+    Only texts of such pairs are moved: Spark's runtime filter, of 8 MB at most, drops most others at the scan, and the join drops the rest.
+    """
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("counts").alias(f"c{x}"))
     least = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
     near = pairs.join(side("a"), "a").join(side("b"), "b").where((100 + percent) * least >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
     if one:
         near = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    near = cut(near)
-    text = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}"))
-    return cut(near.join(text("a"), "a").join(text("b"), "b").mapInPandas(_verify(percent, k), "a bigint, b bigint"))
+    near = table_cut(near)
+    wanted = table_cut(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    with settings(docs.sparkSession, **FILTER):
+        found = docs.join(wanted.where("doc_id < 9223372036854775807"), "doc_id").groupBy("doc_id").agg(F.first("raw").alias("raw"))
+        texts = table_cut(found)
+    text = lambda x: texts.select(F.col("doc_id").alias(x), F.col("raw").alias(f"r{x}"))
+    return table_cut(near.join(text("b"), "b").join(text("a"), "a").mapInPandas(_verify(percent, k), "a bigint, b bigint"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -163,21 +159,20 @@ def components(edges: DataFrame) -> DataFrame:
 
 def near_groups(docs: DataFrame, percent: int = 85, k: int = 4) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of docs(doc_id, text)."""
-    docs = docs.select("doc_id", "text")
-    all_sets = cut(sets(docs, k))
-    reps = all_sets.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("counts").alias("counts"))
-    reps = cut(reps)
+    docs = docs.select("doc_id", F.col("text").cast("binary").alias("raw"))
+    all_sets = table_cut(sets(docs, k))
+    least = all_sets.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"))
+    reps = table_cut(all_sets.select("digest", "n", "counts", F.col("doc_id").alias("node")).join(least, ["digest", "node"]).dropDuplicates(["node", "digest"]))
     nodes = reps.select("node", "n", "counts")
-    texts = docs.join(reps.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    keys = texts.mapInPandas(_emit(percent, k), "key bigint, node bigint")
+    keys = docs.where("doc_id is not null").mapInPandas(_emit(percent, k), "key bigint, node bigint")
     heads = keys.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head < tail").select("key", "head")
-    shared = cut(keys.join(heads, "key"))
+    shared = table_cut(keys.join(heads, "key").join(nodes.select("node"), "node", "left_semi"))
     stars = shared.where("node > head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     found = links(stars, nodes, docs, percent, k, one=True)
     comp = components(found)
     with_comp = shared.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
     mixed = with_comp.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    left = cut(with_comp.join(mixed, "key", "left_semi"))
+    left = table_cut(with_comp.join(mixed, "key", "left_semi"))
     kinds = left.select("key", F.col("comp").alias("other")).distinct()
     facing = left.join(kinds, "key").where("comp < other")
     members = left.select("key", F.col("comp").alias("other"), F.col("node").alias("b"))

@@ -68,7 +68,7 @@ def test_bpe(docs, rows, empty):
 def _components(rows):
     sets = {}
     for k, t in rows.items():
-        ws = [w.translate(jaccard.LOWER) for w in words(t)]
+        ws = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in words(t)]
         sets[k] = {tuple(ws[i : i + 4]) for i in range(len(ws) - 3)} if len(ws) >= 4 else {tuple(ws)} if ws else set()
     top = {k: k for k in rows}
 
