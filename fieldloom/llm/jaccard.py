@@ -7,15 +7,15 @@ overlap by the sum of coordinate minima, and only pairs whose bound reaches the
 overlap needed are verified on their sets.
 
 The boxes of an R-tree over such vectors overlap almost wholly (64 nearly
-independent coordinates), so its inner levels prune nothing. Candidate leaves
-are therefore found by a rule that cannot lose a link: two sets of J >= 0.85
+independent coordinates), so its upper levels prune nothing and are left out.
+Leaves are therefore made below a rule that cannot lose a link: two sets of J >= 0.85
 differ in at most k elements, so over k + 1 groups at least one group is equal.
 Each set sends one key per group to the level of its size.
 
 Per key, members pair with its least member (a star, not all pairs), and each is
 verified against the least partner that passes the bound.
-Components follow; then only pairs of one key that are still in different
-components are compared. That decides every pair that could join two components.
+Components follow; then the leaves of each key are compared, and in them only
+points that are still in different components. That decides every pair that could join two components.
 
 Null text and texts without words have an empty set and link with nothing.
 Repeated rows are exact copies. Null ids are kept, as their own component (null).
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, mix, settings, table_cut, word_hashes
 
-RATIO, GROUPS = 1.4, 64
+RATIO, GROUPS, MANY, DEPTH, LEAF = 1.4, 64, 40, 3, 256
 A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 FILTER = {
     "spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold": "0",
@@ -61,20 +61,48 @@ def need(a: int, b: int, percent: int) -> int:
     return -(-percent * (a + b) // (100 + percent))
 
 
+def alone(n: int, percent: int) -> bool:
+    """Whether a set of n elements can only link with an equal one."""
+    return need(n, n + 1, percent) > n and need(n, n - 1, percent) > n - 1
+
+
 def levels(n: int, percent: int) -> list[int]:
     """A set's own level, and the next when a larger partner may lie there."""
     own = int(log(n) / log(RATIO) + 1e-9)
-    return [own] if 100 * n / percent + 1 < RATIO ** (own + 1) else [own, own + 1]
+    return [own] if alone(n, percent) or 100 * n / percent + 1 < RATIO ** (own + 1) else [own, own + 1]
 
 
 def group_keys(s: np.ndarray, level: int, percent: int) -> np.ndarray:
-    """One key per group; over that many groups two linked sets of the level have an equal group."""
+    """Keys of the groups; over that many groups two linked sets of the level have an equal group.
+
+    A group that is empty in both sets says little and would gather unlike sets
+    under one key. From MANY groups on it has no key: that all equal groups of
+    two linked sets are empty has a chance under 2 ** -57, less than that two
+    hashes collide. With fewer groups the whole set is dealt again by another
+    hash, and those keys stand for the empty group. A set that can only link
+    with an equal one has one key.
+    """
+    if alone(len(s), percent):
+        return mix(mix(s ^ B).sum(keepdims=True) * A).view(np.int64)
     top = ceil(RATIO ** (level + 1)) + 1
     groups = 2 * top - 2 * need(top, top, percent) + 2
-    g = (mix(s * A + np.uint64(7)) % np.uint64(groups)).astype(np.int64)
-    sums = np.zeros(groups, np.uint64)
-    np.add.at(sums, g, mix(s ^ B))
-    return mix((sums + np.arange(groups, dtype=np.uint64)) * A ^ np.uint64(level * 2654435761 + 1)).view(np.int64)
+    place = np.arange(groups, dtype=np.uint64)
+
+    def deal(seed: int, depth: int) -> Iterator[np.ndarray]:
+        g = (mix(s * A + np.uint64(7 + seed)) % np.uint64(groups)).astype(np.int64)
+        sums = np.zeros(groups, np.uint64)
+        np.add.at(sums, g, mix(s ^ B))
+        keys = mix((sums + place) * A ^ np.uint64((level * 2654435761 + 1 + seed) & (2**64 - 1)))
+        empty = np.flatnonzero(np.bincount(g, minlength=groups) == 0)
+        if not len(empty) or depth == DEPTH:
+            yield keys
+            return
+        yield np.delete(keys, empty)
+        if groups < MANY:
+            for e in empty.tolist():
+                yield from deal((seed * 1_000_003 + e + 1) & (2**62 - 1), depth + 1)
+
+    return np.concatenate(list(deal(0, 0))).view(np.int64)
 
 
 def sets(docs: DataFrame, k: int = 4) -> DataFrame:
@@ -157,6 +185,53 @@ def components(edges: DataFrame) -> DataFrame:
         label = after.select("node", "comp")
 
 
+def _leaves(percent: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def whole() -> Iterator[pd.DataFrame]:
+            held: list[pd.DataFrame] = []
+            for b in batches:
+                if not len(b):
+                    continue
+                at = [0, *(np.flatnonzero((b[["key", "lo", "hi"]].to_numpy()[1:] != b[["key", "lo", "hi"]].to_numpy()[:-1]).any(axis=1)) + 1).tolist(), len(b)]
+                for x, y in zip(at, at[1:]):
+                    part = b.iloc[x:y]
+                    if held and tuple(held[-1][["key", "lo", "hi"]].iloc[0]) != tuple(part[["key", "lo", "hi"]].iloc[0]):
+                        yield pd.concat(held) if len(held) > 1 else held[0]
+                        held = []
+                    held.append(part)
+            if held:
+                yield pd.concat(held)
+
+        for g in whole():
+            counts, n = np.stack(g["counts"].to_numpy()), g["n"].to_numpy()
+            node, comp, leaf = g["node"].to_numpy(), g["comp"].to_numpy(), g["leaf"].to_numpy()
+            lo, hi = np.flatnonzero(leaf == g["lo"].iloc[0]), np.flatnonzero(leaf == g["hi"].iloc[0])
+            if not len(lo) or not len(hi) or (100 + percent) * np.minimum(counts[lo].max(0), counts[hi].max(0)).sum() < percent * (n[lo].min() + n[hi].min()):
+                continue
+            for i in lo:
+                to = hi[(comp[hi] != comp[i]) & (node[hi] > node[i] if leaf[i] == leaf[hi[0]] else True)]
+                to = to[(100 + percent) * np.minimum(counts[i], counts[to]).sum(1) >= percent * (n[i] + n[to])]
+                if len(to):
+                    yield pd.DataFrame({"a": np.minimum(node[i], node[to]), "b": np.maximum(node[i], node[to])})
+
+    return run
+
+
+def leaf_pairs(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of one key and different comp that pass the bound; members(key, node, comp).
+
+    A key's members are dealt over leaves of about LEAF. Each two leaves meet in
+    one group of rows, where the bound of their boxes comes first and that of
+    single points second; no row is made for a pair that fails.
+    """
+    leaves = members.groupBy("key").agg(F.ceil(F.count("*") / LEAF).alias("leaves"))
+    dealt = members.join(leaves, "key").join(nodes, "node").withColumn("leaf", F.pmod(F.xxhash64("node"), "leaves"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("leaves") - 1)))
+    met = met.select("key", F.least("leaf", "other").alias("lo"), F.greatest("leaf", "other").alias("hi"), "leaf", "node", "comp", "n", "counts")
+    met = met.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    return met.mapInPandas(_leaves(percent), "a bigint, b bigint").distinct()
+
+
 def near_groups(docs: DataFrame, percent: int = 85, k: int = 4) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of docs(doc_id, text)."""
     docs = docs.select("doc_id", F.col("text").cast("binary").alias("raw"))
@@ -173,10 +248,7 @@ def near_groups(docs: DataFrame, percent: int = 85, k: int = 4) -> DataFrame:
     with_comp = shared.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
     mixed = with_comp.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
     left = table_cut(with_comp.join(mixed, "key", "left_semi"))
-    kinds = left.select("key", F.col("comp").alias("other")).distinct()
-    facing = left.join(kinds, "key").where("comp < other")
-    members = left.select("key", F.col("comp").alias("other"), F.col("node").alias("b"))
-    cross = facing.join(members, ["key", "other"]).select(F.col("node").alias("x"), "b").select(F.least("x", "b").alias("a"), F.greatest("x", "b").alias("b")).distinct()
+    cross = leaf_pairs(left, nodes, percent)
     more = links(cross, nodes, docs, percent, k)
     if more.limit(1).count():
         comp = components(found.union(more))
