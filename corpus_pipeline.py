@@ -14,8 +14,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each component stays, once."""
-    groups = jaccard.near_groups(docs)
+    """The document with the least id of each component stays, once; five-word shingles and 0.8, while op3 has four words and 0.85."""
+    groups = jaccard.near_groups(docs, percent=80, k=5)
     gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     return kept

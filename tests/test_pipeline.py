@@ -1,0 +1,26 @@
+"""Stages of the corpus pipeline."""
+
+import corpus_pipeline
+from fieldloom.llm.common import words
+
+
+def _similarity(x, y, k):
+    a, b = ({tuple(words(t)[i : i + k]) for i in range(len(words(t)) - k + 1)} for t in (x, y))
+    return len(a & b) / len(a | b)
+
+
+def test_near_duplicates_between_the_thresholds(spark):
+    """Pairs of 5-word similarity >= 0.8 lose a copy even where the 4-word similarity is below 0.85; others stay."""
+    made, gone = {}, set()
+    for pair, (size, changed) in enumerate([(100, 2), (230, 5), (415, 9), (600, 13), (100, 3), (400, 11)]):
+        base = [f"p{pair}w{i}" for i in range(size)]
+        near = list(base)
+        for j in range(changed):
+            near[(j + 1) * size // (changed + 1)] = f"p{pair}new{j}"
+        made[2 * pair], made[2 * pair + 1] = " ".join(base), " ".join(near)
+        if _similarity(made[2 * pair], made[2 * pair + 1], 5) >= 0.8:
+            assert _similarity(made[2 * pair], made[2 * pair + 1], 4) < 0.85
+            gone.add(2 * pair + 1)
+    assert len(gone) == 4
+    docs = spark.createDataFrame(list(made.items()), "doc_id bigint, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == made.keys() - gone
