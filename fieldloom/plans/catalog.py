@@ -21,9 +21,16 @@ def customer_values(spark, d) -> DataFrame:
     return wide.unpivot(["form", "record_key"], ["acctbal", "order_count", "total_spend"], "field", "value")
 
 
+def event_steps(spark, d) -> DataFrame:
+    """Events as records: form is the event type, the field is 5 for most events and else a value in steps of 25."""
+    value = F.when(F.col("event_id") % 50 < 49, 5.0).otherwise(F.floor(F.col("value") / 25) * 25.0)
+    return read(spark, d, "events").select(F.col("event_type").alias("form"), F.col("event_id").alias("record_key"), F.lit("step").alias("field"), value.alias("value"))
+
+
 def queries() -> dict:
     return {
         "outliers_iqr": lambda s, d: quality.outliers(customer_values(s, d)),
+        "outliers_iqr_zero": lambda s, d: quality.outliers(event_steps(s, d)),
         "dedup_names": lambda s, d: quality.dedup_names(read(s, d, "part").select("p_partkey", "p_brand"), "p_brand", ["p_partkey"], []),
         "upsert_last": lambda s, d: stores.upsert_last(read(s, d, "events"), "user_id", "event_id", ["event_type", "value"]),
         "corrections": lambda s, d: stores.corrected(
@@ -51,6 +58,17 @@ b AS (SELECT u.*, q.n, q3 - q1 AS iqr, CASE WHEN mn >= 0 AND q1 - 3 * (q3 - q1)
 f AS (SELECT *, n >= 4 AND iqr > 0 AND used IS NOT NULL AND (value < lo OR value > hi) AS far FROM b),
 h AS (SELECT *, count(*) FILTER (WHERE far) OVER (PARTITION BY form, field) AS hits FROM f)
 SELECT form, record_key, field, value, round(lo, 4) AS lo, round(hi, 4) AS hi, coalesce(far, false) AND (hits <= 1 OR hits <= 0.15 * n) AS is_outlier FROM h""",
+        "outliers_iqr_zero": """
+WITH v AS (SELECT event_type AS form, event_id AS record_key, 'step' AS field, CASE WHEN event_id % 50 < 49 THEN 5.0::DOUBLE ELSE floor(value::DOUBLE / 25) * 25 END AS value FROM events),
+z AS (SELECT *, avg((value = 0)::INT) OVER (PARTITION BY form, field) >= 0.3 AS zh FROM v WHERE value IS NOT NULL),
+u AS (SELECT *, CASE WHEN NOT (zh AND value = 0) THEN value END AS used FROM z),
+q AS (SELECT form, field, quantile_cont(used, 0.25) AS q1, quantile_cont(used, 0.75) AS q3, count(used) AS n, min(used) AS mn, list_sort(list(used) FILTER (WHERE used IS NOT NULL)) AS xs FROM u GROUP BY ALL),
+m AS (SELECT *, q3 - q1 AS iqr, xs[n // 2 + 1] AS med FROM q),
+e AS (SELECT *, CASE WHEN iqr > 0 THEN q1 - 3 * iqr ELSE med - 3 * greatest(1.0, abs(med)) END AS l, CASE WHEN iqr > 0 THEN q3 + 3 * iqr ELSE med + 3 * greatest(1.0, abs(med)) END AS hi FROM m),
+b AS (SELECT u.*, e.n, CASE WHEN mn >= 0 THEN greatest(l, 0) ELSE l END AS lo, hi FROM u JOIN e USING (form, field)),
+f AS (SELECT *, n >= 4 AND used IS NOT NULL AND (value < lo OR value > hi) AS far FROM b),
+h AS (SELECT *, count(*) FILTER (WHERE far) OVER (PARTITION BY form, field) AS hits FROM f)
+SELECT form, record_key, field, value, round(lo, 4) AS lo, round(hi, 4) AS hi, coalesce(far, false) AND hits <= greatest(2, 0.1 * n) AS is_outlier FROM h""",
         "dedup_names": "SELECT p_partkey, p_brand, CASE WHEN n = 1 THEN p_brand ELSE p_brand || ' (' || n || ')' END AS unique_name FROM (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part WHERE trim(p_brand) <> '')",
         "upsert_last": "SELECT user_id, min(event_id) AS first_pos, max_by(event_type, event_id) AS event_type, max_by(value, event_id) AS value FROM events GROUP BY user_id",
         "corrections": "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS value, CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE 'check' END AS flag FROM orders",
