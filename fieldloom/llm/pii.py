@@ -2,7 +2,12 @@
 
 Found in text: card-like numbers of 13 to 19 digits with a valid Luhn digit,
 calendar dates (yyyy-mm-dd), IPv4 addresses, telephone numbers written with a
-leading plus, and e-mail addresses. Each value is permuted by a keyed Feistel
+leading plus, and e-mail addresses. Numbers that stand side by side are told
+apart: a telephone number or card ends where an address, a date or another card
+begins, and cards are looked for at every number of a run by the Luhn digit.
+After a country code other than 1 and 7 a short number behind a telephone number
+cannot be told from its last digits and counts as such, up to 15 digits in all.
+Each value is permuted by a keyed Feistel
 network within its own format: digits stay digits, separators stay in place,
 the Luhn digit stays valid, a date stays a date of the same 400 years, an
 address stays an address. The permutation depends on key and value alone, so
@@ -22,8 +27,13 @@ from pyspark.sql import functions as F
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9][A-Za-z0-9.-]{0,252}\.[A-Za-z]{2,24}"
 IP = r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9])"
-PHONE = r"\+[0-9](?:[ ().-]{0,2}[0-9]){7,14}(?![0-9])"
-CARD = r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"
+FOURS = r"[0-9]{4}(?:[ -][0-9]{4}){3}(?:(?:[ -][0-9]{4}){4}){0,4}+(?![ -][0-9]{4}(?![0-9]))"
+OTHER = rf"(?!{IP}|{DATE}|(?<![0-9])(?:{FOURS}|[0-9]{{4}}[ -][0-9]{{6}}[ -][0-9]{{5}})(?![0-9A-Za-z]))"
+# +1 and +7 have ten more digits; other numbers go on until an address, date or card begins
+PHONE = rf"\+[17](?:[ ().-]{{0,2}}[0-9]){{10}}(?![0-9])|\+[0-9](?:[ ().-]{{0,2}}[0-9]){{7}}(?:[ ().-]{{0,2}}{OTHER}[0-9]){{0,7}}(?![0-9])"
+# a run of whole numbers with 13 digits or more; card() looks for cards in it
+CARD = rf"(?<![0-9A-Za-z])(?=[0-9](?:[ -]?[0-9]){{12}})[0-9]++(?![A-Za-z])(?:[ -](?!{IP}|{DATE})[0-9]++(?![A-Za-z]))*+"
+FORMS = ((4, 4, 4, 4, 3), (6, 13), (4, 4, 4, 4, 2), (4, 4, 4, 4), (8, 8), (4, 6, 5), (4, 6, 4), (4, 3, 3, 3))
 PATTERN = f"(?:{EMAIL})|(?:{IP})|(?:{DATE})|(?:{PHONE})|(?:{CARD})"
 ROUNDS = 8
 
@@ -77,15 +87,39 @@ def _laid(v: Column, d: Column) -> Column:
     return F.array_join(F.transform(places, put), "")
 
 
-def card(v: Column, key: str) -> Column:
+def _card(v: Column, key: str) -> Column:
+    """One card number's pseudonym."""
     def body(d: Column) -> Column:
         new = digits_permuted(d.substr(F.lit(1), F.length(d) - 1), key, "card")
         full = _bind(new, lambda p: F.concat(p, F.pmod(-luhn_sum(p, 0), F.lit(10)).cast("string")))
-        return F.when(luhn_sum(d, 1) % 10 == 0, _laid(v, full)).otherwise(v)
+        return _laid(v, full)
 
     return _bind(_only_digits(v), body)
 
 
+def card(v: Column, key: str) -> Column:
+    """The cards of a run of numbers: unbroken or in a usual grouping, wherever they stand; if there are none, the run's first 13 to 19 digits."""
+    forms = [r"[0-9]{13,19}", *["[ -]".join(f"[0-9]{{{n}}}" for n in form) for form in FORMS]]
+    at_each = F.concat(*[F.regexp_extract_all(v, F.lit(rf"(?<![0-9])(?=({form})(?![0-9]))"), F.lit(1)) for form in forms])
+    valid = lambda w: luhn_sum(_only_digits(w), 1) % 10 == 0
+    first = F.array(F.regexp_extract(v, r"^[0-9](?:[ -]?[0-9]){12,18}(?![0-9])", 0))
+    cards = _bind(F.filter(F.array_distinct(at_each), valid), lambda c: F.when(F.size(c) > 0, c).otherwise(F.filter(first, lambda w: (w != "") & valid(w))))
+
+    # each card is cut out of the pieces not taken yet: [text, card, text, ...]
+    def take(pieces: Column, w: Column) -> Column:
+        def parts(p: Column) -> Column:
+            gaps = F.split(p["s"], F.concat(F.lit("(?<![0-9])"), w, F.lit("(?![0-9])")), -1)
+            plain = F.transform(gaps, lambda g: F.struct(g.alias("s"), F.lit(False).alias("card")))
+            both = F.flatten(F.transform(plain, lambda g: F.array(F.struct(w.alias("s"), F.lit(True).alias("card")), g)))
+            return F.when(p["card"], F.array(p)).otherwise(F.slice(both, 2, 2 * F.size(gaps)))
+
+        return F.flatten(F.transform(pieces, parts))
+
+    whole = F.array(F.struct(v.alias("s"), F.lit(False).alias("card")))
+    cut = lambda c: F.array_join(F.transform(F.aggregate(c, whole, take), lambda p: F.when(p["card"], _card(p["s"], key)).otherwise(p["s"])), "")
+    return _bind(cards, lambda c: F.when(F.size(c) > 0, cut(c)).otherwise(v))
+
+
 def date(v: Column, key: str) -> Column:
     """A permutation of the 146097 days (189 x 773) of the date's 400 Gregorian years that begin with 1600 or 2000, and so on."""
     day = F.expr("date '2000-01-01'")
