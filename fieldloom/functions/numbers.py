@@ -6,9 +6,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+WIDE = ("０１２３４５６７８９．，＋－", "0123456789.,+-")
+
+
 def first_number(text: Column) -> Column:
-    """The first number of a text without thousands commas; null if there is none."""
-    return F.nullif(F.regexp_replace(F.regexp_extract(text, r"([+-]?[0-9][0-9,]*(?:\.[0-9]+)?)", 1), ",", ""), F.lit(""))
+    """The first number of a text without thousands commas and plus, with a digit before the point; null if there is none. Full-width characters count as the usual ones."""
+    found = F.regexp_extract(F.translate(text, *WIDE), r"([-+]?(?:\p{Nd}[\p{Nd},]*(?:\.\p{Nd}+)?|\.\p{Nd}+))", 1)
+    padded = F.regexp_replace(F.regexp_replace(found, ",", ""), r"(?<![^+-])\.", "0.")
+    return F.nullif(F.regexp_replace(padded, r"^\+", ""), F.lit(""))
 
 
 def normalized_key(text: Column) -> Column:
