@@ -5,7 +5,8 @@ Writer: a payload of 8-bit samples becomes one PCM track in a Matroska file
 have 192 bytes; blocks lace up to 8 of them. Parser: variable-length EBML
 elements, clusters of known or unknown size, BlockGroups and SimpleBlocks with
 no, Xiph, fixed or EBML lacing, and cues give a packet table with track,
-timestamp, byte range and key flag.
+timestamp, byte range and key flag. The frames of a lace follow each other by
+the track's DefaultDuration; without one they share the block's time.
 
 Null text is empty: its payload is one frame of spaces. Repeated rows repeat.
 A damaged file raises ValueError in parse(); packets() gives such a row, or a
@@ -27,6 +28,7 @@ FRAME, LACE, PER_CLUSTER, RATE = 192, 8, 64, 8000
 # Element ids of the Matroska format.
 EBML, SEGMENT, INFO, SCALE, DURATION, TRACKS, ENTRY = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x2AD7B1, 0x4489, 0x1654AE6B, 0xAE
 NUMBER, UID, TYPE, CODEC, AUDIO, FREQUENCY, CHANNELS, DEPTH = 0xD7, 0x73C5, 0x83, 0x86, 0xE1, 0xB5, 0x9F, 0x6264
+FRAME_TIME = 0x23E383
 CLUSTER, TIME, SIMPLE, GROUP, BLOCK, REFERENCE = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0xFB
 CUES, POINT, CUE_TIME, POSITIONS, CUE_TRACK, CUE_PLACE = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 DOCTYPE, DOCVERSION, READVERSION = 0x4282, 0x4287, 0x4285
@@ -71,7 +73,7 @@ def write(payload: bytes, lacing: int = 2) -> bytes:
     unit = FRAME * 1_000_000_000 // RATE
     info = element(INFO, number(SCALE, unit) + real(DURATION, float(len(frames))))
     audio = element(AUDIO, real(FREQUENCY, float(RATE)) + number(CHANNELS, 1) + number(DEPTH, 8))
-    tracks = element(TRACKS, element(ENTRY, number(NUMBER, 1) + number(UID, 1) + number(TYPE, 2) + element(CODEC, b"A_PCM/INT/LIT") + audio))
+    tracks = element(TRACKS, element(ENTRY, number(NUMBER, 1) + number(UID, 1) + number(TYPE, 2) + number(FRAME_TIME, unit) + element(CODEC, b"A_PCM/INT/LIT") + audio))
     body, points = bytearray(info + tracks), b""
     step = LACE if lacing else 1
     for c in range(0, len(frames), step * PER_CLUSTER):
@@ -163,7 +165,10 @@ def parse(data: bytes) -> tuple[list[tuple[int, int, int, int, bool]], list[tupl
         raise ValueError("not a Matroska file")
     uint = lambda b, e: int.from_bytes(data[b:e], "big")
     scale, packets, cues = 1_000_000, [], []
-    for key, _, b, e in elements(data, *segment):
+    inside = list(elements(data, *segment))
+    entries = [{i: uint(p, q) for i, _, p, q in elements(data, x, y) if i in (NUMBER, FRAME_TIME)} for key, _, b, e in inside if key == TRACKS for k, _, x, y in elements(data, b, e) if k == ENTRY]
+    each = {t[NUMBER]: t.get(FRAME_TIME, 0) for t in entries}
+    for key, _, b, e in inside:
         if key == INFO:
             scale = next((uint(x, y) for k, _, x, y in elements(data, b, e) if k == SCALE), scale)
         elif key == CLUSTER:
@@ -177,7 +182,7 @@ def parse(data: bytes) -> tuple[list[tuple[int, int, int, int, bool]], list[tupl
                     blocks = [(p, q, all(j != REFERENCE for j, *_ in inner)) for i, _, p, q in inner if i == BLOCK]
                 for p, q, is_key in blocks:
                     track, rel, flags, ranges = frames_of(data, p, q)
-                    packets += [(track, (base + rel) * scale, at, n, bool(flags & 0x80) if is_key is None else is_key) for at, n in ranges]
+                    packets += [(track, (base + rel) * scale + i * each.get(track, 0), at, n, bool(flags & 0x80) if is_key is None else is_key) for i, (at, n) in enumerate(ranges)]
         elif key == CUES:
             for k, _, x, y in elements(data, b, e):
                 if k == POINT:
