@@ -7,13 +7,14 @@ it is surest of, as many of either class as the labels' share says, and these
 pseudo-labels join the other model's training rows. Both views are then
 calibrated by a logistic fit on held-out labels and summed as log-odds.
 
-Fitting uses a sample of at most `sample` labelled and `sample` unlabelled
-rows, taken by the least hash of the id, so the driver's share is bounded;
-scoring covers every document without a shuffle. A good document has quality 1
+Fitting uses a sample of at most `sample` labelled rows, taken by the least
+hash of the id. In each round both models score every unlabelled document, and
+only the surest, a tenth of the labelled sample's number at most, move to the
+driver, so its share is bounded. Scoring covers every document without a shuffle. A good document has quality 1
 and is not toxic. Scores are in [0, 1].
 
-Null text, source, language or length count as values of their own; with no
-labels of both classes every document is kept with score 0.5. Repeated rows
+Null text, source, language or length count as values of their own; with fewer
+than 20 labelled rows or labels of one class only every document is kept with score 0.5. Repeated rows
 repeat. Further columns stay untouched.
 """
 
@@ -28,10 +29,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, words
+from .common import Cache, table_cut, words
 
 SAMPLE, BUCKETS, ROUNDS, SHAPES = 8000, 1 << 13, 3, 8
-VIEW = "doc_id bigint, text_at array<int>, text_x array<float>, meta_at array<int>, meta_x array<float>"
+VIEW = "doc_id bigint, text_at binary, shape binary, meta_at binary"
 
 
 def _bucket(s: str, n: int) -> int:
@@ -73,19 +74,32 @@ WIDTHS = (SHAPES + BUCKETS + 256, 897)
 
 
 def views(docs: DataFrame) -> DataFrame:
-    """Sparse vectors of both views."""
+    """Sparse vectors of both views, packed: places as 16-bit and the leading values of the text view as 32-bit numbers; the other values follow from these."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = Cache(_word_at)
         for b in batches:
             out = []
             for doc_id, text, lang, source, n in zip(b["doc_id"], b["text"], b["lang"], b["source"], b["n_chars"]):
-                out.append((doc_id, *text_view(text, cache), *meta_view(lang, source, n)))
-            yield pd.DataFrame(out, columns=["doc_id", "text_at", "text_x", "meta_at", "meta_x"]).astype({"doc_id": "Int64"})
+                at, x = text_view(text, cache)
+                out.append((doc_id, np.array(at, np.uint16).tobytes(), np.array(x[:SHAPES], np.float32).tobytes(), np.array(meta_view(lang, source, n)[0], np.uint16).tobytes()))
+            yield pd.DataFrame(out, columns=["doc_id", "text_at", "shape", "meta_at"]).astype({"doc_id": "Int64"})
 
     return docs.select("doc_id", "text", "lang", "source", "n_chars").mapInPandas(run, VIEW)
 
 
+def matrices(rows: list[tuple[bytes, bytes, bytes]]) -> tuple[Sparse, Sparse]:
+    """Both views of packed rows (text_at, shape, meta_at)."""
+    at = [np.frombuffer(r[0], np.uint16) for r in rows]
+    x = []
+    for places, (_, shape, _) in zip(at, rows):
+        head = np.frombuffer(shape, np.float32)
+        rest = len(places) - len(head)
+        x.append(np.concatenate([head, np.full(rest, 2.0 / max(10.0, rest) ** 0.5, np.float32)]))
+    meta = [np.frombuffer(r[2], np.uint16) for r in rows]
+    return Sparse(at, x), Sparse(meta, [np.ones(len(m)) for m in meta])
+
+
 class Sparse:
     """Rows of a sparse matrix."""
 
@@ -115,39 +129,69 @@ def fit_logistic(m: Sparse, y: np.ndarray, weight: np.ndarray, width: int, steps
     return w
 
 
+SURE = "view int, good int, far double, doc_id bigint, text_at binary, shape binary, meta_at binary"
+
+
+def surest(pool: DataFrame, models: list[np.ndarray], quota: tuple[int, int], taken: list[set]) -> list:
+    """The rows (view, good, row) that each view is surest of among the whole pool, at most quota[good] of either class, without those taken from it before."""
+    gone = [np.array(sorted(t), np.int64) for t in taken]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        for whole in batches:
+            for i in range(0, len(whole), 2000):
+                b = whole.iloc[i : i + 2000]
+                both = matrices(list(zip(b["text_at"], b["shape"], b["meta_at"])))
+                for view, m in enumerate(both):
+                    p = sigmoid(m.dot(models[view]))
+                    free = ~np.isin(b["doc_id"].to_numpy(), gone[view])
+                    for good, far in ((0, p), (1, 1 - p)):
+                        part = b[free & (far < 0.1)].assign(view=view, good=good, far=far[free & (far < 0.1)])
+                        part = pd.concat([held[view, good], part]) if (view, good) in held else part
+                        held[view, good] = part.sort_values(["far", "doc_id"], kind="stable").drop_duplicates("doc_id").head(quota[good])
+        for part in held.values():
+            yield part[[c.split()[0] for c in SURE.split(", ")]]
+
+    found = table_cut(pool.mapInPandas(run, SURE))
+    out = []
+    for view in (0, 1):
+        for good in (0, 1):
+            one = found.where((F.col("view") == view) & (F.col("good") == good)).groupBy("doc_id").agg(F.min(F.struct("far", "text_at", "shape", "meta_at")).alias("r"))
+            out += [(view, good, r) for r in one.select("doc_id", "r.*").orderBy("far", "doc_id").limit(quota[good]).collect()]
+    return out
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS) -> dict | None:
-    """Weights of both views and of the combination; None without labels of both classes."""
+    """Weights of both views and of the combination; None with fewer than 20 labelled rows or without labels of both classes."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.min("quality") - F.max(F.coalesce("toxic", F.lit(0))) > 0).cast("int").alias("good"))
     order = F.xxhash64("doc_id", F.lit("fit"))
-    ids = docs.select("doc_id").where("doc_id is not null")
-    some = ids.join(known, "doc_id").orderBy(order, "doc_id").limit(sample)
-    rest = ids.join(known, "doc_id", "left_anti").orderBy(order, "doc_id").limit(sample).withColumn("good", F.lit(-1))
-    chosen = {r["doc_id"]: r["good"] for r in some.union(rest).collect()}  # at most 2 * sample rows
-    y_all = np.array([v for v in chosen.values() if v >= 0])
+    named = docs.where("doc_id is not null")
+    chosen = {r["doc_id"]: r["good"] for r in named.select("doc_id").join(known, "doc_id").orderBy(order, "doc_id").limit(sample).collect()}
+    y_all = np.array(list(chosen.values()))
     if len(y_all) < 20 or y_all.min() == y_all.max():
         return None
     picked = docs.join(F.broadcast(docs.sparkSession.createDataFrame([(k,) for k in chosen], "doc_id bigint")), "doc_id", "left_semi")
     rows = sorted({r["doc_id"]: r for r in views(picked).toLocalIterator()}.values(), key=lambda r: zlib.crc32(str(r["doc_id"]).encode()))
     good = np.array([chosen[r["doc_id"]] for r in rows])
-    held = (np.arange(len(rows)) % 5 == 0) & (good >= 0)
-    data = (Sparse([r["text_at"] for r in rows], [r["text_x"] for r in rows]), Sparse([r["meta_at"] for r in rows], [r["meta_x"] for r in rows]))
-    share = float(good[good >= 0].mean())
-    target = [np.where(good >= 0, good, 0).astype(float) for _ in data]
-    weight = [((good >= 0) & ~held).astype(float) for _ in data]
-    free = good < 0
+    held = np.arange(len(rows)) % 5 == 0
+    packed = lambda r: (r["text_at"], r["shape"], r["meta_at"])
+    data = matrices([packed(r) for r in rows])
+    share = float(good.mean())
+    quota = len(rows) // 10
+    quota = (int(quota * (1 - share)), int(quota * share))
+    pool = table_cut(views(named).join(known.select("doc_id"), "doc_id", "left_anti")) if rounds else None
+    extra: list[list] = [[], []]  # (label, row) that each model learns from the other view
     for r in range(rounds + 1):
-        models = [fit_logistic(m, t, w, width) for m, t, w, width in zip(data, target, weight, WIDTHS)]
+        models = []
+        for v, width in enumerate(WIDTHS):
+            m = matrices([packed(x) for x in rows] + [packed(x) for _, x in extra[v]])[v]
+            target = np.concatenate([good, [label for label, _ in extra[v]]]).astype(float)
+            models.append(fit_logistic(m, target, np.concatenate([(~held).astype(float), np.full(len(extra[v]), 0.3)]), width))
         if r == rounds:
             break
-        for v, m in enumerate(data):
-            p = sigmoid(m.dot(models[v]))
-            other = 1 - v
-            open_ = np.flatnonzero(free & (weight[other] == 0))
-            quota = len(rows) // 20
-            asc = open_[np.argsort(p[open_], kind="stable")]
-            for pick, label, sure in ((asc[::-1][: int(quota * share)], 1.0, lambda q: q > 0.9), (asc[: int(quota * (1 - share))], 0.0, lambda q: q < 0.1)):
-                pick = pick[sure(p[pick])] if len(pick) else pick
-                target[other][pick], weight[other][pick] = label, 0.3
+        for view, label, x in surest(pool, models, quota, [{x["doc_id"] for _, x in extra[1 - v]} for v in (0, 1)]):
+            if all(x["doc_id"] != y["doc_id"] for _, y in extra[1 - view][-sum(quota):]):
+                extra[1 - view].append((label, x))
     z = np.stack([m.dot(w) for m, w in zip(data, models)])[:, held]
     yh = good[held].astype(float)
     scale = []

@@ -16,3 +16,28 @@ def test_digit_share_of_whole_text(n):
 def test_long_digit_junk_scores_like_short():
     at, x = cotraining.text_view("7 " * 30_000, Cache(cotraining._word_at))
     assert x[cotraining.SHAPES - 1] == cotraining.text_view("7 " * 300, Cache(cotraining._word_at))[1][cotraining.SHAPES - 1] == 5
+
+
+def test_surest_come_from_the_whole_pool(spark):
+    """The surest rows of either class are found wherever they lie, once each, and not again."""
+    import numpy as np
+
+    n = 3000
+    docs = spark.createDataFrame([(i, "good " * (i + 1) if i < 5 else "bad " * 9 if i >= n - 5 else "middle", "en", "s", 5) for i in range(n)] + [(0, "good", "en", "s", 5)], "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(7)
+    text, meta = np.zeros(cotraining.WIDTHS[0]), np.zeros(cotraining.WIDTHS[1])
+    text[cotraining._word_at("good")[0]], text[cotraining._word_at("bad")[0]] = 9, -9
+    pool = cotraining.views(docs)
+    got = cotraining.surest(pool, [text, meta], (4, 4), [set(), set()])
+    assert sorted((v, g, r["doc_id"]) for v, g, r in got) == [(0, 0, n - 5 + i) for i in range(4)] + [(0, 1, i) for i in range(4)]
+    more = cotraining.surest(pool, [text, meta], (4, 4), [{r["doc_id"] for _, _, r in got}, set()])
+    assert sorted((g, r["doc_id"]) for _, g, r in more) == [(0, n - 1), (1, 4)]
+
+
+def test_unlabelled_beyond_the_sample_take_part(spark, monkeypatch):
+    """With a sample of 40 rows every unlabelled row is scored in each round."""
+    seen = []
+    monkeypatch.setattr(cotraining, "surest", lambda pool, *a: seen.append(pool.count()) or [])
+    docs = spark.createDataFrame([(i, "good text" if i % 2 else "bad text", "en", "s", 8) for i in range(500)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(100)], "doc_id bigint, quality int, toxic int")
+    assert cotraining.fit(docs, labels, sample=40)["held"] == 8 and seen == [400] * cotraining.ROUNDS
+    assert cotraining.fit(docs, labels.where("doc_id < 19")) is None
