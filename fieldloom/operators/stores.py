@@ -26,6 +26,13 @@ def incremental(rows: DataFrame, seq: str, since: int, limit: int = 500) -> Data
     return rows.where(F.col(seq) > since).orderBy(seq).limit(limit)
 
 
+def sync(rows: DataFrame, seq: str, since: int, key: str, known: DataFrame) -> DataFrame:
+    """All entries after `since` with a key that is not among the known ones; of a repeated key the first."""
+    new = rows.where((F.col(seq) > since) & F.col(key).isNotNull()).join(known.select(key).distinct(), key, "left_anti")
+    first = new.groupBy(key).agg(F.min_by(F.struct(*rows.columns), seq).alias("_first"))
+    return first.select("_first.*")
+
+
 def idempotent(entries: DataFrame, key: str, seq: str) -> DataFrame:
     """An entry that is sent again counts once, under its first number."""
     return entries.groupBy(key).agg(F.min(seq).alias("seq"), F.count("*").alias("times_sent"))

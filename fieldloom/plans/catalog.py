@@ -38,6 +38,7 @@ def queries() -> dict:
             read(s, d, "orders").where("o_orderkey % 7 = 0").select("o_orderkey", F.lit("X").alias("new_value")), ["o_orderkey"]),
         "summary_first_nonempty": lambda s, d: stores.first_non_empty(read(s, d, "orders"), "o_custkey", "o_orderkey", "o_orderstatus"),
         "incremental_sync": lambda s, d: stores.incremental(read(s, d, "events").select("event_id", "user_id", "event_type"), "event_id", 100),
+        "entries_sync": lambda s, d: stores.sync(read(s, d, "events").select("event_id", "user_id", "event_type"), "event_id", 100, "event_id", read(s, d, "events").where("event_id % 7 = 0")),
         "entries_idempotent": lambda s, d: stores.idempotent(read(s, d, "events").unionByName(read(s, d, "events")).withColumn("key", F.concat_ws("/", "user_id", "event_type", "event_id")), "key", "event_id"),
         "label_counts": lambda s, d: stores.label_counts(read(s, d, "documents"), "lang"),
         "first_number": lambda s, d: read(s, d, "pages").select("page_id", numbers.first_number(F.col("url")).alias("number")),
@@ -74,6 +75,7 @@ SELECT form, record_key, field, value, round(lo, 4) AS lo, round(hi, 4) AS hi, c
         "corrections": "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 'X' ELSE o_orderstatus END AS value, CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE 'check' END AS flag FROM orders",
         "summary_first_nonempty": "SELECT o_custkey, arg_min(o_orderstatus, o_orderkey) FILTER (WHERE trim(o_orderstatus) <> '') AS first_value FROM orders GROUP BY 1",
         "incremental_sync": "SELECT event_id, user_id, event_type FROM events WHERE event_id > 100 ORDER BY event_id LIMIT 500",
+        "entries_sync": "SELECT event_id, user_id, event_type FROM events WHERE event_id > 100 AND event_id NOT IN (SELECT event_id FROM events WHERE event_id % 7 = 0)",
         "entries_idempotent": "SELECT concat_ws('/', user_id, event_type, event_id) AS key, min(event_id) AS seq, 2 * count(*) AS times_sent FROM events GROUP BY 1",
         "label_counts": "SELECT coalesce(nullif(trim(lang), ''), '(none)') AS label, count(*) AS n FROM documents GROUP BY 1",
         "first_number": r"SELECT page_id, nullif(replace(regexp_extract(url, '([+-]?[0-9][0-9,]*(?:\.[0-9]+)?)', 1), ',', ''), '') AS number FROM pages",
