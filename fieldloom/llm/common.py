@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from contextlib import contextmanager
 from uuid import uuid4
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,10 +61,6 @@ def settings(spark: SparkSession, **values):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def utf8(col):
-    return F.coalesce(col, F.lit(""))
-
-
 class Cache(dict):
     """A word cache of bounded size: emptied when full, so results never depend on it."""
 
@@ -84,8 +82,9 @@ SPACE[[32, *range(9, 14)]] = True
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 CODES = np.random.default_rng(20).integers(0, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-BASE = np.uint64(0x9E3779B97F4A7C15)
-_powers = np.ones(1, np.uint64)
+BASE = 0x9E3779B97F4A7C15
+BLOCK = 1 << 18
+_powers: dict[str, np.ndarray] = {}
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -93,22 +92,83 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def word_hashes(raw: bytes, fold: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of a UTF-8 text, and their first and end bytes; fold lower-cases A-Z.
-
-    A word's hash is a polynomial over random codes of its bytes, so a whole text takes a few array operations.
+def powers(kind: str, n: int) -> np.ndarray:
+    """Powers of BASE ("up") or of its inverse ("down") modulo 2 ** 64."""
+    if kind not in _powers or len(_powers[kind]) < n:
+        steps = np.full(max(n, BLOCK), BASE if kind == "up" else pow(BASE, -1, 1 << 64), np.uint64)
+        steps[0] = 1
+        _powers[kind] = np.multiply.accumulate(steps)
+    return _powers[kind]
+
+
+def word_bounds(b: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and end bytes of the words in b, where texts begin at the places given."""
+    inside = ~SPACE[b]
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    first[begins] = inside[begins]
+    ends = begins[begins > 0] - 1
+    last[ends] = inside[ends]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def bytes_hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bool = False) -> np.ndarray:
+    """64-bit hashes of the byte ranges of b: polynomials over random codes of the bytes, from one running sum."""
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(CODES[FOLD][b] * powers("up", len(b))[: len(b)] if fold else CODES[b] * powers("up", len(b))[: len(b)], out=sums[1:])
+    h = (sums[end] - sums[start]) * powers("down", len(b))[start]
+    return mix(h ^ (end - start).astype(np.uint64) * np.uint64(BASE))
+
+
+def _pieces(b: np.ndarray, begins: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Cuts of b of BLOCK bytes or somewhat more, each after a white space or where a text begins; a longer word stays whole."""
+    at, look = 0, 1 << 12
+    while at < len(b):
+        to = at + BLOCK
+        while to < len(b):
+            blank = np.flatnonzero(SPACE[b[to - 1 : to - 1 + look]])[:1] + to
+            begin = begins[np.searchsorted(begins, to) :][:1]
+            if len(blank) or len(begin) and begin[0] < to + look:
+                to = int(min([*blank, *begin]))
+                break
+            to += look
+        yield at, min(to, len(b))
+        at = to
+
+
+def hashed_words(column: pa.Array, fold: bool = False, most: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """The words of a string or binary column, some rows at a time: of about `most` bytes, or one longer text.
+
+    Each item is (first row, end row, bytes, place of each row's first word and of the end,
+    first bytes, end bytes, hashes); fold lower-cases A-Z for the hashes. A null has no words.
     """
-    global _powers
-    b = np.frombuffer(raw, np.uint8)
-    at = np.flatnonzero(~SPACE[b])
-    if not len(at):
-        return np.zeros(0, np.uint64), at, at
-    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1] + 1)))
-    size = np.diff(np.append(first, len(at)))
-    if size.max() > len(_powers):
-        _powers = np.multiply.accumulate(np.full(2 * int(size.max()), BASE))
-    place = np.arange(len(at)) - np.repeat(first, size)
-    b = b[at]
-    h = np.add.reduceat(CODES[FOLD[b] if fold else b] * _powers[place], first)
-    start = at[first]
-    return mix(h ^ size.astype(np.uint64) * BASE), start, start + size
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    offsets = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8) if len(column) and column.buffers()[2] is not None else np.zeros(0, np.uint8)
+    row = 0
+    while row < len(column):
+        end = min(len(column), max(row + 1, int(np.searchsorted(offsets, offsets[row] + most, "right")) - 1))
+        b = data[offsets[row] : offsets[end]]
+        at = offsets[row : end + 1] - offsets[row]
+        begins = np.unique(at[:-1])
+        begins = begins[begins < len(b)]
+        firsts, ends, hashes = [], [], []
+        for x, y in _pieces(b, begins):
+            inner = begins[np.searchsorted(begins, x) : np.searchsorted(begins, y)] - x
+            f, e = word_bounds(b[x:y], inner)
+            hashes.append(bytes_hashes(b[x:y], f, e, fold))
+            firsts.append(f + x)
+            ends.append(e + x)
+        none = np.zeros(0, np.int64)
+        f = np.concatenate(firsts) if firsts else none
+        yield row, end, b, np.append(np.searchsorted(f, at[:-1]), len(f)), f, np.concatenate(ends) if ends else none, np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        row = end
+
+
+def in_order(places: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """places[i], places[i] + 1, ... of sizes[i] numbers each, one after another."""
+    total = int(sizes.sum())
+    return np.arange(total) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(places, sizes)

@@ -1,41 +1,45 @@
-"""N-gram Jaccard join on count vectors.
-
-A document's set holds its distinct 4-word shingles as 64-bit hashes. Equal sets
-share one representative, so exact copies cost one row each. Hashes fall
-into groups by their value; the count vector of a set over 64 groups bounds an
-overlap by the sum of coordinate minima, and only pairs whose bound reaches the
-overlap needed are verified on their sets.
-
-The boxes of an R-tree over such vectors overlap almost wholly (64 nearly
-independent coordinates), so its upper levels prune nothing and are left out.
-Leaves are therefore made below a rule that cannot lose a link: two sets of J >= 0.85
-differ in at most k elements, so over k + 1 groups at least one group is equal.
-Each set sends one key per group to the level of its size.
-
-Per key, members pair with its least member (a star, not all pairs), and each is
-verified against the least partner that passes the bound.
-Components follow; then the leaves of each key are compared, and in them only
-points that are still in different components. That decides every pair that could join two components.
-
-Null text and texts without words have an empty set and link with nothing.
-Repeated rows are exact copies. Null ids are kept, as their own component (null).
+"""N-gram Jaccard join with count-vector R-trees.
+
+A document's set holds its distinct word shingles as 64-bit hashes. Equal sets
+share one representative, so exact copies cost one row each.
+
+Two linked sets share one of the first n - ceil(t * n) + 1 hashes of each in
+any order that all sets use. These hashes are a set's keys: only members of one
+key can link. The order puts hashes of frequent cells last (a table of CELLS
+counters over all shingles of all documents), so common passages make no keys
+where a set has anything rarer.
+
+The members of a key are points: the counts of their hashes in GROUPS groups.
+Their R-tree is built in the task that holds the key and joined with itself:
+the sum of coordinate minima bounds the overlap of two boxes and of two points,
+and pairs below the overlap needed, or already in one component, are left out.
+Of the others each point sends its best few (by the bound) to the exact test on
+the sets; linked pairs join components. This is repeated with four times as
+many until no point has more than it sent. So every pair that could join two
+components has been tested, while a large group of near copies costs a few
+pairs per member. A key with more than BLOCK members is joined block by block.
+
+Null text and texts without words have an empty set and link with nothing; a
+text of fewer words than a shingle has its whole sequence as one. Repeated rows
+are exact copies. Rows with a null id keep a null component and link nothing.
+Other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from math import ceil, log
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix, settings, table_cut, word_hashes
+from .common import Cache, cut, hashed_words, in_order, mix, settings, table_cut
 
-RATIO, GROUPS, MANY, DEPTH, LEAF = 1.4, 64, 40, 3, 256
-A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+GROUPS, CELLS, LEAF, BLOCK, FEW = 128, 1 << 16, 32, 4096, 8
+A = np.uint64(0x9E3779B97F4A7C15)
 FILTER = {
     "spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold": "0",
     "spark__sql__optimizer__runtime__bloomFilter__creationSideThreshold": "1TB",
@@ -43,134 +47,226 @@ FILTER = {
 }
 
 
-def shingles(raw: bytes | None, k: int = 4) -> np.ndarray:
-    """Sorted distinct hashes of the k-word shingles of a UTF-8 text."""
-    h = word_hashes(raw or b"", fold=True)[0]
-    if not len(h):
-        return h
-    width = min(k, len(h))
-    n = len(h) - width + 1
-    s = np.full(n, width, np.uint64)
-    for i in range(width):
-        s = mix((s ^ h[i : i + n]) * A)
-    return np.unique(s)
-
-
-def need(a: int, b: int, percent: int) -> int:
-    """Least overlap of sets of a and b elements with 100 * overlap >= percent * union."""
-    return -(-percent * (a + b) // (100 + percent))
-
-
-def alone(n: int, percent: int) -> bool:
-    """Whether a set of n elements can only link with an equal one."""
-    return need(n, n + 1, percent) > n and need(n, n - 1, percent) > n - 1
-
-
-def levels(n: int, percent: int) -> list[int]:
-    """A set's own level, and the next when a larger partner may lie there."""
-    own = int(log(n) / log(RATIO) + 1e-9)
-    return [own] if alone(n, percent) or 100 * n / percent + 1 < RATIO ** (own + 1) else [own, own + 1]
-
-
-def group_keys(s: np.ndarray, level: int, percent: int) -> np.ndarray:
-    """Keys of the groups; over that many groups two linked sets of the level have an equal group.
-
-    A group that is empty in both sets says little and would gather unlike sets
-    under one key. From MANY groups on it has no key: that all equal groups of
-    two linked sets are empty has a chance under 2 ** -57, less than that two
-    hashes collide. With fewer groups the whole set is dealt again by another
-    hash, and those keys stand for the empty group. A set that can only link
-    with an equal one has one key.
-    """
-    if alone(len(s), percent):
-        return mix(mix(s ^ B).sum(keepdims=True) * A).view(np.int64)
-    top = ceil(RATIO ** (level + 1)) + 1
-    groups = 2 * top - 2 * need(top, top, percent) + 2
-    place = np.arange(groups, dtype=np.uint64)
-
-    def deal(seed: int, depth: int) -> Iterator[np.ndarray]:
-        g = (mix(s * A + np.uint64(7 + seed)) % np.uint64(groups)).astype(np.int64)
-        sums = np.zeros(groups, np.uint64)
-        np.add.at(sums, g, mix(s ^ B))
-        keys = mix((sums + place) * A ^ np.uint64((level * 2654435761 + 1 + seed) & (2**64 - 1)))
-        empty = np.flatnonzero(np.bincount(g, minlength=groups) == 0)
-        if not len(empty) or depth == DEPTH:
-            yield keys
-            return
-        yield np.delete(keys, empty)
-        if groups < MANY:
-            for e in empty.tolist():
-                yield from deal((seed * 1_000_003 + e + 1) & (2**62 - 1), depth + 1)
-
-    return np.concatenate(list(deal(0, 0))).view(np.int64)
-
-
-def sets(docs: DataFrame, k: int = 4) -> DataFrame:
-    """(doc_id, n, digest, counts) per row of docs(doc_id, raw)."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def shingle_sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, sorted distinct hashes of its k-word shingles) of a text column."""
+    for lo, hi, _, places, _, _, h in hashed_words(column, fold=True):
+        whole = np.full(max(0, len(h) - k + 1), k, np.uint64)
+        for i in range(k if len(whole) else 0):
+            whole = mix((whole ^ h[i : i + len(whole)]) * A)
+        for row, p, q in zip(range(lo, hi), places.tolist(), places[1:].tolist()):
+            if q - p >= k:
+                yield row, np.unique(whole[p : q - k + 1])
+            else:
+                short = np.full(int(q > p), q - p, np.uint64)
+                for w in h[p:q]:
+                    short = mix((short ^ w) * A)
+                yield row, short
+
+
+def cell_of(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(48)).astype(np.int64)
+
+
+def cell_levels(docs: DataFrame, k: int) -> np.ndarray:
+    """How much fuller than the usual each cell is, as powers of two; cells hold the shingles of all documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(CELLS, np.int64)
         for b in batches:
-            out = []
-            for doc_id, raw in zip(b["doc_id"], b["raw"]):
-                s = shingles(raw, k)
-                counts = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS)
-                out.append((doc_id, len(s), hashlib.md5(s.tobytes()).digest(), counts.astype(np.int32)))
-            yield pd.DataFrame(out, columns=["doc_id", "n", "digest", "counts"]).astype({"doc_id": "Int64"})
+            for _, s in shingle_sets(b.column("raw"), k):
+                counts += np.bincount(cell_of(s), minlength=CELLS) if len(s) > 4096 else 0
+                if len(s) <= 4096:
+                    np.add.at(counts, cell_of(s), 1)
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["cell", "n"])
+
+    counts = np.zeros(CELLS)
+    for r in docs.select("raw").mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        counts[r["cell"]] = r["n"]
+    return np.ceil(np.log2(np.maximum(counts / max(1.0, float(np.median(counts))) - 0.25, 1))).astype(np.uint8)
+
 
-    return docs.mapInPandas(run, "doc_id bigint, n bigint, digest binary, counts array<int>")
+def need(a, b, percent: int):
+    """100 + percent times the least overlap of linked sets of a and b elements."""
+    return percent * (a + b)
 
 
-def _emit(percent: int, k: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def packed_counts(s: np.ndarray) -> bytes:
+    c = np.bincount(((s >> np.uint64(40)) % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS)
+    return c.astype("<u1" if c.max() < 256 else "<u4").tobytes()
+
+
+def unpacked_counts(column: list[bytes]) -> np.ndarray:
+    return np.stack([np.frombuffer(c, "<u1" if len(c) == GROUPS else "<u4").astype(np.int32) for c in column])
+
+
+def sets(docs: DataFrame, levels: np.ndarray, percent: int, k: int) -> DataFrame:
+    """(row, doc_id, text_hash, n, digest, counts, keys) per row of docs(doc_id, text_hash, raw); a task that meets a set again leaves its keys out."""
+    schema = "row bigint, doc_id bigint, text_hash bigint, n bigint, digest binary, counts binary, keys array<bigint>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met, at = Cache(lambda d: False), TaskContext.get().partitionId() << 33
+        for b in batches:
+            ids, rows = b.column("doc_id"), np.arange(at, at + b.num_rows)
+            at += b.num_rows
+            n, digests, counts, keys, known = [], [], [], [], ids.is_valid().to_pylist()
+            for row, s in shingle_sets(b.column("raw"), k):
+                n.append(len(s))
+                digests.append(hashlib.md5(s.tobytes()).digest())
+                counts.append(packed_counts(s))
+                first = s[:0]
+                if len(s) and known[row] and not met[digests[-1]]:
+                    met[digests[-1]] = True
+                    many = len(s) + (-percent * len(s)) // 100 + 1
+                    level = levels[cell_of(s)]
+                    first = s[np.argsort(level, kind="stable")[:many]]
+                keys.append(first.view(np.int64))
+            ends = np.cumsum([0, *map(len, keys)], dtype=np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
+            columns = [pa.array(rows), ids, b.column("text_hash"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(counts, pa.binary()), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "text_hash", "n", "digest", "counts", "keys"])
+
+    return docs.mapInArrow(run, schema)
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, node) in order, those whose key has two nodes or more, once each."""
+    key, node, again = np.zeros(0, np.int64), np.zeros(0, np.int64), False
+    for b in batches:
+        key = np.append(key, b.column("key").to_numpy())
+        node = np.append(node, b.column("node").to_numpy())
+        if not len(key):
+            continue
+        fresh = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))
+        key, node = key[fresh], node[fresh]
+        before = np.append(again, key[1:] == key[:-1])
+        out = (before | np.append(before[1:], False))[:-1]
+        yield pa.RecordBatch.from_arrays([pa.array(key[:-1][out]), pa.array(node[:-1][out])], names=["key", "node"])
+        key, node, again = key[-1:], node[-1:], bool(before[-1])
+    if again:
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node)], names=["key", "node"])
+
+
+class Tree:
+    """An R-tree over count vectors, filled by halving at the widest coordinate; a box keeps its upper corner, the least size and the components inside."""
+
+    def __init__(self, rows: np.ndarray, counts: np.ndarray, n: np.ndarray, comp: np.ndarray):
+        self.rows, self.top, self.least = rows, counts[rows].max(0), int(n[rows].min())
+        own = comp[rows]
+        self.comp = own[0] if (own == own[0]).all() else None
+        self.parts: list[Tree] = []
+        if len(rows) > LEAF:
+            widest = int(np.ptp(counts[rows], axis=0).argmax())
+            order = rows[np.argsort(counts[rows, widest], kind="stable")]
+            self.parts = [Tree(part, counts, n, comp) for part in np.array_split(order, 2)]
+
+
+def tree_pairs(x: Tree, y: Tree, counts: np.ndarray, n: np.ndarray, comp: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(rows, rows, bounds) of pairs from x and y of different components that pass the bound; of x with itself each pair twice."""
+    todo = [(x, y)]
+    while todo:
+        x, y = todo.pop()
+        if x.comp is not None and x.comp == y.comp or (100 + percent) * int(np.minimum(x.top, y.top).sum()) < need(x.least, y.least, percent):
+            continue
+        if x.parts or y.parts:
+            todo += [(p, q) for p in x.parts or [x] for q in y.parts or [y]]
+            continue
+        bound = np.minimum(counts[x.rows][:, None], counts[y.rows][None]).sum(2)
+        i, j = np.nonzero((comp[x.rows][:, None] != comp[y.rows][None]) & ((100 + percent) * bound >= need(n[x.rows][:, None], n[y.rows][None], percent)))
+        yield x.rows[i], y.rows[j], bound[i, j]
+
+
+def group_pairs(group: np.ndarray, leaf: np.ndarray, counts: np.ndarray, n: np.ndarray, comp: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows of one group (and of different leaves, if it has two) with their bounds; groups are consecutive. Small groups are compared all at once, larger ones by trees."""
+    start = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+    size = np.diff(np.append(start, len(group)))
+    left, right, bound = [], [], []
+    small = np.repeat(size <= FEW, size)
+    for step in range(1, FEW):
+        i = np.flatnonzero(small[:-step] & (group[:-step] == group[step:])) if len(group) > step else np.zeros(0, np.int64)
+        for at in range(0, len(i), 20_000):
+            p = i[at : at + 20_000]
+            q = p + step
+            both = np.minimum(counts[p], counts[q]).sum(1)
+            ok = (comp[p] != comp[q]) & ((100 + percent) * both >= need(n[p], n[q], percent))
+            left.append(p[ok]), right.append(q[ok]), bound.append(both[ok])
+    for s, m in zip(start[size > FEW].tolist(), size[size > FEW].tolist()):
+        rows = np.arange(s, s + m)
+        parts = [rows[leaf[rows] == v] for v in np.unique(leaf[rows])]
+        trees = [Tree(p, counts, n, comp) for p in parts]
+        for i, j, both in tree_pairs(trees[0], trees[-1], counts, n, comp, percent):
+            ok = i < j if len(parts) == 1 else np.full(len(i), True)
+            left.append(i[ok]), right.append(j[ok]), bound.append(both[ok])
+    none = np.zeros(0, np.int64)
+    return tuple(np.concatenate(x) if x else none for x in (left, right, bound))
+
+
+def best(left: np.ndarray, right: np.ndarray, bound: np.ndarray, group: np.ndarray, node: np.ndarray, most: int) -> tuple[np.ndarray, bool]:
+    """Which pairs are among the best `most` of either row, and whether any is not."""
+    row, other, at = np.append(left, right), np.append(right, left), np.tile(np.arange(len(left)), 2)
+    order = np.lexsort((node[other], -np.tile(bound, 2), row))
+    row = row[order]
+    first = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, np.int64)
+    rank = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
+    keep = np.zeros(len(left), bool)
+    keep[at[order[rank < most]]] = True
+    return keep, not keep.all()
+
+
+def _candidates(percent: int, most: int):
+    names = ["key", "lo", "hi", "leaf", "node", "comp", "n"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def work(t: pa.Table) -> pa.RecordBatch:
+            key, lo, hi, leaf, node, comp, n = (t.column(c).to_numpy() for c in names)
+            group = np.append(0, np.cumsum((key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])))
+            i, j, bound = group_pairs(group, leaf, unpacked_counts(t.column("counts").to_pylist()), n, comp, percent)
+            keep, more = best(i, j, bound, group, node, most)
+            i, j = i[keep], j[keep]
+            return pa.RecordBatch.from_arrays([pa.array(key[i]), pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j])), pa.array(np.full(len(i), more))], names=["key", "a", "b", "more"])
+
+        held: list[pa.RecordBatch] = []
         for b in batches:
-            for at in range(0, len(b), 200):
-                ids, found = [], []
-                for doc_id, raw in zip(b["doc_id"][at : at + 200], b["raw"][at : at + 200]):
-                    s = shingles(raw, k)
-                    for level in levels(len(s), percent) if len(s) else ():
-                        found.append(group_keys(s, level, percent))
-                        ids.append(np.full(len(found[-1]), doc_id, np.int64))
-                if ids:
-                    yield pd.DataFrame({"key": np.concatenate(found), "node": np.concatenate(ids)})
+            if not b.num_rows:
+                continue
+            same = np.ones(b.num_rows, bool)
+            for c in names[:3]:
+                x = b.column(c).to_numpy()
+                same &= x == x[-1]
+            last = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
+            if last or held and any(held[-1].column(c)[-1] != b.column(c)[0] for c in names[:3]):
+                yield work(pa.Table.from_batches([*held, b.slice(0, last)]))
+                held = []
+            held.append(b.slice(last))
+        if held:
+            yield work(pa.Table.from_batches(held))
 
     return run
 
 
+def candidates(members: DataFrame, percent: int, most: int) -> DataFrame:
+    """(key, a, b, more): pairs of one key and different comp that pass the bound, the best `most` of either end; members(key, leaves, node, comp, n, counts)."""
+    met = members.withColumn("leaf", F.pmod(F.xxhash64("node"), "leaves")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("leaves") - 1)))
+    met = met.select("key", F.least("leaf", "other").alias("lo"), F.greatest("leaf", "other").alias("hi"), "leaf", "node", "comp", "n", "counts")
+    return met.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "leaf").mapInArrow(_candidates(percent, most), "key bigint, a bigint, b bigint, more boolean")
+
+
 def _verify(percent: int, k: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: dict = {}
         for b in batches:
-            keep = []
-            for a, x, y in zip(b["a"], b["ra"], b["rb"]):
-                if a not in last:
-                    last = {a: shingles(x, k)}
-                t, s = shingles(y, k), last[a]
+            ids, keep = b.column("a").to_pylist(), np.zeros(b.num_rows, bool)
+            for row, s in shingle_sets(b.column("rb"), k):
+                if ids[row] not in last:
+                    last = {ids[row]: next(shingle_sets(b.column("ra").slice(row, 1), k))[1]}
+                t = last[ids[row]]
                 both = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(100 * both >= percent * (len(s) + len(t) - both))
-            yield b.loc[keep, ["a", "b"]]
+                keep[row] = 100 * both >= percent * (len(s) + len(t) - both)
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(keep)), b.column("b").filter(pa.array(keep))], names=["a", "b"])
 
     return run
 
 
-def links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, k: int, one: bool = False) -> DataFrame:
-    """Pairs (a, b), a < b, that pass the bound of coordinate minima and then the exact test; with one, only the least a of each b is tested.
-
-    Only texts of such pairs are moved: Spark's runtime filter, of 8 MB at most, drops most others at the scan, and the join drops the rest.
-    """
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("counts").alias(f"c{x}"))
-    least = F.aggregate(F.zip_with("ca", "cb", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where((100 + percent) * least >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
-    if one:
-        near = near.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    near = table_cut(near)
-    wanted = table_cut(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    with settings(docs.sparkSession, **FILTER):
-        found = docs.join(wanted.where("doc_id < 9223372036854775807"), "doc_id").groupBy("doc_id").agg(F.first("raw").alias("raw"))
-        texts = table_cut(found)
-    text = lambda x: texts.select(F.col("doc_id").alias(x), F.col("raw").alias(f"r{x}"))
-    return table_cut(near.join(text("b"), "b").join(text("a"), "a").mapInPandas(_verify(percent, k), "a bigint, b bigint"))
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) with the least node reachable, for all nodes with an edge: least labels and pointer jumps."""
     both = cut(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct())
@@ -185,73 +281,57 @@ def components(edges: DataFrame) -> DataFrame:
         label = after.select("node", "comp")
 
 
-def _leaves(percent: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def whole() -> Iterator[pd.DataFrame]:
-            held: list[pd.DataFrame] = []
-            for b in batches:
-                if not len(b):
-                    continue
-                at = [0, *(np.flatnonzero((b[["key", "lo", "hi"]].to_numpy()[1:] != b[["key", "lo", "hi"]].to_numpy()[:-1]).any(axis=1)) + 1).tolist(), len(b)]
-                for x, y in zip(at, at[1:]):
-                    part = b.iloc[x:y]
-                    if held and tuple(held[-1][["key", "lo", "hi"]].iloc[0]) != tuple(part[["key", "lo", "hi"]].iloc[0]):
-                        yield pd.concat(held) if len(held) > 1 else held[0]
-                        held = []
-                    held.append(part)
-            if held:
-                yield pd.concat(held)
-
-        for g in whole():
-            counts, n = np.stack(g["counts"].to_numpy()), g["n"].to_numpy()
-            node, comp, leaf = g["node"].to_numpy(), g["comp"].to_numpy(), g["leaf"].to_numpy()
-            lo, hi = np.flatnonzero(leaf == g["lo"].iloc[0]), np.flatnonzero(leaf == g["hi"].iloc[0])
-            if not len(lo) or not len(hi) or (100 + percent) * np.minimum(counts[lo].max(0), counts[hi].max(0)).sum() < percent * (n[lo].min() + n[hi].min()):
-                continue
-            for i in lo:
-                to = hi[(comp[hi] != comp[i]) & (node[hi] > node[i] if leaf[i] == leaf[hi[0]] else True)]
-                to = to[(100 + percent) * np.minimum(counts[i], counts[to]).sum(1) >= percent * (n[i] + n[to])]
-                if len(to):
-                    yield pd.DataFrame({"a": np.minimum(node[i], node[to]), "b": np.maximum(node[i], node[to])})
-
-    return run
-
-
-def leaf_pairs(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) of one key and different comp that pass the bound; members(key, node, comp).
-
-    A key's members are dealt over leaves of about LEAF. Each two leaves meet in
-    one group of rows, where the bound of their boxes comes first and that of
-    single points second; no row is made for a pair that fails.
-    """
-    leaves = members.groupBy("key").agg(F.ceil(F.count("*") / LEAF).alias("leaves"))
-    dealt = members.join(leaves, "key").join(nodes, "node").withColumn("leaf", F.pmod(F.xxhash64("node"), "leaves"))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("leaves") - 1)))
-    met = met.select("key", F.least("leaf", "other").alias("lo"), F.greatest("leaf", "other").alias("hi"), "leaf", "node", "comp", "n", "counts")
-    met = met.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return met.mapInPandas(_leaves(percent), "a bigint, b bigint").distinct()
+def linked_components(docs: DataFrame, nodes: DataFrame, members: DataFrame, percent: int, k: int) -> DataFrame | None:
+    """(node, comp) of all linked nodes; nodes(node, doc_id, text_hash, n, counts), members(key, leaves, node), docs(doc_id, text_hash, raw); None without a link."""
+    comp, links, tested, texts, most = None, None, None, None, 1
+    points = members.join(nodes.select("node", "n", "counts"), "node")
+    while True:
+        if comp is None:
+            now = points.withColumn("comp", F.col("node"))
+        else:
+            now = points.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+            mixed = now.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key")
+            now = now.join(mixed, "key")
+        found = table_cut(candidates(now, percent, most))
+        if texts is None:
+            # later rounds only meet keys and nodes that have a pair now
+            points = table_cut(members.join(found.select("key").distinct(), "key", "left_semi").join(nodes.select("node", "n", "counts"), "node"))
+            wanted = found.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc_id", "text_hash"), "node")
+            wanted = table_cut(wanted).where("doc_id is not null")
+            with settings(docs.sparkSession, **FILTER):
+                texts = table_cut(docs.join(wanted, ["doc_id", "text_hash"]).groupBy("node").agg(F.first("raw").alias("raw")))
+        pairs = found.select("a", "b").distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = table_cut(pairs)
+        text = lambda x: texts.select(F.col("node").alias(x), F.col("raw").alias(f"r{x}"))
+        new = table_cut(pairs.join(text("b"), "b").join(text("a"), "a").select("a", "b", "ra", "rb").mapInArrow(_verify(percent, k), "a bigint, b bigint"))
+        links, tested = (new, pairs) if links is None else (links.union(new), tested.union(pairs))
+        if new.limit(1).count():
+            comp = components(links)
+        if found.where("more").limit(1).count() == 0:
+            return comp
+        most *= 4
 
 
 def near_groups(docs: DataFrame, percent: int = 85, k: int = 4) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of docs(doc_id, text)."""
-    docs = docs.select("doc_id", F.col("text").cast("binary").alias("raw"))
-    all_sets = table_cut(sets(docs, k))
-    least = all_sets.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("node"))
-    reps = table_cut(all_sets.select("digest", "n", "counts", F.col("doc_id").alias("node")).join(least, ["digest", "node"]).dropDuplicates(["node", "digest"]))
-    nodes = reps.select("node", "n", "counts")
-    keys = docs.where("doc_id is not null").mapInPandas(_emit(percent, k), "key bigint, node bigint")
-    heads = keys.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head < tail").select("key", "head")
-    shared = table_cut(keys.join(heads, "key").join(nodes.select("node"), "node", "left_semi"))
-    stars = shared.where("node > head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    found = links(stars, nodes, docs, percent, k, one=True)
-    comp = components(found)
-    with_comp = shared.join(comp, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp"))
-    mixed = with_comp.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    left = table_cut(with_comp.join(mixed, "key", "left_semi"))
-    cross = leaf_pairs(left, nodes, percent)
-    more = links(cross, nodes, docs, percent, k)
-    if more.limit(1).count():
-        comp = components(found.union(more))
-    label = reps.join(comp, "node", "left").select("digest", F.coalesce("comp", "node").alias("__comp"))
-    out = all_sets.join(label, "digest", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("__comp", "doc_id")).alias("component_id"))
+    raw = F.col("text").cast("binary")
+    docs = docs.select("doc_id", F.xxhash64(raw).alias("text_hash"), raw.alias("raw"))
+    all_sets = table_cut(sets(docs, cell_levels(docs, k), percent, k))
+    whole = all_sets.where("n > 0 and doc_id is not null")
+    heads = table_cut(whole.groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("r")).select("digest", F.col("r.row").alias("node")))
+    nodes = all_sets.join(heads.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), "doc_id", "text_hash", "n", "counts")
+    keys = all_sets.where("size(keys) > 0").select(F.explode("keys").alias("key"), F.col("row").alias("node"))
+    shared = keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, "key bigint, node bigint")
+    shared = shared.select("key", F.col("node").alias("row")).join(whole.select("row", "digest"), "row").join(heads, "digest").select("key", "node").distinct()
+    sizes = shared.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / BLOCK).alias("leaves"))
+    members = table_cut(shared.join(sizes, "key"))
+    comp = linked_components(docs, nodes, members, percent, k)
+    label = heads.select("digest", F.lit(None).cast("bigint").alias("least"))
+    if comp is not None:
+        ids = comp.join(nodes.select("node", "doc_id"), "node")
+        label = ids.join(ids.groupBy("comp").agg(F.min("doc_id").alias("least")), "comp").join(heads, "node").select("digest", "least")
+    own = whole.groupBy("digest").agg(F.min("doc_id").alias("own"))
+    out = all_sets.select("doc_id", "n", "digest").join(own, "digest", "left").join(label, "digest", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "own", "doc_id")).alias("component_id"))
