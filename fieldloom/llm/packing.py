@@ -21,11 +21,33 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, cut, words
+from .common import cut, words
+
+#: words that a task remembers at most, and characters of text that it holds split at once; neither changes a result
+KNOWN, TEXT_AT_ONCE = 600_000, 2_000_000
 
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
+MARK = "\x01"
+
+
+def word_ids(tok, texts: list[str]) -> list[bytes]:
+    """The ids of each word as little-endian unsigned 16-bit numbers; words without MARK are encoded together, with MARK between them."""
+    mark = tok.encode(MARK, add_special_tokens=False).ids
+    alone = lambda w: np.array(tok.encode(w, add_special_tokens=False).ids, "<u2").tobytes()
+    out = [None if MARK not in w and len(mark) == 1 else alone(w) for w in texts]
+    rest = [i for i, x in enumerate(out) if x is None]
+    for at in range(0, len(rest), 20_000):
+        some = rest[at : at + 20_000]
+        ids = np.array(tok.encode(f" {MARK} ".join(texts[i] for i in some), add_special_tokens=False).ids, "<u2")
+        ends = np.append(np.flatnonzero(ids == mark[0]), len(ids))
+        raw, begin = ids.tobytes(), 0
+        for i, end in zip(some, ends.tolist(), strict=True):
+            out[i], begin = raw[2 * begin : 2 * end], end + 1
+    return out
+
+
 def tokens(docs: DataFrame, path: str | None = None, end_id: int = 2) -> DataFrame:
     """(part, doc_id, n, ids): ids as little-endian unsigned 16-bit numbers, with the end token."""
 
@@ -35,12 +57,23 @@ def tokens(docs: DataFrame, path: str | None = None, end_id: int = 2) -> DataFra
 
         tok = Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
         # White space always separates tokens of this vocabulary and is dropped, so words can be encoded one by one.
-        cache = Cache(lambda w: np.array(tok.encode(w, add_special_tokens=False).ids, "<u2").tobytes())
+        known: dict[str, bytes] = {}
         end = np.array([end_id], "<u2").tobytes()
         part = TaskContext.get().partitionId()
         for b in batches:
-            ids = [b"".join(map(cache.__getitem__, words(t))) + end for t in b["text"]]
-            yield pd.DataFrame({"part": part, "doc_id": b["doc_id"].astype("Int64"), "n": [len(x) // 2 for x in ids], "ids": ids})
+            texts, at = b["text"].tolist(), 0
+            sizes = np.cumsum([len(t or "") for t in texts])
+            while at < len(texts):
+                to = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + TEXT_AT_ONCE, "right")))
+                rows = [words(t) for t in texts[at:to]]
+                new = list({w for ws in rows for w in ws} - known.keys())
+                if len(known) + len(new) > KNOWN:
+                    known = {}
+                    new = list({w for ws in rows for w in ws})
+                known.update(zip(new, word_ids(tok, new)))
+                ids = [b"".join(map(known.__getitem__, ws)) + end for ws in rows]
+                yield pd.DataFrame({"part": part, "doc_id": b["doc_id"].iloc[at:to].astype("Int64"), "n": [len(x) // 2 for x in ids], "ids": ids})
+                at = to
 
     return docs.select("doc_id", "text").mapInPandas(run, "part int, doc_id bigint, n bigint, ids binary")
 

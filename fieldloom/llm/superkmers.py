@@ -1,200 +1,269 @@
 """Substring dedup by super-k-mer partitioning.
 
 A window is 20 consecutive words. Its minimiser is the least hash among its
-runs of 3 words. Consecutive windows of one minimiser form a super-k-mer that
-travels once, as one packed string, to the bucket of the minimiser; equal
-windows always meet there. A bucket's rows arrive sorted by document and place,
-so the first window of each word sequence is known exactly; later ones count as
-repeats and their words are removed.
-
-Frequent minimisers are found with a table of counters of fixed size (CELLS); a
-cell with more than 1/HOT of all super-k-mers is hot, so there are fewer than
-HOT of them. Buckets of hot cells are salted by document: each salted bucket
-settles the repeats within it and passes on one first place per window; the
-least of those, aggregated per window, settles the rest. No task gathers a hot
-group.
-
-Null text has no words. Rows of one doc_id count as one document. Documents of
-under 20 words are never changed. Null ids sort first.
+runs of 6 words. Consecutive windows of one minimiser form a super-k-mer;
+equal windows always lie in super-k-mers of one minimiser.
+
+First only minimisers and places move: sorted by minimiser, those that occur
+twice or more are known exactly, and all other super-k-mers stay where they
+are. The rest then travel, each once, as one packed string to the bucket of its
+minimiser. A bucket's strings arrive in the order of documents and places;
+sorting its windows (by two 64-bit hashes) puts equal ones together with the
+first in front, and the others count as repeats whose words are removed.
+
+A bucket takes at most MOST super-k-mers. A minimiser with more is split in
+parts by place: each part settles the repeats within it and passes on one
+first place per window; the least of those, aggregated per window, settles the
+rest. So no task gathers a hot group.
+
+Null text has no words. Documents of under 20 words are never changed. Null ids
+sort first. Rows with one doc_id and different texts are documents of their
+own, in the order of a hash of their texts; equal rows are one document, and
+each gets its result. An input column with the name of a result column is
+replaced; other columns stay. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from itertools import chain, groupby
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
+
+from .common import hashed_words, in_order, mix, powers, table_cut
+
+SPAN, MER, MOST = 20, 6, 20_000
+A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+RESULTS = ("n_words", "n_removed", "kept_sha256", "kept")
+
+
+def runs(h: np.ndarray, places: np.ndarray, span: int, mer: int) -> tuple[np.ndarray, ...]:
+    """(row, first window, number of windows, minimiser, whether it occurs twice) of each super-k-mer; h has the word hashes of all rows, places where each row begins."""
+    none = np.zeros(0, np.int64)
+    if len(h) < span:
+        return none, none, none, none, none.astype(bool)
+    m = np.zeros(len(h) - mer + 1, np.uint64)
+    for i in range(mer):
+        m = mix((m ^ h[i : i + len(m)]) * A)
+    low, width, size = m, 1, span - mer + 1
+    while 2 * width <= size:
+        low, width = np.minimum(low[:-width], low[width:]), 2 * width
+    if width < size:
+        low = np.minimum(low[: len(low) - (size - width)], low[size - width :])
+    words = np.diff(places)
+    whole = (np.arange(len(h)) + span <= np.repeat(places[1:], words))[: len(low)]
+    begins = np.zeros(len(h) + 1, bool)
+    begins[places[:-1]] = True
+    first = np.flatnonzero(whole & (begins[: len(low)] | np.append(True, (low[1:] != low[:-1]) | ~whole[:-1])))
+    many = np.add.reduceat(np.append(whole, False).astype(np.int64), first) if len(first) else none
+    mini, last = low[first], first + many - 1
+    hits = np.add.reduceat(np.append((m[: len(low)] == low) & whole, False).astype(np.int64), first) if len(first) else none
+    for i in range(1, size):
+        hits += m[last + i] == mini
+    row = np.searchsorted(places, first, "right") - 1
+    return row, first - places[row], many, mini.view(np.int64), hits > 1
+
+
+def joined(b: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The words, each followed by one space, and where each begins (and the last one ends)."""
+    at = np.append(0, np.cumsum(end - first + 1))
+    out = b[np.minimum(in_order(first, end - first + 1), max(0, len(b) - 1))]
+    out[at[1:] - 1] = 32
+    return out.tobytes(), at
+
+
+def _minimisers(span: int, mer: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, _, _, places, _, _, h in hashed_words(b.column("text")):
+                row, start, _, mini, twice = runs(h, places, span, mer)
+                row = pa.array(lo + row)
+                yield pa.RecordBatch.from_arrays([pa.array(mini), b.column("doc_id").take(row), b.column("tag").take(row), pa.array(2 * start + twice)], names=["mini", "doc_id", "tag", "code"])
 
-from .common import Cache, cut, words
+    return run
 
-SPAN, MER, CELLS, HOT = 20, 3, 1 << 16, 4096
-RUNS = "mini bigint, cell int, doc_id bigint, start bigint, n bigint, again boolean, packed string"
 
+def _repeated(most: int):
+    """Of rows in the order of mini, those whose minimiser occurs twice: their start, and the part of a minimiser with over `most` (else -1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, hot, done = None, None, 0  # rows of the last minimiser; it, if it is known to be hot, and its rows so far
+
+        def work(t: pa.Table, ended: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal held, hot, done
+            mini, code = t.column("mini").to_numpy(), t.column("code").to_numpy()
+            if not len(mini):
+                return
+            begin = np.flatnonzero(np.append(True, mini[1:] != mini[:-1]))
+            size = np.diff(np.append(begin, len(mini)))
+            before = np.zeros(len(begin), np.int64)
+            before[0] = done if hot == mini[0] else 0
+            large = before + size > most
+            index = np.arange(len(mini)) - np.repeat(begin - before, size)
+            send = np.repeat((before + size > 1), size) | (code % 2 == 1)
+            cut = len(mini)
+            if not ended and not large[-1]:
+                cut = int(begin[-1])
+            hot, done = (mini[-1], int(before[-1] + size[-1])) if large[-1] else (None, 0)
+            held = t.slice(cut) if cut < len(mini) else None
+            send[cut:] = False
+            part = np.where(np.repeat(large, size), index // most, -1)
+            for r in t.filter(pa.array(send)).combine_chunks().to_batches():
+                yield pa.RecordBatch.from_arrays([r.column("doc_id"), r.column("tag"), pa.array((code[send] // 2 << 20) + part[send] + 1)], names=["doc_id", "tag", "code"])
 
-def _hash_cache() -> Cache:
-    import xxhash
+        for b in batches:
+            new = pa.Table.from_batches([b])
+            yield from work(pa.concat_tables([held, new]) if held is not None else new, False)
+        if held is not None:
+            yield from work(held, True)
 
-    return Cache(lambda w: xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")))
+    return run
 
 
-def minimisers(ws: list[str], cache: Cache, span: int = SPAN, mer: int = MER) -> tuple[np.ndarray, np.ndarray]:
-    """The minimiser of each window, and the hashes of the runs of `mer` words."""
-    h = np.fromiter(map(cache.__getitem__, ws), np.uint64, len(ws))
-    n = len(h) - mer + 1
-    m = np.zeros(n, np.uint64)
-    for k in range(mer):
-        m = (m ^ h[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
-        m ^= m >> np.uint64(29)
-    size = span - mer + 1
-    low, width = m, 1
-    while width * 2 <= size:
-        low = np.minimum(low[:-width], low[width:])
-        width *= 2
-    if width < size:
-        low = np.minimum(low[: len(low) - (size - width)], low[size - width :])
-    return low, m
+def _packed(span: int, mer: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            codes = b.column("codes")
+            for lo, hi, raw, places, first, end, h in hashed_words(b.column("text")):
+                row, start, many, mini, _ = runs(h, places, span, mer)
+                code, owner = pa.array(codes.slice(lo, hi - lo)).flatten().to_numpy(), np.repeat(np.arange(hi - lo), np.diff(codes.slice(lo, hi - lo).offsets.to_numpy()))
+                # all runs of the rows are in order of row and start, so the places sent are found by search
+                order = np.argsort(owner << 40 | code >> 20, kind="stable")
+                at = np.searchsorted(row << 40 | start, (owner << 40 | code >> 20)[order])
+                text, begin = joined(raw, first, end)
+                head = places[row[at]] + start[at]
+                packed = [text[x : y - 1] for x, y in zip(begin[head].tolist(), begin[head + many[at] + span - 1].tolist())]
+                rows = pa.array(lo + row[at])
+                part = (code[order] & (1 << 20) - 1) - 1
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(mini[at]), pa.array(part), b.column("doc_id").take(rows), b.column("tag").take(rows), pa.array(start[at]), pa.array(packed, pa.binary())], names=["mini", "part", "doc_id", "tag", "start", "packed"]
+                )
 
+    return run
 
-def runs(docs: DataFrame, span: int = SPAN, mer: int = MER, packed: bool = True) -> DataFrame:
-    """Super-k-mers, or with packed=False one counter row per cell and batch."""
 
-    def cells(mini: np.ndarray) -> np.ndarray:
-        return ((mini >> np.uint64(40)) % np.uint64(CELLS)).astype(np.int64)
+FOUND = "window binary, doc_id bigint, tag bigint, start bigint, many bigint"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = _hash_cache()
-        counts = np.zeros(CELLS, np.int64)
-        for b in batches:
-            out: list[tuple] = []
-            for doc_id, text in zip(b["doc_id"], b["text"]):
-                ws = words(text)
-                if len(ws) < span:
-                    continue
-                low, m = minimisers(ws, cache, span, mer)
-                begin = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
-                mini = low[begin]
-                if not packed:
-                    counts += np.bincount(cells(mini), minlength=CELLS)
-                    continue
-                end = np.append(begin[1:], len(low))
-                values, many = np.unique(m, return_counts=True)
-                again = np.isin(mini, values[many > 1])
-                for v, c, s, e, a in zip(mini.view(np.int64).tolist(), cells(mini).tolist(), begin.tolist(), end.tolist(), again.tolist()):
-                    out.append((v, c, doc_id, s, e - s, a, " ".join(ws[s : e + span - 1])))
-                if len(out) > 20_000:
-                    yield frame(out)
-                    out = []
-            if packed:
-                yield frame(out)
-        if not packed:
-            at = np.flatnonzero(counts)
-            yield pd.DataFrame({"cell": at.astype(np.int32), "n": counts[at]})
-
-    def frame(out: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(out, columns=[c.split()[0] for c in RUNS.split(", ")]).astype({"doc_id": "Int64"})
-
-    return docs.select("doc_id", "text").mapInPandas(run, RUNS if packed else "cell int, n bigint")
-
-
-def _place(doc_id, start) -> tuple:
-    return (False, 0, start) if pd.isna(doc_id) else (True, int(doc_id), start)
-
-
-FOUND = "window binary, doc_id bigint, starts array<bigint>"
-
-
-def _bucket(span: int):
-    """Windows that repeat an earlier one of their bucket, per super-k-mer; for salted buckets also each window's first place there.
-
-    Rows arrive sorted by minimiser, salt, document and place.
-    """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def rows():
-            for b in batches:
-                yield from zip(b["mini"], b["salt"], b["doc_id"], b["start"], b["n"], b["again"], b["packed"])
+def _bucket(span: int, rows_at_once: int = 20_000):
+    """Ranges of windows that repeat an earlier one of their bucket; of parts also each window's first place.
 
-        def frame(out):
-            return pd.DataFrame(out, columns=["window", "doc_id", "starts"]).astype({"doc_id": "Int64"})
+    Rows arrive in the order of minimiser, part, document and place.
+    """
 
-        out: list[tuple] = []
-        for (_, salt), group in groupby(rows(), key=lambda r: r[:2]):
-            first: dict[tuple, tuple] = {}
-            held = next(group)
-            following = next(group, None)
-            if following is None and not held[5] and salt < 0:
+    def work(t: pa.Table) -> pa.RecordBatch:
+        t = t.combine_chunks()
+        mini, part, start = (t.column(c).to_numpy() for c in ("mini", "part", "start"))
+        bucket = np.append(0, np.cumsum((mini[1:] != mini[:-1]) | (part[1:] != part[:-1])))
+        row, place, one, two = [], [], [], []
+        for lo, hi, _, places, _, _, h in hashed_words(t.column("packed")):
+            windows = np.diff(places) - span + 1
+            at = in_order(places[:-1], windows)
+            for out, code in ((one, h), (two, mix(h ^ B))):
+                sums = np.append(np.uint64(0), np.cumsum(code * powers("up", len(h))[: len(h)]))
+                out.append(mix((sums[at + span] - sums[at]) * powers("down", len(h) + 1)[at]))
+            row.append(np.repeat(np.arange(lo, hi), windows))
+            place.append(in_order(start[lo:hi], windows))
+        row, place, one, two = map(np.concatenate, (row, place, one, two))
+        order = np.lexsort((two, one, bucket[row]))
+        b, x, y = bucket[row][order], one[order], two[order]
+        leads = np.append(True, (b[1:] != b[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))
+        first = np.zeros(len(row), bool)
+        first[order[leads]] = True
+        # ranges of repeats, within one super-k-mer each
+        again = ~first
+        begin = np.flatnonzero(again & np.append(True, ~again[:-1] | (row[1:] != row[:-1])))
+        last = np.flatnonzero(again & np.append(~again[1:] | (row[1:] != row[:-1]), True))
+        local = np.flatnonzero(first & (part[row] >= 0))
+        prints = np.stack([one[local], two[local]], 1).astype("<u8").tobytes()
+        taken = pa.array(np.append(row[begin], row[local]))
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([None] * len(begin) + [prints[16 * i : 16 * i + 16] for i in range(len(local))], pa.binary()),
+                *(t.column(c).combine_chunks().take(taken) for c in ("doc_id", "tag")),
+                pa.array(np.append(place[begin], place[local])),
+                pa.array(np.append(last - begin + 1, np.ones(len(local), np.int64))),
+            ],
+            names=["window", "doc_id", "tag", "start", "many"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for b in batches:
+            if not b.num_rows:
                 continue
-            for _, _, doc_id, start, n, _, text in chain([held] if following is None else [held, following], group):
-                ws, starts = text.split(" "), []
-                for i in range(n):
-                    at = _place(doc_id, start + i)
-                    if first.setdefault(tuple(ws[i : i + span]), at) < at:
-                        starts.append(start + i)
-                if starts:
-                    out.append((None, doc_id, starts))
-                if len(out) > 10_000:
-                    yield frame(out)
-                    out = []
-            if salt >= 0:
-                for w, (known, doc_id, start) in first.items():
-                    out.append((hashlib.blake2b(" ".join(w).encode("utf-8", "surrogatepass"), digest_size=16).digest(), doc_id if known else None, [start]))
-        yield frame(out)
+            held.append(b)
+            if sum(x.num_rows for x in held) < rows_at_once:
+                continue
+            t = pa.Table.from_batches(held)
+            mini, part = t.column("mini").to_numpy(), t.column("part").to_numpy()
+            cut = np.flatnonzero((mini != mini[-1]) | (part != part[-1]))
+            if len(cut):
+                yield work(t.slice(0, int(cut[-1]) + 1))
+                held = t.slice(int(cut[-1]) + 1).to_batches()
+        if held:
+            yield work(pa.Table.from_batches(held))
 
     return run
 
 
-def repeats(docs: DataFrame, span: int = SPAN, mer: int = MER) -> DataFrame:
-    """(doc_id, starts): start places of windows that repeat an earlier one, a row or more per document."""
-    count = runs(docs, span, mer, packed=False).groupBy("cell").agg(F.sum("n").alias("n")).collect()
-    total = sum(r["n"] for r in count)
-    most = max(64, total / HOT)
-    hot = [r["cell"] for r in count if r["n"] > most]
-    salts = int(max((r["n"] for r in count), default=0) / most) + 1
-    salt = F.lit(-1).cast("long")
-    if hot:
-        salt = F.when(F.col("cell").isin(hot), F.pmod(F.xxhash64("doc_id"), F.lit(salts))).otherwise(salt)
-    rows = runs(docs, span, mer).withColumn("salt", salt).select("mini", "salt", "doc_id", "start", "n", "again", "packed")
-    found = rows.repartition("mini", "salt").sortWithinPartitions("mini", "salt", "doc_id", "start").mapInPandas(_bucket(span), FOUND)
-    if not hot:
-        return found.select("doc_id", "starts")
-    found = cut(found)
-    local = found.where("window is not null").select("window", F.struct(F.col("doc_id"), F.col("starts")[0].alias("start")).alias("place"))
+def repeats(docs: DataFrame, unique: bool, span: int = SPAN, mer: int = MER, most: int = MOST) -> DataFrame:
+    """(doc_id, tag, start, many): ranges of windows that repeat an earlier one; docs(doc_id, tag, text), unique if no (doc_id, tag) comes twice."""
+    minis = docs.mapInArrow(_minimisers(span, mer), "mini bigint, doc_id bigint, tag bigint, code bigint")
+    twice = minis.repartition("mini").sortWithinPartitions("mini", "doc_id", "tag", "code").mapInArrow(_repeated(most), "doc_id bigint, tag bigint, code bigint")
+    twice = twice if unique else twice.distinct()
+    codes = twice.groupBy("doc_id", "tag").agg(F.collect_list("code").alias("codes")).withColumnsRenamed({"doc_id": "id", "tag": "of"})
+    one = docs if unique else docs.groupBy("doc_id", "tag").agg(F.first("text").alias("text"))
+    texts = one.join(codes, one["doc_id"].eqNullSafe(codes["id"]) & (one["tag"] == codes["of"])).select("doc_id", "tag", "text", "codes")
+    packed = texts.mapInArrow(_packed(span, mer), "mini bigint, part bigint, doc_id bigint, tag bigint, start bigint, packed binary")
+    found = table_cut(packed.repartition("mini", "part").sortWithinPartitions("mini", "part", "doc_id", "tag", "start").mapInArrow(_bucket(span), FOUND))
+    local = found.where("window is not null").select("window", F.struct("doc_id", "tag", "start").alias("place"))
     first = local.groupBy("window").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last").select("window", "first")
-    later = local.join(first, "window").where("place > first").select(F.col("place.doc_id").alias("doc_id"), F.array("place.start").alias("starts"))
-    return found.where("window is null").select("doc_id", "starts").unionByName(later)
-
+    later = local.join(first, "window").where("place > first").select("place.*", F.lit(1).cast("bigint").alias("many"))
+    return found.where("window is null").select("doc_id", "tag", "start", "many").unionByName(later)
 
-def dedup(docs: DataFrame, span: int = SPAN, mer: int = MER) -> DataFrame:
-    """docs with (n_words, n_removed, kept_sha256, kept): the words that stay, joined by a space; kept is the text itself if nothing goes."""
-    found = repeats(docs, span, mer).groupBy(F.col("doc_id").alias("__id")).agg(F.flatten(F.collect_list("starts")).alias("__starts"))
-    joined = docs.join(found, docs["doc_id"].eqNullSafe(found["__id"]), "left").drop("__id")
-    names = docs.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_words bigint, n_removed bigint, kept_sha256 string, kept string"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _removed(names: list[str], span: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for text, starts in zip(b["text"], b["__starts"]):
-                ws = words(text)
-                keep = ws
-                if starts is not None and len(starts):
-                    gone = np.zeros(len(ws) + 1, np.int64)
-                    at = np.asarray(starts, np.int64)
-                    at = at[at + span <= len(ws)]
-                    np.add.at(gone, at, 1)
-                    np.add.at(gone, at + span, -1)
-                    gone = np.cumsum(gone)
-                    keep = [w for w, g in zip(ws, gone) if not g]
-                line = " ".join(keep)
-                digest = hashlib.sha256(line.encode("utf-8", "surrogatepass")).hexdigest()
-                out.append((len(ws), len(ws) - len(keep), digest, text if len(keep) == len(ws) else line))
-            more = pd.DataFrame(out, columns=["n_words", "n_removed", "kept_sha256", "kept"], index=b.index)
-            ints = {f: "Int64" for f, t in zip(names, kinds) if t in ("bigint", "int")}
-            yield pd.concat([b[names].astype(ints), more], axis=1)
-
-    kinds = [f.dataType.simpleString() for f in docs.schema]
-    return joined.mapInPandas(run, schema)
+            n_words, n_removed, digests, kept = [], [], [], []
+            starts, manys = (b.column(c) for c in ("__starts", "__manys"))
+            for lo, hi, raw, places, first, end, _ in hashed_words(b.column("__text")):
+                s, many = (x.slice(lo, hi - lo) for x in (starts, manys))
+                sizes = np.diff(s.offsets.to_numpy()) * s.is_valid().to_numpy(zero_copy_only=False)
+                at = np.repeat(places[:-1], sizes) + s.flatten().to_numpy()
+                gone = np.zeros(len(first) + 1, np.int64)
+                np.add.at(gone, at, 1)
+                np.add.at(gone, at + many.flatten().to_numpy() + span - 1, -1)
+                keep = np.cumsum(gone)[:-1] == 0
+                text, begin = joined(raw, first[keep], end[keep])
+                stay = np.append(0, np.cumsum(keep))[places]
+                for x, y, words in zip(stay.tolist(), stay[1:].tolist(), np.diff(places).tolist()):
+                    line = text[begin[x] : begin[y] - 1] if y > x else b""
+                    n_words.append(words)
+                    n_removed.append(words - (y - x))
+                    digests.append(hashlib.sha256(line).hexdigest())
+                    kept.append(line if y - x < words else None)
+            new = pa.array(kept, pa.binary())
+            new = pa.StringArray.from_buffers(len(new), new.buffers()[1], new.buffers()[2], new.buffers()[0])
+            out = pc.if_else(pa.array(np.array(n_removed, np.int64) > 0), new, b.column("__text"))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string()), out], names=[*names, *RESULTS])
+
+    return run
+
+
+def dedup(docs: DataFrame, span: int = SPAN, mer: int = MER, most: int = MOST) -> DataFrame:
+    """docs with (n_words, n_removed, kept_sha256, kept): the words that stay, joined by a space; kept is the text itself if nothing goes."""
+    docs = docs.drop(*RESULTS)
+    unique = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() == 0
+    tag = F.lit(0).cast("bigint") if unique else F.xxhash64(F.col("text").cast("binary"))
+    found = repeats(docs.select("doc_id", tag.alias("tag"), "text"), unique, span, mer, most)
+    found = found.groupBy(F.col("doc_id").alias("__id"), F.col("tag").alias("__of")).agg(F.collect_list("start").alias("__starts"), F.collect_list("many").alias("__manys"))
+    joined_docs = docs.withColumn("__text", F.col("text")).join(found, docs["doc_id"].eqNullSafe(found["__id"]) & (tag == found["__of"]), "left").drop("__id", "__of")
+    schema = StructType([*docs.schema.fields, *(StructField(n, t) for n, t in zip(RESULTS, (LongType(), LongType(), StringType(), StringType())))])
+    return joined_docs.mapInArrow(_removed(docs.columns, span), schema)

@@ -228,16 +228,35 @@ def _dedup(rows):
     return out
 
 
-@pytest.mark.parametrize("hot", [4096, 1e12])
-def test_superkmers(monkeypatch, spark, docs, rows, empty, hot):
-    monkeypatch.setattr(superkmers, "HOT", hot)
+@pytest.mark.parametrize("most", [superkmers.MOST, 40])
+def test_superkmers(spark, docs, rows, empty, most):
     extra = {20_000 + i: rows[min(rows)] for i in range(150)}
     more = spark.createDataFrame([(k, t, "", "", 1, "", "", "") for k, t in extra.items()], SCHEMA)
-    got = superkmers.dedup(docs.union(more)).collect()
+    got = superkmers.dedup(docs.union(more), most=most).collect()
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} == _dedup(rows | extra)
     assert superkmers.dedup(empty).count() == 0
 
 
+def test_superkmers_of_repeated_ids(spark):
+    """Rows of one id with other texts are documents of their own, equal rows are one; null ids come first; columns named like results are replaced."""
+    line = lambda c: " ".join(f"{c}{i}" for i in range(60))
+    rows = [(1, line("a"), "x"), (2, line("b"), "y"), (2, line("a"), "z"), (3, line("c"), "u"), (3, line("c"), "v"), (None, line("d"), "w"), (4, line("d"), None), (5, None, None)]
+    got = superkmers.dedup(spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id bigint, text string, kept string, n_words string, more int")).collect()
+    assert sorted((r["doc_id"] or 0, r["n_words"], r["n_removed"]) for r in got) == [(0, 60, 0), (1, 60, 0), (2, 60, 0), (2, 60, 60), (3, 60, 0), (3, 60, 0), (4, 60, 60), (5, 0, 0)]
+    assert {r["more"] for r in got} == {1} and next(r["kept"] for r in got if r["doc_id"] == 3) == line("c")
+
+
+def test_packing_marks(spark):
+    """Words that hold the mark, combining signs and other white space are encoded as within a whole text."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [f"a{packing.MARK}b {packing.MARK} it's e \u0301x e\u0301 \u00a0q\u3000r 12a! {packing.MARK * 3}", packing.MARK, " ".join(f"w{i}" for i in range(30_000))]
+    got = {r["doc_id"]: r["ids"] for r in packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), size=1 << 20, with_ids=True).collect()}
+    assert got == {i: tok.encode(t, add_special_tokens=False).ids + [2] for i, t in enumerate(texts)}
+
+
 def test_packing(docs, rows, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
