@@ -137,11 +137,21 @@ def _pieces(b: np.ndarray, begins: np.ndarray) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def hashed_words(column: pa.Array, fold: bool = False, most: int = 4 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def trimmed(b: np.ndarray, first: np.ndarray, end: np.ndarray, marks: np.ndarray, most: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """The byte ranges without up to `most` bytes of the table marks at either side; a range of such bytes alone keeps its last one."""
+    first, end = first.copy(), end.copy()
+    for _ in range(most if len(first) else 0):
+        end -= marks[b[end - 1]] & (end - first > 1)
+        first += marks[b[first]] & (end - first > 1)
+    return first, end
+
+
+def hashed_words(column: pa.Array, fold: bool = False, most: int = 4 << 20, marks: np.ndarray | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """The words of a string or binary column, some rows at a time: of about `most` bytes, or one longer text.
 
     Each item is (first row, end row, bytes, place of each row's first word and of the end,
-    first bytes, end bytes, hashes); fold lower-cases A-Z for the hashes. A null has no words.
+    first bytes, end bytes, hashes); fold lower-cases A-Z for the hashes, marks trims bytes of
+    that table for them. A null has no words.
     """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -159,7 +169,7 @@ def hashed_words(column: pa.Array, fold: bool = False, most: int = 4 << 20) -> I
         for x, y in _pieces(b, begins):
             inner = begins[np.searchsorted(begins, x) : np.searchsorted(begins, y)] - x
             f, e = word_bounds(b[x:y], inner)
-            hashes.append(bytes_hashes(b[x:y], f, e, fold))
+            hashes.append(bytes_hashes(b[x:y], *((f, e) if marks is None else trimmed(b[x:y], f, e, marks)), fold))
             firsts.append(f + x)
             ends.append(e + x)
         none = np.zeros(0, np.int64)

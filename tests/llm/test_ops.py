@@ -129,7 +129,7 @@ def test_cotraining(spark, docs, empty):
     real = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     model = cotraining.fit(real, labels)
-    assert model["held_accuracy"] > 0.9
+    assert model["accuracy"] > 0.9
     out = cotraining.score(docs, model)
     assert out.columns[: len(docs.columns)] == docs.columns and out.count() == docs.count()
     assert cotraining.classify(docs, labels.limit(0)).where("not kept").count() == 0
