@@ -60,7 +60,7 @@ def test_features_of_rows(spark):
         n, chars = max(1, len(ws)), max(1, len(text or ""))
         want = [1, 10 * sum(c in "#*$%&|<>!{}=;" for c in text or "") / chars, 5 * sum(w.isascii() and w.isupper() for w in ws) / n, sum(len(w.encode()) for w in ws) / n / 10, 3 * (1 - len(set(lines)) / max(1, len(lines))), 2 * len({w.lower() for w in bare}) / n, np.log1p(len(ws)) / 10, 10 * sum(c.isdigit() for c in text or "") / chars]
         assert x == pytest.approx(want if ws else [1] + [0] * 7)
-        assert (len(places) > 0) == bool(ws) and len(places) <= 2 * len(set(bare))
+        assert (len(places) > 0) == bool(ws) and len(places) <= 2 * len(set(ws))
 
 
 def test_clashing_columns_and_accuracy(spark):
