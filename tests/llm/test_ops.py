@@ -246,13 +246,13 @@ def test_superkmers_of_repeated_ids(spark):
     assert {r["more"] for r in got} == {1} and next(r["kept"] for r in got if r["doc_id"] == 3) == line("c")
 
 
-def test_packing_marks(spark):
-    """Words that hold the mark, combining signs and other white space are encoded as within a whole text."""
+def test_packing_words(spark):
+    """Words of any characters are encoded as within a whole text."""
     import public_tokenizers
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    texts = [f"a{packing.MARK}b {packing.MARK} it's e \u0301x e\u0301 \u00a0q\u3000r 12a! {packing.MARK * 3}", packing.MARK, " ".join(f"w{i}" for i in range(30_000))]
+    texts = ["a\x01b \x01 it's DON'T 'sx ''s e \u0301x e\u0301 \u00a0q\u3000r 12a! \x85 \x1c", " ".join(f"{chr(c)} a{chr(c)}B{chr(c)}{chr(c)}" for c in range(1, 700)), " ".join(f"w{i}" for i in range(30_000))]
     got = {r["doc_id"]: r["ids"] for r in packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), size=1 << 20, with_ids=True).collect()}
     assert got == {i: tok.encode(t, add_special_tokens=False).ids + [2] for i, t in enumerate(texts)}
 
