@@ -15,7 +15,3 @@ def first_number(text: Column) -> Column:
     padded = F.regexp_replace(F.regexp_replace(found, ",", ""), r"(?<![^+-])\.", "0.")
     return F.nullif(F.regexp_replace(padded, r"^\+", ""), F.lit(""))
 
-
-def normalized_key(text: Column) -> Column:
-    """Lower case without white space and punctuation, to compare labels."""
-    return F.regexp_replace(F.lower(text), r"[\s:·.,()\[\]]", "")

@@ -31,9 +31,10 @@ def outliers(values: DataFrame, k: float = 3.0, least: int = 4, most: int = 2, m
     return with_q.join(hits, KEYS).select("form", "record_key", "field", "value", F.round("lo", 4).alias("lo"), F.round("hi", 4).alias("hi"), (F.coalesce("far", F.lit(False)) & ok).alias("is_outlier"))
 
 
-def dedup_names(df: DataFrame, name: str, order: list[str], by: list[str]) -> DataFrame:
-    """Repeated names get a suffix: name, name (2), name (3); blank names go."""
+def unique_boxes(df: DataFrame, name: str, order: str, by: list[str], default: str = "항목") -> DataFrame:
+    """Names are trimmed, blank ones take the default; from the second on a repeated name gets a suffix: name, name (2), name (3)."""
     from pyspark.sql.window import Window
 
-    n = F.row_number().over(Window.partitionBy(*by, name).orderBy(*order))
-    return df.where(F.trim(name) != "").withColumn("unique_name", F.when(n == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit(" ("), n.cast("string"), F.lit(")"))))
+    named = df.withColumn("_name", F.coalesce(F.nullif(F.trim(name), F.lit("")), F.lit(default)))
+    n = F.row_number().over(Window.partitionBy(*by, "_name").orderBy(order))
+    return named.withColumn("unique_name", F.when(n == 1, F.col("_name")).otherwise(F.concat("_name", F.lit(" ("), n.cast("string"), F.lit(")")))).drop("_name")

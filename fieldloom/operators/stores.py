@@ -11,14 +11,17 @@ def upsert_last(rows: DataFrame, key: str, order: str, columns: list[str]) -> Da
     return rows.groupBy(key).agg(F.min(order).alias("first_pos"), *[F.max_by(c, order).alias(c) for c in columns])
 
 
-def corrected(rows: DataFrame, corrections: DataFrame, keys: list[str]) -> DataFrame:
-    """A correction (keys, new_value) replaces value and clears flag."""
-    j = rows.join(corrections, keys, "left")
-    return j.withColumn("flag", F.when(F.col("new_value").isNotNull(), F.lit("")).otherwise(F.col("flag"))).withColumn("value", F.coalesce("new_value", "value")).drop("new_value")
+def corrected(rows: DataFrame, corrections: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The last correction (keys, order, new_value) of a key replaces value, even by null, and clears flag; one without a row adds it."""
+    last = corrections.groupBy(*keys).agg(F.max_by(F.struct("new_value"), order).alias("_c"))
+    j = rows.join(last, keys, "full")
+    hit = F.col("_c").isNotNull()
+    return j.withColumn("flag", F.when(hit, F.lit("")).otherwise(F.col("flag"))).withColumn("value", F.when(hit, F.col("_c.new_value")).otherwise(F.col("value"))).drop("_c")
 
 
 def first_non_empty(rows: DataFrame, key: str, order: str, column: str) -> DataFrame:
-    return rows.groupBy(key).agg(F.min_by(column, order).alias("_any"), F.expr(f"min_by({column}, {order}) FILTER (WHERE trim({column}) <> '')").alias("first_value")).drop("_any")
+    """(key, first_value): the first value that is not blank; null without one."""
+    return rows.groupBy(key).agg(F.min_by(column, F.when(F.trim(column) != "", F.col(order))).alias("_v"), F.count_if(F.trim(column) != "").alias("_n")).select(key, F.when(F.col("_n") > 0, F.col("_v")).alias("first_value"))
 
 
 def incremental(rows: DataFrame, seq: str, since: int, limit: int = 500) -> DataFrame:
@@ -34,8 +37,10 @@ def sync(rows: DataFrame, seq: str, since: int, key: str, known: DataFrame) -> D
 
 
 def idempotent(entries: DataFrame, key: str, seq: str) -> DataFrame:
-    """An entry that is sent again counts once, under its first number."""
-    return entries.groupBy(key).agg(F.min(seq).alias("seq"), F.count("*").alias("times_sent"))
+    """An entry that is sent again counts once, as first sent; times_sent counts all."""
+    others = [c for c in entries.columns if c not in (key, seq)]
+    first = entries.groupBy(key).agg(F.min_by(F.struct(seq, *others), seq).alias("_first"), F.count("*").alias("times_sent"))
+    return first.select(key, F.col(f"_first.{seq}").alias("seq"), *[f"_first.{c}" for c in others], "times_sent")
 
 
 def label_counts(rows: DataFrame, column: str, blank: str = "(none)") -> DataFrame:
