@@ -146,7 +146,7 @@ def trimmed(b: np.ndarray, first: np.ndarray, end: np.ndarray, marks: np.ndarray
     return first, end
 
 
-def hashed_words(column: pa.Array, fold: bool = False, most: int = 4 << 20, marks: np.ndarray | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def hashed_words(column: pa.Array, fold: bool = False, most: int = 2 << 20, marks: np.ndarray | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """The words of a string or binary column, some rows at a time: of about `most` bytes, or one longer text.
 
     Each item is (first row, end row, bytes, place of each row's first word and of the end,

@@ -95,11 +95,11 @@ def unpacked(shape: list[bytes], words: list[bytes], meta: list[bytes]) -> Views
 def text_views(column: pa.Array) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
     """(shapes, places of distinct words and endings) of some rows at a time."""
     lengths = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
-    for lo, hi, b, places, first, end, h in hashed_words(column, fold=True, marks=MARKS):
+    for lo, hi, b, places, first, end, h in hashed_words(column, fold=True, marks=MARKS, most=1 << 20):
         begin = np.append(0, np.cumsum(lengths[lo:hi]))
         shape, at = np.zeros((hi - lo, SHAPES)), []
         shape[:, 0] = 1
-        sums = {k: np.append(0, np.cumsum(t[b])) for k, t in (("symbol", SYMBOLS), ("digit", DIGITS), ("upper", UPPER), ("lower", LOWER), ("char", ~INNER), ("wide", LEADS))}
+        sums = {k: np.append(np.int32(0), np.cumsum(t[b], dtype=np.int32)) for k, t in (("symbol", SYMBOLS), ("digit", DIGITS), ("upper", UPPER), ("lower", LOWER), ("char", ~INNER), ("wide", LEADS))}
         capital = (sums["upper"][end] > sums["upper"][first]) & (sums["lower"][end] == sums["lower"][first])
         size = end - first
         ending = np.zeros(len(first), np.int64)
@@ -230,7 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int =
     of = lambda some: unpacked(*([r[c] for r in some] for c in ("shape", "words", "meta")))
     tenth = max(2, len(rows) // 10)
     quota = (max(1, int(tenth * (1 - good.mean()))), max(1, int(tenth * good.mean())))
-    pool = table_cut(views(named.join(known.select("doc_id"), "doc_id", "left_anti"))) if rounds else None
+    pool = table_cut(views(named).join(known.select("doc_id"), "doc_id", "left_anti")) if rounds else None
     extra: list[dict] = [{}, {}]  # what each model learns from the other view: doc_id -> (label, row)
     for r in range(rounds + 1):
         models = []
