@@ -16,7 +16,8 @@ by a keyed token of its own, its domain stays.
 
 Only SQL functions are used: the text is split around the matches once and
 the pieces are joined again. Null text stays null, texts without a match stay
-as they are, other columns are untouched.
+as they are. An input column named n_found or n_changed is replaced; other
+columns are untouched. Repeated rows repeat, an empty table gives no rows.
 """
 
 from __future__ import annotations

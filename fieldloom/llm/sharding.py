@@ -9,8 +9,11 @@ table of all hashes is ever held.
 
 Null text has 0 bytes; a null id hashes as the empty string. Equal ids share
 all bits: a bucket of one single hash cannot split, so its rows are cut by
-running bytes (part > 0); a single row above the limit is a shard of its own
-and marked over_limit. An empty table gives no shards.
+running bytes (part > 0): a row of over half the limit is a part of its own,
+the others are cut where half the limit is full, so no part exceeds the limit
+but a single row that does, which is marked over_limit. Such a bucket is dealt
+by a hash of its texts first, over as many tasks as its bytes ask for, so a
+stage that runs again deals the same. An empty table gives no shards.
 """
 
 from __future__ import annotations
@@ -28,9 +31,11 @@ def hash_bits(doc_id: Column, step: int = STEP, rounds: int = ROUNDS) -> Column:
     return F.concat(*[F.lpad(F.conv(F.substring(hexed, 1 + k * step // 4, step // 4), 16, 2), step, "0") for k in range(rounds)])
 
 
-def shards(docs: DataFrame, limit: int = 8 << 20, step: int = STEP, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, n_bytes, shard, local_depth, part, over_limit) per row of docs(doc_id, text)."""
-    rows = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), hash_bits(F.col("doc_id"), step, rounds).alias("bits"))
+def shards(docs: DataFrame, limit: int = 8 << 20, step: int = STEP, rounds: int = ROUNDS, carry: bool = False) -> DataFrame:
+    """(doc_id, n_bytes, shard, local_depth, part, over_limit) per row of docs(doc_id, text); carry adds the whole row as a struct named row."""
+    row = [F.struct(*docs.columns).alias("row")] if carry else []
+    rows = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), hash_bits(F.col("doc_id"), step, rounds).alias("bits"), F.xxhash64("text").alias("of"), *row)
+    names = ["doc_id", "n_bytes", "bits", "of", *["row"] * carry]
     done, rest = None, rows
     for r in range(rounds):
         base = r * step
@@ -46,26 +51,29 @@ def shards(docs: DataFrame, limit: int = 8 << 20, step: int = STEP, rounds: int
         )
         at = rest.withColumn("cell", F.substring("bits", 1, base + step)).join(depth, "cell", "left")
         at = at.withColumn("local_depth", F.coalesce(F.col("deepest") + 1, F.lit(base)))
-        fits = at.where(F.col("local_depth") <= base + step).select("doc_id", "n_bytes", "bits", "local_depth", F.lit(0).cast("long").alias("part"))
+        fits = at.where(F.col("local_depth") <= base + step).select(*names, "local_depth", F.lit(0).cast("long").alias("part"))
         done = fits if done is None else done.unionByName(fits)
-        rest = at.where(F.col("local_depth") > base + step).select("doc_id", "n_bytes", "bits")
+        rest = at.where(F.col("local_depth") > base + step).select(*names)
         if cells.where(F.col("b") > limit).limit(1).count() == 0:
             return _named(done, limit)
-    # One hash, many rows: cut by the bytes before each row, spread first so that no task holds the whole group.
-    salted = rest.withColumn("salt", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1024)))
-    w = Window.partitionBy("bits", "salt").orderBy("doc_id", "n_bytes").rowsBetween(Window.unboundedPreceding, -1)
-    ends = salted.withColumn("before", F.coalesce(F.sum("n_bytes").over(w), F.lit(0))).withColumn("part", (F.col("before") / F.lit(max(1, limit // 2))).cast("long") * 1024 + F.col("salt") + 1)
-    return _named(done.unionByName(ends.select("doc_id", "n_bytes", "bits", F.lit(step * rounds).alias("local_depth"), "part")), limit)
+    # One hash, many rows: dealt by a hash of the text where a bucket has many times the limit.
+    dealt = rest.join(rest.groupBy("bits").agg(F.least(F.lit(1024), F.ceil(F.sum("n_bytes") / (64 * limit))).alias("salts")), "bits")
+    dealt = dealt.withColumn("salt", F.pmod("of", F.greatest(F.lit(1), F.col("salts")))).withColumn("large", F.col("n_bytes") > limit / 2)
+    w = Window.partitionBy("bits", "salt", "large").orderBy("doc_id", "of", "n_bytes")
+    before = F.coalesce(F.sum("n_bytes").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    nth = F.when(F.col("large"), 2 * F.row_number().over(w) + 1).otherwise(2 * F.floor(before / max(1, limit // 2)))
+    ends = dealt.withColumn("part", nth.cast("long") * 1024 + F.col("salt") + 1)
+    return _named(done.unionByName(ends.select(*names, F.lit(step * rounds).alias("local_depth"), "part")), limit)
 
 
 def _named(df: DataFrame, limit: int) -> DataFrame:
-    return df.select("doc_id", "n_bytes", F.expr("substring(bits, 1, local_depth)").alias("shard"), F.col("local_depth").cast("long").alias("local_depth"), "part", (F.col("n_bytes") > limit).alias("over_limit"))
+    return df.select("doc_id", "n_bytes", F.expr("substring(bits, 1, local_depth)").alias("shard"), F.col("local_depth").cast("long").alias("local_depth"), "part", (F.col("n_bytes") > limit).alias("over_limit"), *[c for c in df.columns if c == "row"])
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = 8 << 20) -> None:
-    """Write every row of docs into the folder of its shard."""
-    where = shards(docs, limit).select("doc_id", "shard", "part").distinct()
-    docs.join(where, docs["doc_id"].eqNullSafe(where["doc_id"])).drop(where["doc_id"]).write.partitionBy("shard", "part").parquet(path)
+    """Write every row of docs, once, into the folder of its shard and part; input columns named shard or part are replaced by these."""
+    kept = docs.drop("shard", "part")
+    shards(kept, limit, carry=True).select("row.*", "shard", "part").write.partitionBy("shard", "part").parquet(path)
 
 
 def oracle(limit: int = 8 << 20) -> str:

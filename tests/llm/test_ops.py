@@ -237,6 +237,25 @@ def test_superkmers(spark, docs, rows, empty, most):
     assert superkmers.dedup(empty).count() == 0
 
 
+def test_sharding_of_one_id(spark, tmp_path):
+    """Many rows of one id: no part exceeds the limit but single rows that do, and every row is written once."""
+    sizes = [400, 900, 1000, 501, 500, 1, 1300] * 300
+    docs = spark.createDataFrame([(7, f"{i:05}".ljust(n, "x")[:n], "clash") for i, n in enumerate(sizes)] + [(8, "y" * 30, None), (None, None, None)], "doc_id bigint, text string, part string").repartition(6)
+    parts = defaultdict(list)
+    for r in sharding.shards(docs, limit=1000).collect():
+        parts[r["shard"], r["part"]].append((r["n_bytes"], r["over_limit"]))
+    assert all(sum(n for n, _ in p) <= 1000 or len(p) == 1 and p[0][1] for p in parts.values())
+    assert len(parts) < 2 * sum(sizes) / 1000
+    sharding.write_shards(docs, f"{tmp_path}/out", limit=1000)
+    out = spark.read.parquet(f"{tmp_path}/out")
+    assert Counter(r["text"] for r in out.select("text").collect()) == Counter(r["text"] for r in docs.collect())
+
+
+def test_pseudonyms_replace_clashing_columns(spark):
+    got = pii.pseudonymise(spark.createDataFrame([(1, "on 2021-02-28", "a", "b"), (2, None, "a", "b")], "doc_id bigint, text string, n_found string, n_changed string")).collect()
+    assert sorted((r["doc_id"], r["n_found"], r["n_changed"]) for r in got) == [(1, 1, 1), (2, 0, 0)]
+
+
 def test_superkmers_of_repeated_ids(spark):
     """Rows of one id with other texts are documents of their own, equal rows are one; null ids come first; columns named like results are replaced."""
     line = lambda c: " ".join(f"{c}{i}" for i in range(60))
