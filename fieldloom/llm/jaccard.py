@@ -13,8 +13,8 @@ The members of a key are points: the counts of their hashes in GROUPS groups.
 Their R-tree is built in the task that holds the key and joined with itself:
 the sum of coordinate minima bounds the overlap of two boxes and of two points,
 and pairs below the overlap needed, or already in one component, are left out.
-Of the others each point sends its best few (by the bound) to the exact test on
-the sets; linked pairs join components. This is repeated with four times as
+Of the others each point sends its best few (by the bound) to a second bound
+by finer counts (large sets only) and then to the exact test on the sets; linked pairs join components. This is repeated with sixteen times as
 many until no point has more than it sent. So every pair that could join two
 components has been tested, while a large group of near copies costs a few
 pairs per member. A key with more than BLOCK members is joined block by block.
@@ -91,29 +91,46 @@ def need(a, b, percent: int):
     return percent * (a + b)
 
 
-def packed_counts(s: np.ndarray) -> bytes:
-    c = np.bincount(((s >> np.uint64(40)) % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS)
+def packed_counts(s: np.ndarray, groups: int = GROUPS) -> bytes:
+    c = np.bincount(((s >> np.uint64(20)) % np.uint64(groups)).astype(np.int64), minlength=groups)
     return c.astype("<u1" if c.max() < 256 else "<u4").tobytes()
 
 
+def fine_counts(s: np.ndarray) -> bytes | None:
+    """Counts in more groups, one for four hashes or so; None for sets that have enough with GROUPS."""
+    times = (max(0, len(s) - 1) // (4 * GROUPS)).bit_length()
+    return packed_counts(s, GROUPS << times) + bytes([times]) if times else None
+
+
+def fine_bound(a: bytes, b: bytes) -> int:
+    """The bound from fine counts; the finer ones are summed up to the groups of the other set."""
+    def read(x: bytes) -> np.ndarray:
+        groups = GROUPS << x[-1]
+        return np.frombuffer(x[:-1], "<u1" if len(x) == groups + 1 else "<u4").astype(np.int64)
+
+    x, y = sorted((read(a), read(b)), key=len)
+    return int(np.minimum(x, y.reshape(-1, len(x)).sum(0)).sum())
+
+
 def unpacked_counts(column: list[bytes]) -> np.ndarray:
     return np.stack([np.frombuffer(c, "<u1" if len(c) == GROUPS else "<u4").astype(np.int32) for c in column])
 
 
 def sets(docs: DataFrame, levels: np.ndarray, percent: int, k: int) -> DataFrame:
-    """(row, doc_id, text_hash, n, digest, counts, keys) per row of docs(doc_id, text_hash, raw); a task that meets a set again leaves its keys out."""
-    schema = "row bigint, doc_id bigint, text_hash bigint, n bigint, digest binary, counts binary, keys array<bigint>"
+    """(row, doc_id, text_hash, n, digest, counts, fine, keys) per row of docs(doc_id, text_hash, raw); a task that meets a set again leaves its keys out."""
+    schema = "row bigint, doc_id bigint, text_hash bigint, n bigint, digest binary, counts binary, fine binary, keys array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met, at = Cache(lambda d: False), TaskContext.get().partitionId() << 33
         for b in batches:
             ids, rows = b.column("doc_id"), np.arange(at, at + b.num_rows)
             at += b.num_rows
-            n, digests, counts, keys, known = [], [], [], [], ids.is_valid().to_pylist()
+            n, digests, counts, fine, keys, known = [], [], [], [], [], ids.is_valid().to_pylist()
             for row, s in shingle_sets(b.column("raw"), k):
                 n.append(len(s))
                 digests.append(hashlib.md5(s.tobytes()).digest())
                 counts.append(packed_counts(s))
+                fine.append(fine_counts(s))
                 first = s[:0]
                 if len(s) and known[row] and not met[digests[-1]]:
                     met[digests[-1]] = True
@@ -123,8 +140,8 @@ def sets(docs: DataFrame, levels: np.ndarray, percent: int, k: int) -> DataFrame
                 keys.append(first.view(np.int64))
             ends = np.cumsum([0, *map(len, keys)], dtype=np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
-            columns = [pa.array(rows), ids, b.column("text_hash"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(counts, pa.binary()), lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "text_hash", "n", "digest", "counts", "keys"])
+            columns = [pa.array(rows), ids, b.column("text_hash"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(counts, pa.binary()), pa.array(fine, pa.binary()), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "text_hash", "n", "digest", "counts", "fine", "keys"])
 
     return docs.mapInArrow(run, schema)
 
@@ -201,8 +218,8 @@ def group_pairs(group: np.ndarray, leaf: np.ndarray, counts: np.ndarray, n: np.n
     return tuple(np.concatenate(x) if x else none for x in (left, right, bound))
 
 
-def best(left: np.ndarray, right: np.ndarray, bound: np.ndarray, group: np.ndarray, node: np.ndarray, most: int) -> tuple[np.ndarray, bool]:
-    """Which pairs are among the best `most` of either row, and whether any is not."""
+def best(left: np.ndarray, right: np.ndarray, bound: np.ndarray, group: np.ndarray, node: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs are among the best `most` of either row, and which have a pair in their group that is not."""
     row, other, at = np.append(left, right), np.append(right, left), np.tile(np.arange(len(left)), 2)
     order = np.lexsort((node[other], -np.tile(bound, 2), row))
     row = row[order]
@@ -210,7 +227,7 @@ def best(left: np.ndarray, right: np.ndarray, bound: np.ndarray, group: np.ndarr
     rank = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
     keep = np.zeros(len(left), bool)
     keep[at[order[rank < most]]] = True
-    return keep, not keep.all()
+    return keep, np.isin(group[left], group[left][~keep])
 
 
 def _candidates(percent: int, most: int):
@@ -222,8 +239,8 @@ def _candidates(percent: int, most: int):
             group = np.append(0, np.cumsum((key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])))
             i, j, bound = group_pairs(group, leaf, unpacked_counts(t.column("counts").to_pylist()), n, comp, percent)
             keep, more = best(i, j, bound, group, node, most)
-            i, j = i[keep], j[keep]
-            return pa.RecordBatch.from_arrays([pa.array(key[i]), pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j])), pa.array(np.full(len(i), more))], names=["key", "a", "b", "more"])
+            i, j, more = i[keep], j[keep], more[keep]
+            return pa.RecordBatch.from_arrays([pa.array(key[i]), pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j])), pa.array(more)], names=["key", "a", "b", "more"])
 
         held: list[pa.RecordBatch] = []
         for b in batches:
@@ -245,24 +262,47 @@ def _candidates(percent: int, most: int):
 
 
 def candidates(members: DataFrame, percent: int, most: int) -> DataFrame:
-    """(key, a, b, more): pairs of one key and different comp that pass the bound, the best `most` of either end; members(key, leaves, node, comp, n, counts)."""
+    """(key, a, b, more): pairs of one key and different comp that pass the bound, the best `most` of either end, and whether the key has more; members(key, leaves, node, comp, n, counts)."""
     met = members.withColumn("leaf", F.pmod(F.xxhash64("node"), "leaves")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("leaves") - 1)))
     met = met.select("key", F.least("leaf", "other").alias("lo"), F.greatest("leaf", "other").alias("hi"), "leaf", "node", "comp", "n", "counts")
     return met.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "leaf").mapInArrow(_candidates(percent, most), "key bigint, a bigint, b bigint, more boolean")
 
 
+def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(3).compress
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([pack(x) for x in b.column("raw").to_pylist()], pa.binary())], names=["node", "raw"])
+
+
+def _bounded(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = zip(*(b.column(c).to_pylist() for c in ("na", "nb", "fa", "fb")))
+            keep = pa.array([x is None or y is None or (100 + percent) * fine_bound(x, y) >= need(n, m, percent) for n, m, x, y in rows], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], names=["a", "b"])
+
+    return run
+
+
 def _verify(percent: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
+        of = lambda x: next(shingle_sets(pa.array([unpack(x)], pa.binary()), k))[1]
         last: dict = {}
         for b in batches:
-            ids, keep = b.column("a").to_pylist(), np.zeros(b.num_rows, bool)
-            for row, s in shingle_sets(b.column("rb"), k):
-                if ids[row] not in last:
-                    last = {ids[row]: next(shingle_sets(b.column("ra").slice(row, 1), k))[1]}
-                t = last[ids[row]]
+            keep = []
+            for a, x, y in zip(b.column("a").to_pylist(), b.column("ra").to_pylist(), b.column("rb").to_pylist()):
+                if a not in last:
+                    last = {a: of(x)}
+                s, t = last[a], of(y)
                 both = len(np.intersect1d(s, t, assume_unique=True))
-                keep[row] = 100 * both >= percent * (len(s) + len(t) - both)
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(keep)), b.column("b").filter(pa.array(keep))], names=["a", "b"])
+                keep.append(100 * both >= percent * (len(s) + len(t) - both))
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], names=["a", "b"])
 
     return run
 
@@ -282,36 +322,41 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def linked_components(docs: DataFrame, nodes: DataFrame, members: DataFrame, percent: int, k: int) -> DataFrame | None:
-    """(node, comp) of all linked nodes; nodes(node, doc_id, text_hash, n, counts), members(key, leaves, node), docs(doc_id, text_hash, raw); None without a link."""
-    comp, links, tested, texts, most = None, None, None, None, 1
-    points = members.join(nodes.select("node", "n", "counts"), "node")
+    """(node, comp) of all linked nodes; nodes(node, doc_id, text_hash, n, counts, fine), members(key, leaves, node), docs(doc_id, text_hash, raw); None without a link."""
+    comp, links, tested, sides, texts, most = None, None, None, None, None, 1
+    points = nodes.select("node", "n", "counts")
     while True:
-        if comp is None:
-            now = points.withColumn("comp", F.col("node"))
-        else:
-            now = points.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-            mixed = now.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key")
-            now = now.join(mixed, "key")
-        found = table_cut(candidates(now, percent, most))
-        if texts is None:
-            # later rounds only meet keys and nodes that have a pair now
-            points = table_cut(members.join(found.select("key").distinct(), "key", "left_semi").join(nodes.select("node", "n", "counts"), "node"))
-            wanted = found.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc_id", "text_hash"), "node")
-            wanted = table_cut(wanted).where("doc_id is not null")
-            with settings(docs.sparkSession, **FILTER):
-                texts = table_cut(docs.join(wanted, ["doc_id", "text_hash"]).groupBy("node").agg(F.first("raw").alias("raw")))
+        now = members.withColumn("comp", F.col("node"))
+        if comp is not None:
+            now = members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+            now = now.join(now.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").select("key"), "key")
+        found = table_cut(candidates(now.join(points, "node"), percent, most))
+        if sides is None:
+            # later rounds meet no node without a pair now
+            sides = table_cut(found.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "doc_id", "text_hash", "n", "fine"), "node"))
         pairs = found.select("a", "b").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = table_cut(pairs)
+        side = lambda x: sides.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("fine").alias(f"f{x}"))
+        near = table_cut(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "fa", "fb").mapInArrow(_bounded(percent), "a bigint, b bigint"))
+        wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = sides.select("node", "doc_id", "text_hash").join(wanted if texts is None else wanted.join(texts, "node", "left_anti"), "node")
+        wanted = table_cut(wanted).where("doc_id is not null")
+        with settings(docs.sparkSession, **FILTER):
+            more = table_cut(docs.join(wanted, ["doc_id", "text_hash"]).select("node", "raw").mapInArrow(_compressed, "node bigint, raw binary").dropDuplicates(["node"]))
+        texts = more if texts is None else texts.union(more)
         text = lambda x: texts.select(F.col("node").alias(x), F.col("raw").alias(f"r{x}"))
-        new = table_cut(pairs.join(text("b"), "b").join(text("a"), "a").select("a", "b", "ra", "rb").mapInArrow(_verify(percent, k), "a bigint, b bigint"))
+        new = table_cut(near.join(text("b"), "b").join(text("a"), "a").select("a", "b", "ra", "rb").mapInArrow(_verify(percent, k), "a bigint, b bigint"))
         links, tested = (new, pairs) if links is None else (links.union(new), tested.union(pairs))
         if new.limit(1).count():
             comp = components(links)
-        if found.where("more").limit(1).count() == 0:
+        # all pairs of the other keys have been tested
+        left = found.where("more").select("key").distinct()
+        if left.limit(1).count() == 0:
             return comp
-        most *= 4
+        members = table_cut(members.join(left, "key"))
+        most *= 16
 
 
 def near_groups(docs: DataFrame, percent: int = 85, k: int = 4) -> DataFrame:
@@ -321,10 +366,12 @@ def near_groups(docs: DataFrame, percent: int = 85, k: int = 4) -> DataFrame:
     all_sets = table_cut(sets(docs, cell_levels(docs, k), percent, k))
     whole = all_sets.where("n > 0 and doc_id is not null")
     heads = table_cut(whole.groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("r")).select("digest", F.col("r.row").alias("node")))
-    nodes = all_sets.join(heads.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), "doc_id", "text_hash", "n", "counts")
+    nodes = all_sets.join(heads.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), "doc_id", "text_hash", "n", "counts", "fine")
     keys = all_sets.where("size(keys) > 0").select(F.explode("keys").alias("key"), F.col("row").alias("node"))
     shared = keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, "key bigint, node bigint")
-    shared = shared.select("key", F.col("node").alias("row")).join(whole.select("row", "digest"), "row").join(heads, "digest").select("key", "node").distinct()
+    # several tasks may have sent the keys of one set, each for its own row
+    copies = whole.where("size(keys) > 0").select("row", "digest").join(heads, "digest").where("row <> node").select("row", F.col("node").alias("head"))
+    shared = shared.withColumnRenamed("node", "row").join(copies, "row", "left").select("key", F.coalesce("head", "row").alias("node")).repartition("key").distinct()
     sizes = shared.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / BLOCK).alias("leaves"))
     members = table_cut(shared.join(sizes, "key"))
     comp = linked_components(docs, nodes, members, percent, k)
