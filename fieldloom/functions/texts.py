@@ -115,3 +115,26 @@ def replaced_pairs(text: Column, pairs: list[tuple[str, str]]) -> Column:
     for wrong, right in sorted(pairs, key=lambda p: -len(p[0])):
         text = F.replace(text, F.lit(wrong), F.lit(right))
     return text
+
+
+def safe_name(text: Column, default: str = "양식") -> Column:
+    """A name for files: what they forbid and white space become '_', none at the ends, 40 characters at most."""
+    name = F.regexp_replace(F.coalesce(text, F.lit("")), r'(?U)[\\/:*?"<>|\s\x1c-\x1f]+', "_")
+    return F.coalesce(F.nullif(F.substring(F.btrim(name, F.lit("_")), 1, 40), F.lit("")), F.lit(default))
+
+
+def field_label(field: Column, anchor: Column, use_anchor: Column, default: str = "항목") -> Column:
+    """The printed label where a box follows it, else the box's name without its page prefix."""
+    name = F.regexp_replace(F.trim(F.coalesce(field, F.lit(""))), r"^P\p{Nd}+_", "")
+    label = F.when(use_anchor, F.nullif(F.trim(anchor), F.lit("")))
+    return F.coalesce(label, F.nullif(name, F.lit("")), F.lit(default))
+
+
+def local_time(iso: Column, zone: str) -> Column:
+    """An ISO time (UTC without an offset) as 'yyyy-MM-dd HH:mm' of the zone; other texts stay as they are, null is ''."""
+    t = F.regexp_replace(F.trim(iso), r"^(\d{4}-\d\d-\d\d)$", "$1T00:00")
+    # a zone needs seconds before it
+    t = F.regexp_replace(t, r"^(\d{4}-\d\d-\d\d[T ]\d\d:\d\d)(?=$|Z|[+-])", "$1:00")
+    whole = F.when(t.rlike(r"^[^Z]*\d\d:\d\d:\d\d(\.\d+)?$"), F.concat(t, F.lit("Z"))).otherwise(t)
+    seen = F.from_utc_timestamp(F.to_utc_timestamp(whole.try_cast("timestamp"), F.current_timezone()), zone)
+    return F.coalesce(F.date_format(seen, "yyyy-MM-dd HH:mm"), iso, F.lit(""))

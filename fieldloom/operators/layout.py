@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import texts
+
 
 def words_in_boxes(words: DataFrame, boxes: DataFrame, page: str, band: float = 50.0) -> DataFrame:
     """(page, box_id, n_words, text): words(page, word, x0, y0, x1, y1) whose centre lies in a box(box_id, x0, y0, x1, y1), in the order of lines.
@@ -58,3 +60,75 @@ def renumbered(pages: DataFrame, doc: str, page: str) -> DataFrame:
     """pages(doc, page, n_questions) with first_no: where the numbers of a page that continues another begin."""
     w = Window.partitionBy(doc).orderBy(page).rowsBetween(Window.unboundedPreceding, -1)
     return pages.withColumn("first_no", F.coalesce(F.sum("n_questions").over(w), F.lit(0)) + 1)
+
+
+def line_buckets(words: DataFrame, page: str) -> DataFrame:
+    """(page, bucket, n_words, text): lines of words(page, word, x0, y0, x1, y1) by their centres, in steps of 0.6 of the page's median height, 3 at least; each from left to right."""
+    w = words.where("trim(word) <> ''")
+    step = w.groupBy(page).agg(F.greatest(F.lit(3.0), 0.6 * F.percentile(F.col("y1") - F.col("y0"), F.lit(0.5))).alias("step"))
+    lines = w.join(step, page).withColumn("bucket", F.bround((F.col("y0") + F.col("y1")) / 2 / F.col("step")).cast("bigint"))
+    return lines.groupBy(page, "bucket").agg(F.count("*").alias("n_words"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("x0", "word"))), lambda s: s["word"]), " ").alias("text"))
+
+
+def page_shifts(words: DataFrame, boxes: DataFrame, page: str, order: str, near: float = 60.0, agree: float = 4.0, least: float = 2.0) -> DataFrame:
+    """(page, shift): how far a page's words lie below boxes(box_id, label, x1, y0, y1) of the template, label being a key.
+
+    A box measures its nearest word of two characters or more with its label, within `near` in height
+    and left of the box's end (of equal ones the first). Three measures at least must lie within
+    `agree` of their median, and that beyond `least`; the shift is their median. Other pages have no row.
+    """
+    w = words.select(page, order, texts.normalized_key(F.col("word")).alias("label"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"), "x1").where("length(label) >= 2")
+    b = boxes.select("box_id", "label", F.col("x1").alias("bx"), ((F.col("y0") + F.col("y1")) / 2).alias("by"))
+    gap = F.col("cy") - F.col("by")
+    found = w.join(b, "label").where((F.abs(gap) <= near) & (F.col("x1") <= F.col("bx"))).groupBy(page, "box_id").agg(F.min_by(gap, F.struct(F.abs(gap), order)).alias("dy"))
+    middle = found.groupBy(page).agg(F.percentile("dy", F.lit(0.5)).alias("mid"), F.count("*").alias("n")).where((F.col("n") >= 3) & (F.abs("mid") > least))
+    same = found.join(middle, page).where(F.abs(F.col("dy") - F.col("mid")) <= agree)
+    return same.groupBy(page).agg(F.percentile("dy", F.lit(0.5)).alias("shift"), F.count("*").alias("n")).where("n >= 3").select(page, "shift")
+
+
+def anchored_values(cells: DataFrame, page: str, boxes: list[tuple[str, str, float, float, str]]) -> DataFrame:
+    """(page, field, value): the text right of ("right") or under ("below") the label's cell, for boxes (field, label key, x0, y0, relation).
+
+    The label's cell has the label as its key, else inside; of several the nearest to the box's
+    corner, then the first. No row without such a cell or neighbour. cells(page, cell, text, x0, y0, x1, y1).
+    """
+    places = ["x0", "y0", "x1", "y1"]
+    wanted = F.array(*[F.struct(F.lit(f).alias("field"), F.lit(label).alias("label"), F.lit(float(x)).alias("bx"), F.lit(float(y)).alias("by"), F.lit(rel).alias("relation")) for f, label, x, y, rel in boxes])
+    keyed = cells.withColumn("_key", texts.normalized_key(F.col("text")))
+    met = keyed.withColumn("b", F.explode(F.filter(wanted, lambda b: F.col("_key").contains(b["label"]))))
+    far = (F.col("x0") - F.col("b.bx")) ** 2 + (F.col("y0") - F.col("b.by")) ** 2
+    label = met.groupBy(page, "b.field", "b.relation").agg(F.min(F.struct((F.col("_key") != F.col("b.label")).alias("inside"), far.alias("far"), "cell", *places)).alias("l"))
+    # the neighbour's left or upper edge lies within 4 of the label's other one
+    right = (F.col("relation") == "right") & (F.abs(F.col("x0") - F.col("l.x1")) < 4) & (F.col("l.y0") < F.col("y1") - 1) & (F.col("l.y1") > F.col("y0") + 1)
+    below = (F.col("relation") == "below") & (F.abs(F.col("y0") - F.col("l.y1")) < 4) & (F.col("l.x0") < F.col("x1") - 1) & (F.col("l.x1") > F.col("x0") + 1)
+    beside = label.join(cells, page).where(right | below)
+    first = F.struct(F.when(right, F.col("x0")).otherwise(F.col("y0")), "cell")
+    return beside.groupBy(page, "field").agg(texts.normalized(F.min_by("text", first)).alias("value"))
+
+
+def numbered_lists(cells: DataFrame, table: str, name: str, count: str, number: tuple[str, ...]) -> DataFrame:
+    """(table, list, r, name, count): rows under each header cell with the key `name`, as long as the number column counts.
+
+    The count column is the first cell with its key right of the header in the same row ('' without
+    one), the number column the last with a key of `number` left of it, else the place before. The
+    list begins at the first row with digits there and ends before the next without; rows without a name go.
+    """
+    keyed = cells.withColumn("_key", texts.normalized_key(F.col("text")))
+    head = keyed.where(F.col("_key") == name).select(table, F.col("cell").alias("list"), F.col("row").alias("at"), F.col("col").alias("name_col"))
+    same = head.join(keyed.select(table, F.col("row").alias("at"), "cell", "col", "_key"), [table, "at"])
+    head = same.groupBy(table, "list", "at", "name_col").agg(
+        F.min_by("col", F.when((F.col("col") > F.col("name_col")) & (F.col("_key") == count), F.col("cell"))).alias("count_col"),
+        F.max_by("col", F.when((F.col("col") < F.col("name_col")) & F.col("_key").isin(*number), F.col("cell"))).alias("no_col"))
+    head = head.withColumn("no_col", F.coalesce("no_col", F.greatest(F.lit(0), F.col("name_col") - 1)))
+    grid = covered_cells(cells, table).withColumn("text", F.trim("text"))
+    at = F.struct("no_col", "name_col", "count_col")
+    rows = head.join(grid.select(table, "r", "c", "text"), table).where((F.col("r") > F.col("at")) & ((F.col("c") == F.col("no_col")) | (F.col("c") == F.col("name_col")) | (F.col("c") == F.col("count_col"))))
+    pick = lambda col: F.max(F.when(F.col("c") == F.col(col), F.col("text")))
+    rows = rows.groupBy(table, "list", "r", at.alias("_at")).agg(pick("no_col").alias("no"), pick("name_col").alias("name"), pick("count_col").alias("count"))
+    counts = F.coalesce(F.col("no").rlike(r"^\p{Nd}+$"), F.lit(False))
+    w = Window.partitionBy(table, "list").orderBy("r")
+    rows = rows.withColumn("_no", counts).withColumn("_begun", F.max("_no").over(w)).withColumn("_gap", F.col("_begun") & ~F.col("_no"))
+    # a place of the table without any cell is a row without a number
+    first = F.min(F.when(F.col("_no"), F.col("r"))).over(Window.partitionBy(table, "list"))
+    rows = rows.withColumn("_ended", F.max("_gap").over(w) | (F.col("r") - first + 1 != F.sum(F.col("_no").cast("int")).over(w)))
+    return rows.where("_no and not _ended").where((F.col("name") != "") & (F.col("name") != name)).select(table, "list", "r", "name", F.coalesce("count", F.lit("")).alias("count"))

@@ -79,6 +79,6 @@ SELECT coalesce(o.o_orderkey, c.o_orderkey) AS o_orderkey, CASE WHEN c.o_orderke
         "entries_sync": "SELECT event_id, user_id, event_type FROM events WHERE event_id > 100 AND event_id NOT IN (SELECT event_id FROM events WHERE event_id % 7 = 0)",
         "entries_idempotent": "SELECT concat_ws('/', user_id, event_type, event_id) AS key, min(event_id) AS seq, event_type, any_value(value) AS value, 2 * count(*) AS times_sent FROM events GROUP BY 1, 3",
         "label_counts": "SELECT coalesce(nullif(trim(lang), ''), '(none)') AS label, count(*) AS n FROM documents GROUP BY 1",
-        "first_number": r"SELECT page_id, nullif(replace(regexp_extract(url, '([+-]?[0-9][0-9,]*(?:\.[0-9]+)?)', 1), ',', ''), '') AS number FROM pages",
+        "first_number": r"SELECT page_id, replace(regexp_extract(coalesce(url, ''), '([+-]?[0-9][0-9,]*(?:\.[0-9]+)?)', 1), ',', '') AS number FROM pages",
         "normalize_key": "SELECT p_partkey, replace(trim(regexp_replace(nfc_normalize('\u00a0 e\u0301' || p_brand || '\u3000x y'), '" + texts.BLANKS + "', ' ', 'g')), ' ', '') AS norm_key FROM part",
     }

@@ -1,10 +1,10 @@
-"""Numbers in texts, as the reference's first_number_text reads them (no number: null)."""
+"""Numbers in texts, as the reference's first_number_text reads them (no number: '')."""
 
 from pyspark.sql import functions as F
 
 from fieldloom.functions import numbers
 
-CASES = {".5": "0.5", "-.25 m": "-0.25", "+3": "3", "+.5": "0.5", "５０": "50", "－１，２３４．５ m": "-1234.5", "약 25.5 m": "25.5", "1,234": "1234", "5.": "5", "a1.2.3": "1.2", "-7": "-7", "없음": None, "": None, "+-": None, None: None}
+CASES = {".5": "0.5", "-.25 m": "-0.25", "+3": "3", "+.5": "0.5", "５０": "50", "－１，２３４．５ m": "-1234.5", "약 25.5 m": "25.5", "1,234": "1234", "5.": "5", "a1.2.3": "1.2", "-7": "-7", "없음": "", "": "", "+-": "", None: ""}
 
 
 def test_first_number(spark):
