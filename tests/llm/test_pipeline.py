@@ -24,3 +24,69 @@ def test_near_duplicates_between_the_thresholds(spark):
     assert len(gone) == 4
     docs = spark.createDataFrame(list(made.items()), "doc_id bigint, text string")
     assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == made.keys() - gone
+
+
+def test_whole_pipeline(spark):
+    """Each stage of one run over the smallest tables, judged on the rows that the stage before wrote."""
+    import hashlib
+    import zlib
+    from pathlib import Path
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from fieldloom.llm.common import checkpoint_dir
+
+    from .test_ops import SF, _dedup
+
+    checkpoint_dir(spark)
+    folder = Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:"))
+    before = set(folder.glob("pipeline-*"))
+    packed = corpus_pipeline.run(spark, SF).collect()
+    (made,) = set(folder.glob("pipeline-*")) - before
+    whole = spark.read.parquet(f"{SF}/documents.parquet")
+    stages = [spark.read.parquet(str(made / str(k))) for k in range(4)]
+    assert all(s.columns == whole.columns for s in stages)
+    docs = {r["doc_id"]: r["text"] for r in whole.collect()}
+    good, single, cut, plain = ({r["doc_id"]: r["text"] for r in s.collect()} for s in stages)
+
+    # clean documents stay as they are, those of low quality go (few labels here: a bound on both together)
+    judged = {r["doc_id"]: r for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    assert all(docs[k] == t for k, t in good.items())
+    of = lambda quality: [k in good for k, r in judged.items() if r["quality"] == quality and not r["toxic"] and k in docs]
+    assert np.mean(of(1)) > 0.95 and np.mean(of(1) + [not kept for kept in of(0)]) > 0.9
+
+    # one document of each group of similar ones, that of the least id
+    def shingles(t):
+        w = [x.translate({c: c + 32 for c in range(65, 91)}) for x in words(t)]
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    ids, sets = sorted(good), {k: shingles(t) for k, t in good.items()}
+    group = {k: k for k in ids}
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]) and group[a] != group[b]:
+                low, high = sorted((group[a], group[b]))
+                group = {k: low if g == high else g for k, g in group.items()}
+    assert single == {k: good[k] for k in ids if group[k] == k}
+
+    # repeated passages
+    digest = lambda t: hashlib.sha256(" ".join(words(t)).encode()).hexdigest()
+    assert {k: digest(t) for k, t in cut.items()} == {k: d for k, (_, _, d) in _dedup(single).items()}
+
+    # personal data: same documents, other texts stay, lengths are of the new text
+    assert plain.keys() == cut.keys()
+    assert all(plain[k] == t for k, t in cut.items() if not any(c.isdigit() or c == "@" for c in t or ""))
+    assert all(r["n_chars"] == len(r["text"]) for r in stages[3].where("text is not null").collect())
+
+    # every token lies in one piece
+    tok, pieces = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), {}
+    for r in packed:
+        pieces.setdefault(r["doc_id"], []).append(r)
+    assert pieces.keys() == plain.keys()
+    for k, t in plain.items():
+        tokens = np.array(tok.encode(t or "", add_special_tokens=False).ids + [2], "<u4")
+        ps = sorted(pieces[k], key=lambda r: r["start"])
+        assert sum(p["length"] for p in ps) == len(tokens)
+        assert all(zlib.crc32(tokens[p["start"] : p["start"] + p["length"]].tobytes()) == p["ids_crc32"] for p in ps)
