@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, cascade, cotraining, fertility, jaccard, matroska, packing, pii, sharding, superkmers
+from pyspark.sql import functions as F
+
+from . import bpe, cascade, cotraining, fertility, fim, jaccard, matroska, neighbours, packing, periodic, pii, sharding, superkmers
 from .common import table
 
 
@@ -18,6 +20,9 @@ def queries() -> dict:
         "op8_superkmers": lambda s, d: superkmers.dedup(table(s, d, "documents").select("doc_id", "text")).select("doc_id", "n_words", "n_removed", "kept_sha256"),
         "op9_packing": lambda s, d: packing.pack(table(s, d, "documents")),
         "op10_url_cascade": lambda s, d: cascade.judge(table(s, d, "pages")),
+        "op11_periodic_runs": lambda s, d: periodic.collapsed(table(s, d, "documents"), periodic.repeated_tail),
+        "op12_cross_polytope": lambda s, d: neighbours.nearest(table(s, d, "embeddings"), F.col("vec_id") % 100 == 0),
+        "op13_fill_in_middle": lambda s, d: fim.digests(table(s, d, "documents")),
     }
 
 
