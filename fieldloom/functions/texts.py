@@ -14,6 +14,14 @@ BLANKS = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200b}\x{2028}\x
 CHECKED, UNCHECKED = "[√✓✔☑■◼◾▪●⦿]", "[□☐◻▫○]"
 WIDE = ("０１２３４５６７８９．，＋－", "0123456789.,+-")
 QUOTES = ("′‘’″“”", "'''\"\"\"")
+# The white space that stripping takes off both ends (no zero-width characters).
+STRIPPED = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+# Words and units of numeric fields, and words of fields that are none.
+NUMERIC_WORDS = "길이|너비|폭|높이|깊이|수심|표고|고도|두께|지름|직경|반경|간격|연장|규모|면적|체적|부피|경사|기울기|유속|유량|수량|강수량|적수량|수온|온도|개소|개수|개체수|마리수|본수|비율|백분율|중량|무게|밀도|피도"
+NUMERIC_UNITS = r"[(（]\s*(m|cm|mm|km|m2|m3|㎡|㎥|%|℃|°|ea|개|개소|초|분)\s*[)）]|(^|\s)(m|cm|mm|km|㎡|㎥|%|℃)\s*$"
+OTHER_WORDS = "번호|연락처|전화|휴대|이메일|메일|일시|일자|날짜|연도|시각|좌표|위도|경도|경위도|주소|코드|성명|이름|명칭|기관|유무|여부|종류|형식|형태|재질|재료|구분|유형|비고|특이사항|의견"
+# Characters that normalisation form C may change or join: marks, Hangul parts and characters with one canonical other form.
+UNSTABLE = r"[\p{M}\x{340}\x{341}\x{343}\x{344}\x{374}\x{37e}\x{387}\x{958}-\x{95f}\x{9dc}-\x{9df}\x{a33}\x{a36}\x{a59}-\x{a5e}\x{b5c}\x{b5d}\x{f43}-\x{f69}\x{1100}-\x{11ff}\x{1f00}-\x{2001}\x{2126}\x{212a}\x{212b}\x{2329}\x{232a}\x{2adc}\x{f900}-\x{faff}\x{fb1d}-\x{fb4f}\x{1d15e}-\x{1d1ff}\x{2f800}-\x{2fa1f}]"
 
 
 @F.pandas_udf(StringType())
@@ -22,7 +30,13 @@ def _nfc(text: pd.Series) -> pd.Series:
 
 
 def nfc(text: Column) -> Column:
-    return F.when(text.rlike(r"[^\x00-\x{2ff}]"), _nfc(text)).otherwise(text)
+    """Normalisation form C; only texts with a character that it can change reach Python."""
+    return F.coalesce(_nfc(F.when(text.rlike(UNSTABLE), text)), text)
+
+
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.btrim(text, F.lit(STRIPPED))
 
 
 def normalized(text: Column) -> Column:
@@ -50,13 +64,13 @@ def plain_digits(text: Column) -> Column:
 
 def as_number(text: Column) -> Column:
     """The number if the whole text is one (thousands commas allowed), else null."""
-    s = F.trim(plain_digits(text))
+    s = stripped(plain_digits(text))
     return F.when(s.rlike(r"^[-+]?([0-9][0-9,]*(\.[0-9]+)?|\.[0-9]+)$"), F.replace(s, F.lit(","), F.lit("")).try_cast("double"))
 
 
 def leading_number(text: Column) -> Column:
     """The number at the start of a text, else null."""
-    return F.regexp_extract(F.trim(text), r"^(-?[0-9]+(\.[0-9]+)?)", 1).try_cast("double")
+    return F.regexp_extract(stripped(text), r"^(-?[0-9]+(\.[0-9]+)?)", 1).try_cast("double")
 
 
 def degrees(text: Column) -> Column:
@@ -70,7 +84,7 @@ def canonical(text: Column) -> Column:
 
 
 def pure_number(text: Column) -> Column:
-    t = F.trim(text)
+    t = stripped(text)
     return F.when(t.rlike(r"^[0-9.\-]+$"), t.try_cast("double"))
 
 
@@ -84,7 +98,7 @@ def field_match(gold: Column, found: Column, tolerance: float = 0.0) -> Column:
 def token_name(token: Column) -> Column:
     """The name of a placeholder 'name#N' or 'name'."""
     numbered = token.rlike(r"#\s*[0-9]+\s*$")
-    return F.trim(F.when(numbered, F.regexp_replace(token, r"#\s*[0-9]+\s*$", "")).otherwise(token))
+    return stripped(F.when(numbered, F.regexp_replace(token, r"#\s*[0-9]+\s*$", "")).otherwise(token))
 
 
 def token_index(token: Column) -> Column:
@@ -93,7 +107,7 @@ def token_index(token: Column) -> Column:
 
 def coerced(text: Column) -> Column:
     """The number that a text is, commas left out, else null."""
-    return F.replace(F.trim(text), F.lit(","), F.lit("")).try_cast("double")
+    return F.replace(stripped(text), F.lit(","), F.lit("")).try_cast("double")
 
 
 def title_key(text: Column) -> Column:
@@ -107,7 +121,13 @@ def is_form_id(text: Column) -> Column:
 
 def value_flag(value: Column, numeric: Column) -> Column:
     """'empty', 'format' (a numeric field with other characters than digits, points, signs and spaces) or ''."""
-    return F.when(F.trim(F.coalesce(value, F.lit(""))) == "", "empty").when(numeric & value.rlike(r"[^0-9.+\- ]"), "format").otherwise("")
+    return F.when(stripped(F.coalesce(value, F.lit(""))) == "", "empty").when(numeric & value.rlike(r"[^0-9.+\- ]"), "format").otherwise("")
+
+
+def is_numeric_name(name: Column) -> Column:
+    """A field's name that speaks of a measure or ends in a unit, and of nothing else."""
+    n = F.coalesce(name, F.lit(""))
+    return (stripped(n) != "") & ~n.rlike(OTHER_WORDS) & (n.rlike(NUMERIC_WORDS) | n.rlike(NUMERIC_UNITS))
 
 
 def replaced_pairs(text: Column, pairs: list[tuple[str, str]]) -> Column:
@@ -125,14 +145,14 @@ def safe_name(text: Column, default: str = "양식") -> Column:
 
 def field_label(field: Column, anchor: Column, use_anchor: Column, default: str = "항목") -> Column:
     """The printed label where a box follows it, else the box's name without its page prefix."""
-    name = F.regexp_replace(F.trim(F.coalesce(field, F.lit(""))), r"^P\p{Nd}+_", "")
-    label = F.when(use_anchor, F.nullif(F.trim(anchor), F.lit("")))
+    name = F.regexp_replace(stripped(F.coalesce(field, F.lit(""))), r"^P\p{Nd}+_", "")
+    label = F.when(use_anchor, F.nullif(stripped(anchor), F.lit("")))
     return F.coalesce(label, F.nullif(name, F.lit("")), F.lit(default))
 
 
 def local_time(iso: Column, zone: str) -> Column:
     """An ISO time (UTC without an offset) as 'yyyy-MM-dd HH:mm' of the zone; other texts stay as they are, null is ''."""
-    t = F.regexp_replace(F.trim(iso), r"^(\d{4}-\d\d-\d\d)$", "$1T00:00")
+    t = F.regexp_replace(stripped(iso), r"^(\d{4}-\d\d-\d\d)$", "$1T00:00")
     # a zone needs seconds before it
     t = F.regexp_replace(t, r"^(\d{4}-\d\d-\d\d[T ]\d\d:\d\d)(?=$|Z|[+-])", "$1:00")
     whole = F.when(t.rlike(r"^[^Z]*\d\d:\d\d:\d\d(\.\d+)?$"), F.concat(t, F.lit("Z"))).otherwise(t)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -50,10 +50,48 @@ def right_neighbours(cells: DataFrame, grid: DataFrame, table: str) -> DataFrame
     return at.join(grid.select(table, "r", "c", F.col("text").alias("right_text")), [table, "r", "c"], "left").select(table, "cell", "right_text")
 
 
-def choice_marks(scores: DataFrame, keys: list[str], delta: float = 0.015, ratio: float = 1.5) -> DataFrame:
-    """scores(keys, score) with thr and marked: the base of a question is its least score with two choices at most, else the median; a mark reaches base + delta and base * ratio."""
-    base = scores.groupBy(*keys).agg(F.when(F.count("*") <= 2, F.min("score")).otherwise(F.percentile("score", F.lit(0.5))).alias("base"))
-    return scores.join(base, keys).withColumn("thr", F.greatest(F.col("base") + delta, F.col("base") * ratio)).withColumn("marked", F.col("score") >= F.col("thr"))
+def median(values: Column) -> Column:
+    """The middle of an array, of two the mean; null of an empty one."""
+    s = F.sort_array(values)
+    at = lambda i: F.get(s, i.cast("int"))
+    return (at(F.floor((F.size(s) - 1) / 2)) + at(F.floor(F.size(s) / 2))) * 0.5
+
+
+def choice_marks(scores: DataFrame, keys: list[str], order: str, set_marks: str | None = None, delta: float = 0.015, ratio: float = 1.4) -> DataFrame:
+    """(keys, order, score, thr, marked, flag): which choices of a question are darker than the others.
+
+    The base of a question is its least score with two choices at most, else the median; a mark
+    reaches base + delta and base * ratio. Choices with the column `set_marks` stay marked. The flag
+    is faint (marked, but the top is within 1.5 delta of the base), several (two marks of three
+    choices or more), unclear (none, but the top is 0.6 delta above the base) or ''. Null scores go.
+    """
+    own = F.coalesce(F.col(set_marks), F.lit(False)) if set_marks else F.lit(False)
+    choice = F.struct(F.col(order).alias("at"), "score", own.alias("own"))
+    q = scores.where("score is not null").groupBy(*keys).agg(F.sort_array(F.collect_list(choice)).alias("c"))
+    of = q.withColumn("_s", F.transform("c", lambda c: c["score"]))
+    of = of.withColumn("base", F.when(F.size("c") <= 2, F.array_min("_s")).otherwise(median(F.col("_s")))).withColumn("_over", F.array_max("_s") - F.col("base"))
+    of = of.withColumn("thr", F.greatest(F.col("base") + delta, F.col("base") * ratio))
+    of = of.withColumn("c", F.transform("c", lambda c: F.struct(c["at"], c["score"], (c["own"] | (c["score"] >= F.col("thr"))).alias("marked"))))
+    n = F.size(F.filter("c", lambda c: c["marked"]))
+    flag = F.when((n > 0) & (F.col("_over") < delta * 1.5), "faint").when((n >= 2) & (F.size("c") >= 3), "several").when((n == 0) & (F.col("_over") >= delta * 0.6), "unclear").otherwise("")
+    return of.withColumn("flag", flag).select(*keys, F.explode("c").alias("c"), "thr", "flag").select(*keys, F.col("c.at").alias(order), "c.score", "thr", "c.marked", "flag")
+
+
+def scale_answers(scores: DataFrame, keys: list[str], order: str, least: float = 0.010, times: float = 2.5) -> DataFrame:
+    """(keys, thr, answer, flag): the cell of a row that is darker than the others, counted from 1; null without one.
+
+    The threshold lies above the row's median by `times` the median distance from it (of all cells
+    but one greatest, with three or more), `least` at least. Of several cells the first darkest is the
+    answer. The flag is faint, several, unclear (none, but the top is near the threshold) or ''.
+    """
+    q = scores.where("score is not null").groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col(order), "score"))), lambda c: c["score"]).alias("_s"))
+    q = q.withColumn("_base", median(F.col("_s"))).withColumn("_top", F.array_max("_s"))
+    others = F.when(F.size("_s") > 2, F.slice(F.sort_array("_s"), 1, F.greatest(F.size("_s") - 1, F.lit(1)))).otherwise(F.col("_s"))
+    q = q.withColumn("_mad", median(F.transform(others, lambda v: F.abs(v - F.col("_base"))))).withColumn("_delta", F.greatest(F.lit(least), times * F.col("_mad")))
+    q = q.withColumn("thr", F.col("_base") + F.col("_delta")).withColumn("_n", F.size(F.filter("_s", lambda v: v >= F.col("thr")))).withColumn("_over", F.col("_top") - F.col("_base"))
+    answer = F.when(F.col("_n") > 0, F.array_position("_s", F.col("_top")))
+    flag = F.when((F.col("_n") == 1) & (F.col("_over") < F.col("_delta") * 1.6), "faint").when(F.col("_n") > 1, "several").when((F.col("_n") == 0) & (F.col("_over") >= F.col("_delta") * 0.6), "unclear").otherwise("")
+    return q.select(*keys, "thr", answer.alias("answer"), flag.alias("flag"))
 
 
 def renumbered(pages: DataFrame, doc: str, page: str) -> DataFrame:
@@ -120,7 +158,7 @@ def numbered_lists(cells: DataFrame, table: str, name: str, count: str, number:
         F.min_by("col", F.when((F.col("col") > F.col("name_col")) & (F.col("_key") == count), F.col("cell"))).alias("count_col"),
         F.max_by("col", F.when((F.col("col") < F.col("name_col")) & F.col("_key").isin(*number), F.col("cell"))).alias("no_col"))
     head = head.withColumn("no_col", F.coalesce("no_col", F.greatest(F.lit(0), F.col("name_col") - 1)))
-    grid = covered_cells(cells, table).withColumn("text", F.trim("text"))
+    grid = covered_cells(cells, table).withColumn("text", texts.stripped(F.col("text")))
     at = F.struct("no_col", "name_col", "count_col")
     rows = head.join(grid.select(table, "r", "c", "text"), table).where((F.col("r") > F.col("at")) & ((F.col("c") == F.col("no_col")) | (F.col("c") == F.col("name_col")) | (F.col("c") == F.col("count_col"))))
     pick = lambda col: F.max(F.when(F.col("c") == F.col(col), F.col("text")))

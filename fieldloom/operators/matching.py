@@ -57,7 +57,7 @@ def assigned_pages(pages: DataFrame, keys: list[str], title: str, text: str, uni
     It is confirmed by a title of 0.85, a title of 0.7 with a quarter of the labels, or 0.35 of
     the labels where page or unit has no title; else unit is null. A score of null: every unit's number differs.
     """
-    scores = label_scores(pages.withColumn("_page_title", F.trim(F.coalesce(title, F.lit("")))), [*keys, "_page_title"], text, units)
+    scores = label_scores(pages.withColumn("_page_title", texts.stripped(F.coalesce(title, F.lit("")))), [*keys, "_page_title"], text, units)
     scores = scores.withColumn("title_score", title_match(F.col("_page_title"), F.col("title")))
     score = F.when(F.col("title_score") >= 0, 0.6 * F.col("title_score") + 0.4 * F.col("ratio"))
     best = scores.groupBy(*keys).agg(F.max(F.struct(score.alias("score"), (-F.col("rank")).alias("_first"), "unit", "title", "title_score", "ratio", "_page_title")).alias("b"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import texts
+
 KEYS = ["form", "field"]
 
 
@@ -35,6 +37,6 @@ def unique_boxes(df: DataFrame, name: str, order: str, by: list[str], default: s
     """Names are trimmed, blank ones take the default; from the second on a repeated name gets a suffix: name, name (2), name (3)."""
     from pyspark.sql.window import Window
 
-    named = df.withColumn("_name", F.coalesce(F.nullif(F.trim(name), F.lit("")), F.lit(default)))
+    named = df.withColumn("_name", F.coalesce(F.nullif(texts.stripped(F.col(name)), F.lit("")), F.lit(default)))
     n = F.row_number().over(Window.partitionBy(*by, "_name").orderBy(order))
     return named.withColumn("unique_name", F.when(n == 1, F.col("_name")).otherwise(F.concat("_name", F.lit(" ("), n.cast("string"), F.lit(")")))).drop("_name")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -24,7 +24,7 @@ def scores(gold: DataFrame, found: DataFrame, record: str, field: str) -> DataFr
     """(record, total, correct, accuracy) over the gold fields; a missing prediction counts as empty."""
     j = gold.join(found.withColumnRenamed("value", "_found"), [record, field], "left")
     ok = texts.field_match(F.coalesce("value", F.lit("")), F.coalesce("_found", F.lit("")))
-    return j.groupBy(record).agg(F.count("*").alias("total"), F.count_if(ok).alias("correct")).withColumn("accuracy", F.round(F.col("correct") / F.col("total"), 4))
+    return j.groupBy(record).agg(F.count("*").alias("total"), F.count_if(ok).alias("correct")).withColumn("accuracy", F.bround(F.col("correct") / F.col("total"), 4))
 
 
 def detected_forms(pages: DataFrame, page: str, text: str, signals: list[tuple[str, list[str]]]) -> DataFrame:
@@ -34,7 +34,7 @@ def detected_forms(pages: DataFrame, page: str, text: str, signals: list[tuple[s
         for rank, (form, words) in enumerate(signals):
             n = sum((blob.contains(w).cast("int") for w in words), F.lit(0))
             share = F.least(F.lit(1.0), n / max(2, 0.5 * len(words)))
-            found.append(F.struct((n < 2).alias("weak"), F.when(n < 2, -share).otherwise(0.0).alias("order"), F.lit(rank).alias("rank"), F.lit(form).alias("form"), F.round(share, 2).alias("confidence"), n.alias("n")))
+            found.append(F.struct((n < 2).alias("weak"), F.when(n < 2, -share).otherwise(0.0).alias("order"), F.lit(rank).alias("rank"), F.lit(form).alias("form"), F.bround(share, 2).alias("confidence"), n.alias("n")))
         return F.array_min(F.filter(F.array(*found), lambda s: s["n"] > 0))
 
     # an array of one binds the text's key, which is then made once
@@ -49,10 +49,28 @@ def zipped_rows(tables: DataFrame, keys: list[str], left: str, right: str) -> Da
 
 
 def unique_items(items: DataFrame, record: str, name: str, order: str) -> DataFrame:
-    """Blank names go; the n-th repeat of a trimmed name becomes 'name (n)'."""
-    named = items.withColumn("_name", F.trim(name)).where("_name <> ''")
+    """Blank names go; a stripped name that is taken becomes 'name (n)' with the least free n from 2 on, in the order given.
+
+    Records with a name that itself ends in '(n)' are folded name by name; in all others the n-th
+    repeat gets n. The names of one record are held together.
+    """
+    named = items.withColumn("_name", texts.stripped(F.col(name))).where("_name <> ''")
+    numbered = lambda k, n: F.concat(k, F.lit(" ("), n.cast("string"), F.lit(")"))
+    clash = F.max(F.col("_name").rlike(r" \([0-9]+\)$")).over(Window.partitionBy(record))
+    named = named.withColumn("_clash", clash)
     n = F.row_number().over(Window.partitionBy(record, "_name").orderBy(order))
-    return named.withColumn("item", F.when(n == 1, F.col("_name")).otherwise(F.concat("_name", F.lit(" ("), n.cast("string"), F.lit(")")))).drop("_name")
+    usual = named.where("not _clash").withColumn("item", F.when(n == 1, F.col("_name")).otherwise(numbered(F.col("_name"), n))).drop("_name", "_clash")
+
+    def step(took, k):
+        free = lambda x: ~F.array_contains(took, x)
+        other = F.filter(F.sequence(F.lit(2), F.size(took) + 2), lambda n: free(numbered(k, n)))
+        return F.concat(took, F.array(F.when(free(k), k).otherwise(numbered(k, F.get(other, F.lit(0))))))
+
+    row = F.struct(F.col(order).alias("_order"), "_name", F.struct(*items.columns).alias("_row"))
+    folded = named.where("_clash").groupBy(F.col(record).alias("_record")).agg(F.sort_array(F.collect_list(row)).alias("_rows"))
+    took = F.aggregate(F.transform("_rows", lambda r: r["_name"]), F.expr("cast(array() as array<string>)"), step)
+    folded = folded.select(F.explode(F.arrays_zip(F.col("_rows").alias("r"), took.alias("item"))).alias("z"))
+    return usual.unionByName(folded.select("z.r._row.*", "z.item"))
 
 
 def filled_tokens(tokens: DataFrame, records: DataFrame, token: str) -> DataFrame:
@@ -66,6 +84,16 @@ def wide_sheet(values: DataFrame, keys: list[str], fields: list[str]) -> DataFra
     return values.groupBy(*keys).pivot("field", fields).agg(F.first("value"))
 
 
+def long_sheet(records: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """(keys, field, value): a row for each field of each record, in the order given."""
+    return records.unpivot(keys, fields, "field", "value")
+
+
+def record_key(source: Column, name: Column, place: Column) -> Column:
+    """The stable key of a record: its file and its name, or its place in the file if the name is blank."""
+    return F.concat_ws("::", source, F.coalesce(F.nullif(texts.stripped(name), F.lit("")), F.concat(F.lit("tbl"), place.cast("string"))))
+
+
 def grouped_fields(rows: DataFrame, key: str, order: str, field: str) -> DataFrame:
     """(key, first_order, fields): the distinct fields of each group in the order first seen."""
     first = rows.groupBy(key, field).agg(F.min(order).alias("_first"))

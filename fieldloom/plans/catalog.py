@@ -34,13 +34,13 @@ def queries() -> dict:
         "dedup_names": lambda s, d: quality.unique_boxes(read(s, d, "part").select("p_partkey", "p_brand"), "p_brand", "p_partkey", []),
         "upsert_last": lambda s, d: stores.upsert_last(read(s, d, "events"), "user_id", "event_id", ["event_type", "value"]),
         "corrections": lambda s, d: stores.corrected(
-            read(s, d, "orders").select("o_orderkey", F.col("o_orderstatus").alias("value"), F.lit("check").alias("flag")),
-            read(s, d, "orders").where("o_orderkey % 7 = 0").select(F.when(F.col("o_orderkey") % 5 == 0, -F.col("o_orderkey")).otherwise(F.col("o_orderkey")).alias("o_orderkey"), F.explode(F.array(F.struct(F.lit(1).alias("at"), F.lit("W").alias("new_value")), F.struct(F.lit(2).alias("at"), F.when(F.col("o_orderkey") % 3 > 0, "X").alias("new_value")))).alias("c")).select("o_orderkey", "c.*"), ["o_orderkey"], "at"),
+            read(s, d, "orders").select("o_orderkey", F.lit("status").alias("field"), F.col("o_orderstatus").alias("value"), F.lit("check").alias("flag")),
+            read(s, d, "orders").where("o_orderkey % 7 = 0").select(F.when(F.col("o_orderkey") % 5 == 0, -F.col("o_orderkey")).otherwise(F.col("o_orderkey")).alias("o_orderkey"), F.explode(F.array(F.struct(F.lit(1).alias("at"), F.lit("W").alias("new_value")), F.struct(F.lit(2).alias("at"), F.when(F.col("o_orderkey") % 3 > 0, "X").alias("new_value")))).alias("c"), F.when(F.col("o_orderkey") % 4 > 0, "status").otherwise("more").alias("field")).select("o_orderkey", "field", "c.*"), ["o_orderkey"], "field", "at"),
         "summary_first_nonempty": lambda s, d: stores.first_non_empty(read(s, d, "orders"), "o_custkey", "o_orderkey", "o_orderstatus"),
         "incremental_sync": lambda s, d: stores.incremental(read(s, d, "events").select("event_id", "user_id", "event_type"), "event_id", 100),
         "entries_sync": lambda s, d: stores.sync(read(s, d, "events").select("event_id", "user_id", "event_type"), "event_id", 100, "event_id", read(s, d, "events").where("event_id % 7 = 0")),
         "entries_idempotent": lambda s, d: stores.idempotent(read(s, d, "events").unionByName(read(s, d, "events")).withColumn("key", F.concat_ws("/", "user_id", "event_type", "event_id")).select("key", "event_id", "event_type", "value"), "key", "event_id"),
-        "label_counts": lambda s, d: stores.label_counts(read(s, d, "documents"), "lang"),
+        "label_counts": lambda s, d: stores.label_counts(read(s, d, "documents").select(F.when(F.col("doc_id") % 3 > 0, F.col("lang")).alias("label"), F.when(F.col("doc_id") % 2 > 0, F.col("source")).otherwise("").alias("title")), ["label", "title"]),
         "first_number": lambda s, d: read(s, d, "pages").select("page_id", numbers.first_number(F.col("url")).alias("number")),
         "normalize_key": lambda s, d: read(s, d, "part").select("p_partkey", texts.normalized_key(F.concat(F.lit("\u00a0 e\u0301"), "p_brand", F.lit("\u3000x y"))).alias("norm_key")),
     }
@@ -72,13 +72,14 @@ h AS (SELECT *, count(*) FILTER (WHERE far) OVER (PARTITION BY form, field) AS h
 SELECT form, record_key, field, value, round(lo, 4) AS lo, round(hi, 4) AS hi, coalesce(far, false) AND hits <= greatest(2, 0.1 * n) AS is_outlier FROM h""",
         "dedup_names": "SELECT p_partkey, p_brand, CASE WHEN n = 1 THEN p_brand ELSE p_brand || ' (' || n || ')' END AS unique_name FROM (SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part WHERE trim(p_brand) <> '')",
         "upsert_last": "SELECT user_id, min(event_id) AS first_pos, max_by(event_type, event_id) AS event_type, max_by(value, event_id) AS value FROM events GROUP BY user_id",
-        "corrections": """WITH c AS (SELECT CASE WHEN o_orderkey % 5 = 0 THEN -o_orderkey ELSE o_orderkey END AS o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN 'X' END AS v FROM orders WHERE o_orderkey % 7 = 0)
-SELECT coalesce(o.o_orderkey, c.o_orderkey) AS o_orderkey, CASE WHEN c.o_orderkey IS NULL THEN o_orderstatus ELSE v END AS value, CASE WHEN c.o_orderkey IS NULL THEN 'check' ELSE '' END AS flag FROM orders o FULL JOIN c ON o.o_orderkey = c.o_orderkey""",
+        "corrections": """WITH c AS (SELECT CASE WHEN o_orderkey % 5 = 0 THEN -o_orderkey ELSE o_orderkey END AS o_orderkey, CASE WHEN o_orderkey % 4 > 0 THEN 'status' ELSE 'more' END AS field, CASE WHEN o_orderkey % 3 > 0 THEN 'X' END AS v FROM orders WHERE o_orderkey % 7 = 0)
+SELECT o.o_orderkey, 'status' AS field, CASE WHEN c.o_orderkey IS NULL THEN o_orderstatus ELSE v END AS value, CASE WHEN c.o_orderkey IS NULL THEN 'check' ELSE '' END AS flag FROM orders o LEFT JOIN c ON o.o_orderkey = c.o_orderkey AND field = 'status'
+UNION ALL SELECT c.o_orderkey, field, v, '' FROM c JOIN orders USING (o_orderkey) WHERE field = 'more'""",
         "summary_first_nonempty": "SELECT o_custkey, arg_min(o_orderstatus, o_orderkey) FILTER (WHERE trim(o_orderstatus) <> '') AS first_value FROM orders GROUP BY 1",
         "incremental_sync": "SELECT event_id, user_id, event_type FROM events WHERE event_id > 100 ORDER BY event_id LIMIT 500",
         "entries_sync": "SELECT event_id, user_id, event_type FROM events WHERE event_id > 100 AND event_id NOT IN (SELECT event_id FROM events WHERE event_id % 7 = 0)",
         "entries_idempotent": "SELECT concat_ws('/', user_id, event_type, event_id) AS key, min(event_id) AS seq, event_type, any_value(value) AS value, 2 * count(*) AS times_sent FROM events GROUP BY 1, 3",
-        "label_counts": "SELECT coalesce(nullif(trim(lang), ''), '(none)') AS label, count(*) AS n FROM documents GROUP BY 1",
+        "label_counts": "SELECT coalesce(nullif(CASE WHEN doc_id % 3 > 0 THEN lang END, ''), nullif(CASE WHEN doc_id % 2 > 0 THEN source ELSE '' END, ''), '기타') AS label, count(*) AS n FROM documents GROUP BY 1",
         "first_number": r"SELECT page_id, replace(regexp_extract(coalesce(url, ''), '([+-]?[0-9][0-9,]*(?:\.[0-9]+)?)', 1), ',', '') AS number FROM pages",
         "normalize_key": "SELECT p_partkey, replace(trim(regexp_replace(nfc_normalize('\u00a0 e\u0301' || p_brand || '\u3000x y'), '" + texts.BLANKS + "', ' ', 'g')), ' ', '') AS norm_key FROM part",
     }

@@ -1,29 +1,33 @@
-"""Outlier rules: the cases of the reference's test_analysis.py and test_outlier_rules.py, and the edges of its find_outliers."""
+"""Outlier rules: columns on both sides of each rule, with expected rows worked out from the rule."""
 
 import pytest
 
 from fieldloom.operators import quality
 
+STEADY = [float(40 + i % 7) for i in range(28)]
+
+#: name -> (values, places of outliers); the fences are quartiles -+ 3 IQR unless said otherwise
 CASES = {
-    "equal values": ([5] * 9 + [5000], [9]),
-    "equal values, small steps": ([0.0] * 2 + [0.3] * 8 + [1.2], []),
-    "equal values, below": ([-5] * 9 + [-5000], [9]),
-    "zeros left out": ([0, 0, 0, 0, 0, 50, 0, 0], []),
-    "zeros left out, one far": ([0, 0, 0, 12, 14, 13, 15, 0, 400], [8]),
-    "spread": ([1.2, 1.5, 1.9, 2.4, 3.1, 3.8, 5.0, 9.5], []),
-    "fence at zero": ([0.5, 1, 2, 3, 4, 50], [5]),
-    "four of twenty": ([5] * 16 + [100, 110, 120, 130], []),
-    "one of seventeen": ([5] * 16 + [100], [16]),
-    "two of ten": ([10, 11, 12, 13, 14, 15, 16, 17, 900, 950], [8, 9]),
-    "three of twenty-two": ([*range(10, 29), 900, 950, 990], []),
-    "three of thirty": ([*range(10, 37), 900, 950, 990], [27, 28, 29]),
-    "too few": ([5, 5, 500], []),
+    # no spread: median -+ 3 max(1, |median|)
+    "constant, one above the fence": ([8.0] * 11 + [32.5], [11]),
+    "constant, one on the fence": ([8.0] * 11 + [32.0], []),
+    "constant near zero, fence of 3": ([0.2] * 9 + [3.1], []),
+    "constant near zero, beyond 3": ([0.2] * 9 + [3.3], [9]),
+    "negative constant": ([-6.0] * 8 + [-24.5], [8]),
+    # zeros leave from 30 % on
+    "three of ten are zeros": ([0.0, 0.0, 0.0, 20.0, 21.0, 22.0, 23.0, 24.0, 25.0, 90.0], [9]),
+    "two of nine are zeros and stay": ([0.0, 0.0, 20.0, 21.0, 22.0, 23.0, 24.0, 25.0, 26.0], []),
+    # at most max(2, a tenth) of the rows
+    "two of a small column": ([*STEADY[:9], 700.0, -1.0, 800.0][:9] + [700.0, 800.0], [9, 10]),
+    "three of a small column": (STEADY[:14] + [700.0, 800.0, 900.0], []),
+    "three of thirty-one": (STEADY + [700.0, 800.0, 900.0], [28, 29, 30]),
+    "three values": ([3.0, 3.0, 900.0], []),
 }
 
 
 @pytest.fixture(scope="module")
 def flagged(spark):
-    rows = [("f", i, name, float(v)) for name, (values, _) in CASES.items() for i, v in enumerate(values)]
+    rows = [("f", i, name, v) for name, (values, _) in CASES.items() for i, v in enumerate(values)]
     return quality.outliers(spark.createDataFrame(rows, "form string, record_key int, field string, value double")).collect()
 
 
@@ -33,6 +37,7 @@ def test_flags(flagged, name):
 
 
 def test_fences(flagged):
-    assert {(r["lo"], r["hi"]) for r in flagged if r["field"] == "fence at zero"} == {(0.0, 11.25)}
-    assert {(r["lo"], r["hi"]) for r in flagged if r["field"] == "equal values"} == {(0.0, 20.0)}
-    assert {(r["lo"], r["hi"]) for r in flagged if r["field"] == "equal values, below"} == {(-20.0, 10.0)}
+    fences = lambda name: {(r["lo"], r["hi"]) for r in flagged if r["field"] == name}
+    # a column without negative values has no fence below 0
+    assert fences("constant, one above the fence") == {(0.0, 32.0)}
+    assert fences("negative constant") == {(-24.0, 12.0)}
