@@ -16,7 +16,7 @@ CASES = {
     "negative constant": ([-6.0] * 8 + [-24.5], [8]),
     # zeros leave from 30 % on
     "three of ten are zeros": ([0.0, 0.0, 0.0, 20.0, 21.0, 22.0, 23.0, 24.0, 25.0, 90.0], [9]),
-    "two of nine are zeros and stay": ([0.0, 0.0, 20.0, 21.0, 22.0, 23.0, 24.0, 25.0, 26.0], []),
+    "two of nine are zeros, which stay and are far": ([0.0, 0.0, 20.0, 21.0, 22.0, 23.0, 24.0, 25.0, 26.0], [0, 1]),
     # at most max(2, a tenth) of the rows
     "two of a small column": ([*STEADY[:9], 700.0, -1.0, 800.0][:9] + [700.0, 800.0], [9, 10]),
     "three of a small column": (STEADY[:14] + [700.0, 800.0, 900.0], []),
