@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -25,12 +26,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder that the session names; only without one (tests) take a local folder."""
+    """Use the shared folder that the session names; one process on this machine may also take a folder of its own, a cluster may not."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if not named:
+            import tempfile
 
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="ckpt-"))
+            named = tempfile.mkdtemp(prefix="ckpt-")
+        sc.setCheckpointDir(named)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -81,24 +87,19 @@ SPACE = np.zeros(256, bool)
 SPACE[[32, *range(9, 14)]] = True
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
-CODES = np.random.default_rng(20).integers(0, 2**63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
-BASE = 0x9E3779B97F4A7C15
-BLOCK = 1 << 18
-_powers: dict[str, np.ndarray] = {}
+A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+BLOCK, LONG = 1 << 18, 512
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    h = (h ^ (h >> np.uint64(31))) * B
     return h ^ (h >> np.uint64(29))
 
 
-def powers(kind: str, n: int) -> np.ndarray:
-    """Powers of BASE ("up") or of its inverse ("down") modulo 2 ** 64."""
-    if kind not in _powers or len(_powers[kind]) < n:
-        steps = np.full(max(n, BLOCK), BASE if kind == "up" else pow(BASE, -1, 1 << 64), np.uint64)
-        steps[0] = 1
-        _powers[kind] = np.multiply.accumulate(steps)
-    return _powers[kind]
+def both(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One hash of two, in their order."""
+    return mix((a * A) ^ mix((b + B) * A))
 
 
 def word_bounds(b: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,11 +115,25 @@ def word_bounds(b: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def bytes_hashes(b: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bool = False) -> np.ndarray:
-    """64-bit hashes of the byte ranges of b: polynomials over random codes of the bytes, from one running sum."""
-    sums = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(CODES[FOLD][b] * powers("up", len(b))[: len(b)] if fold else CODES[b] * powers("up", len(b))[: len(b)], out=sums[1:])
-    h = (sums[end] - sums[start]) * powers("down", len(b))[start]
-    return mix(h ^ (end - start).astype(np.uint64) * np.uint64(BASE))
+    """64-bit hashes of the byte ranges of b: eight bytes at a time are mixed into the hash of their length.
+
+    Ranges of one length up to eight bytes never share a hash. Ranges of over LONG bytes have a digest.
+    """
+    b = FOLD[b] if fold else b
+    # the eight bytes from every place on
+    eights = np.ndarray(len(b) + 1, "<u8", np.append(b, np.zeros(8, np.uint8)), strides=(1,))
+    left = end - start
+    h = mix((left.astype(np.uint64) + B) * A)
+    long = np.flatnonzero(left > LONG)
+    rows = np.flatnonzero((left > 0) & (left <= LONG))
+    at, left = start[rows], left[rows]
+    while len(rows):
+        h[rows] = mix((h[rows] ^ eights[at] & MASKS[np.minimum(left, 8)]) * A)
+        more = left > 8
+        rows, at, left = rows[more], at[more] + 8, left[more] - 8
+    for i in long.tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(b[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 def _pieces(b: np.ndarray, begins: np.ndarray) -> Iterator[tuple[int, int]]:

@@ -3,9 +3,12 @@
 Two logistic models see two views of a document: its text (hashed words,
 hashed word endings, shares of symbols, capitals, digits and repeats) and its
 metadata (source, language, length). Over some rounds each model labels the
-unlabelled documents that it ranks highest and lowest, as many of either class
-as the labels' share says, and these pseudo-labels join the other model's
-training rows. Then each view is calibrated by a logistic fit on labels kept
+unlabelled documents that it ranks highest and lowest, at most as many of
+either class as the labels' share says, and these pseudo-labels join the other
+model's training rows. A view gives only rows beyond the score from which, on
+labels kept out of training, it is right so often that the lower bound of its
+precision (Wilson, 95 %) reaches SURE; a view or class that never gets there
+gives none. Then each view is calibrated by a logistic fit on labels kept
 out of training, and a second fit with weights of 0 or more adds the two views'
 log-odds. A further fifth of the labels only measures the accuracy.
 
@@ -42,7 +45,7 @@ from .common import hashed_words, table_cut
 SAMPLE, ROUNDS, SHAPES, WORDS, ENDINGS = 8000, 3, 8, 1 << 15, 256
 WIDTHS = (SHAPES + WORDS + ENDINGS, 897)
 RESULTS = ("p_text", "p_meta", "score", "kept")
-BINS, REACH = 4000, 20.0
+BINS, REACH, SURE = 4000, 20.0, 0.9
 PACKED = "doc_id bigint, shape binary, words binary, meta binary"
 
 
@@ -166,8 +169,26 @@ def fit_logistic(dot, back, width: int, y: np.ndarray, weight: np.ndarray, steps
     return w
 
 
-def surest(pool: DataFrame, models: list[np.ndarray], quota: tuple[int, int], taken: list[list[int]]) -> list[tuple[int, int, object]]:
-    """(view, good, row): the quota[good] rows of either class that each view ranks surest in the whole pool, without those taken from it before."""
+def sure_from(z: np.ndarray, good: np.ndarray, sure: float = SURE) -> tuple[float, float]:
+    """The scores up to which rows are bad and from which they are good, surely enough on these labelled rows; infinite without such a score."""
+    out = []
+    for side, right in ((z, good == 0), (-z, good == 1)):
+        order = np.argsort(side, kind="stable")
+        n, hits = np.arange(1, len(z) + 1), np.cumsum(right[order])
+        p, w = hits / n, 1.96**2 / n
+        low = (p + w / 2 - np.sqrt(w * (p * (1 - p) + w / 4))) / (1 + w)
+        # equal scores count together
+        ends = np.append(side[order][1:] != side[order][:-1], True) if len(z) else np.zeros(0, bool)
+        ok = np.flatnonzero(ends & (low >= sure))
+        out.append(float(side[order][ok[-1]]) if len(ok) else -np.inf)
+    return out[0], -out[1]
+
+
+def surest(pool: DataFrame, models: list[np.ndarray], quota: tuple[int, int], taken: list[list[int]], bounds: list[tuple[float, float]] | None = None) -> list[tuple[int, int, object]]:
+    """(view, good, row): at most quota[good] rows of either class that each view ranks surest in the whole pool, beyond its bounds and without those taken from it before."""
+    bounds = bounds or [(np.inf, -np.inf)] * 2
+    if all(b == (-np.inf, np.inf) for b in bounds):
+        return []
     gone = [np.array(sorted(t), np.int64) for t in taken]
 
     def scored(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -177,6 +198,9 @@ def surest(pool: DataFrame, models: list[np.ndarray], quota: tuple[int, int], ta
             z = v.dot(view, models[view])
             yield view, z, ~np.isin(ids, gone[view])
 
+    def beyond(view: int, good: int, z: np.ndarray) -> np.ndarray:
+        return z >= bounds[view][1] if good else z <= bounds[view][0]
+
     def place(z: np.ndarray) -> np.ndarray:
         return np.clip(((z + REACH) * BINS / (2 * REACH)).astype(np.int64), 0, BINS - 1)
 
@@ -197,7 +221,7 @@ def surest(pool: DataFrame, models: list[np.ndarray], quota: tuple[int, int], ta
         for b in batches:
             for view, z, free in scored(b):
                 for good, ok, far in ((0, place(z) <= cuts[view][0], z), (1, place(z) >= cuts[view][1], -z)):
-                    ok = np.flatnonzero(ok & free)
+                    ok = np.flatnonzero(ok & free & beyond(view, good, z))
                     part = b.take(pa.array(ok))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ok), view)), pa.array(np.full(len(ok), good)), pa.array(far[ok]), *part.columns], names=["view", "good", "far", *part.schema.names])
 
@@ -210,7 +234,7 @@ def surest(pool: DataFrame, models: list[np.ndarray], quota: tuple[int, int], ta
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS) -> dict | None:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS, sure: float = SURE) -> dict | None:
     """Weights of both views and of the combination; None with fewer than 20 labelled rows or without labels of both classes."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.min("quality") - F.max(F.coalesce("toxic", F.lit(0))) > 0).cast("int").alias("good"))
     named = docs.where("doc_id is not null")
@@ -241,7 +265,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int =
             models.append(fit_logistic(lambda w, m=m, v=view: m.dot(v, w), lambda g, m=m, v=view: m.back(v, g), WIDTHS[view], y, np.append(np.ones(len(train)), np.full(len(more), 0.3))))
         if r == rounds:
             break
-        for view, label, x in surest(pool, models, quota, [list(extra[1 - v]) for v in (0, 1)]):
+        bounds = [sure_from(of([rows[i] for i in held]).dot(v, models[v]), good[held], sure) for v in (0, 1)]
+        for view, label, x in surest(pool, models, quota, [list(extra[1 - v]) for v in (0, 1)], bounds):
             extra[1 - view].setdefault(x["doc_id"], (label, x))
     z = lambda some: np.stack([of([rows[i] for i in some]).dot(v, models[v]) for v in (0, 1)])
     yh, zh = good[held].astype(float), z(held)

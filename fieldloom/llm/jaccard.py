@@ -17,7 +17,9 @@ Of the others each point sends its best few (by the bound) to a second bound
 by finer counts (large sets only) and then to the exact test on the sets; linked pairs join components. This is repeated with sixteen times as
 many until no point has more than it sent. So every pair that could join two
 components has been tested, while a large group of near copies costs a few
-pairs per member. A key with more than BLOCK members is joined block by block.
+pairs per member. A key with more than BLOCK members is joined block by block,
+and while a tree is walked a task holds its points' best pairs and at most
+PAIRS others.
 
 Null text and texts without words have an empty set and link with nothing; a
 text of fewer words than a shingle has its whole sequence as one. Repeated rows
@@ -36,10 +38,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Cache, cut, hashed_words, in_order, mix, settings, table_cut
+from .common import A, Cache, cut, hashed_words, in_order, mix, settings, table_cut
 
-GROUPS, CELLS, LEAF, BLOCK, FEW = 128, 1 << 16, 32, 4096, 8
-A = np.uint64(0x9E3779B97F4A7C15)
+GROUPS, CELLS, LEAF, BLOCK, FEW, PAIRS = 128, 1 << 16, 32, 4096, 8, 500_000
 FILTER = {
     "spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold": "0",
     "spark__sql__optimizer__runtime__bloomFilter__creationSideThreshold": "1TB",
@@ -193,11 +194,44 @@ def tree_pairs(x: Tree, y: Tree, counts: np.ndarray, n: np.ndarray, comp: np.nda
         yield x.rows[i], y.rows[j], bound[i, j]
 
 
-def group_pairs(group: np.ndarray, leaf: np.ndarray, counts: np.ndarray, n: np.ndarray, comp: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pairs of rows of one group (and of different leaves, if it has two) with their bounds; groups are consecutive. Small groups are compared all at once, larger ones by trees."""
+class Best:
+    """Pairs of rows with bounds, of which only those among the best `most` of either row are held once there are PAIRS more; groups that lost one are known."""
+
+    def __init__(self, group: np.ndarray, node: np.ndarray, most: int):
+        self.group, self.node, self.most = group, node, most
+        self.parts, self.size, self.limit, self.cut = [], 0, PAIRS, np.zeros(0, np.int64)
+
+    def add(self, left: np.ndarray, right: np.ndarray, bound: np.ndarray) -> None:
+        self.parts.append((left.astype(np.int32), right.astype(np.int32), bound.astype(np.int32)))
+        self.size += len(left)
+        if self.size > self.limit:
+            self.trim()
+            self.limit = self.size + PAIRS
+
+    def trim(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        none = np.zeros(0, np.int32)
+        left, right, bound = (np.concatenate([none, *x]) for x in (zip(*self.parts) if self.parts else ((), (), ())))
+        row, other, at = np.append(left, right), np.append(right, left), np.tile(np.arange(len(left), dtype=np.int32), 2)
+        order = np.lexsort((self.node[other], -np.tile(bound, 2), row))
+        row = row[order]
+        first = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else none
+        rank = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
+        keep = np.zeros(len(left), bool)
+        keep[at[order[rank < self.most]]] = True
+        self.cut = np.union1d(self.cut, self.group[left[~keep]])
+        self.parts, self.size = [(left[keep], right[keep], bound[keep])], int(keep.sum())
+        return self.parts[0]
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, rows and whether their group has more."""
+        left, right, _ = self.trim()
+        return left, right, np.isin(self.group[left], self.cut)
+
+
+def group_pairs(group: np.ndarray, leaf: np.ndarray, counts: np.ndarray, n: np.ndarray, comp: np.ndarray, percent: int, best: Best) -> None:
+    """Pairs of rows of one group (and of different leaves, if it has two) with their bounds, to best; groups are consecutive. Small groups are compared all at once, larger ones by trees."""
     start = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     size = np.diff(np.append(start, len(group)))
-    left, right, bound = [], [], []
     small = np.repeat(size <= FEW, size)
     for step in range(1, FEW):
         i = np.flatnonzero(small[:-step] & (group[:-step] == group[step:])) if len(group) > step else np.zeros(0, np.int64)
@@ -206,28 +240,14 @@ def group_pairs(group: np.ndarray, leaf: np.ndarray, counts: np.ndarray, n: np.n
             q = p + step
             both = np.minimum(counts[p], counts[q]).sum(1)
             ok = (comp[p] != comp[q]) & ((100 + percent) * both >= need(n[p], n[q], percent))
-            left.append(p[ok]), right.append(q[ok]), bound.append(both[ok])
+            best.add(p[ok], q[ok], both[ok])
     for s, m in zip(start[size > FEW].tolist(), size[size > FEW].tolist()):
         rows = np.arange(s, s + m)
         parts = [rows[leaf[rows] == v] for v in np.unique(leaf[rows])]
         trees = [Tree(p, counts, n, comp) for p in parts]
         for i, j, both in tree_pairs(trees[0], trees[-1], counts, n, comp, percent):
             ok = i < j if len(parts) == 1 else np.full(len(i), True)
-            left.append(i[ok]), right.append(j[ok]), bound.append(both[ok])
-    none = np.zeros(0, np.int64)
-    return tuple(np.concatenate(x) if x else none for x in (left, right, bound))
-
-
-def best(left: np.ndarray, right: np.ndarray, bound: np.ndarray, group: np.ndarray, node: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which pairs are among the best `most` of either row, and which have a pair in their group that is not."""
-    row, other, at = np.append(left, right), np.append(right, left), np.tile(np.arange(len(left)), 2)
-    order = np.lexsort((node[other], -np.tile(bound, 2), row))
-    row = row[order]
-    first = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, np.int64)
-    rank = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
-    keep = np.zeros(len(left), bool)
-    keep[at[order[rank < most]]] = True
-    return keep, np.isin(group[left], group[left][~keep])
+            best.add(i[ok], j[ok], both[ok])
 
 
 def _candidates(percent: int, most: int):
@@ -237,9 +257,9 @@ def _candidates(percent: int, most: int):
         def work(t: pa.Table) -> pa.RecordBatch:
             key, lo, hi, leaf, node, comp, n = (t.column(c).to_numpy() for c in names)
             group = np.append(0, np.cumsum((key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])))
-            i, j, bound = group_pairs(group, leaf, unpacked_counts(t.column("counts").to_pylist()), n, comp, percent)
-            keep, more = best(i, j, bound, group, node, most)
-            i, j, more = i[keep], j[keep], more[keep]
+            best = Best(group, node, most)
+            group_pairs(group, leaf, unpacked_counts(t.column("counts").to_pylist()), n, comp, percent, best)
+            i, j, more = best.pairs()
             return pa.RecordBatch.from_arrays([pa.array(key[i]), pa.array(np.minimum(node[i], node[j])), pa.array(np.maximum(node[i], node[j])), pa.array(more)], names=["key", "a", "b", "more"])
 
         held: list[pa.RecordBatch] = []
@@ -359,13 +379,17 @@ def linked_components(docs: DataFrame, nodes: DataFrame, members: DataFrame, per
         most *= 16
 
 
-def near_groups(docs: DataFrame, percent: int = 85, k: int = 4) -> DataFrame:
-    """(doc_id, n_shingles, component_id) per row of docs(doc_id, text)."""
+def grouped(docs: DataFrame, percent: int = 85, k: int = 4) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, component_id, leader) per row of docs(doc_id, text).
+
+    leader is true for the rows of a component with its least (doc_id, text_hash), so for one text of
+    each component (in equal rows, if it is repeated), and for rows that link with nothing.
+    """
     raw = F.col("text").cast("binary")
     docs = docs.select("doc_id", F.xxhash64(raw).alias("text_hash"), raw.alias("raw"))
     all_sets = table_cut(sets(docs, cell_levels(docs, k), percent, k))
     whole = all_sets.where("n > 0 and doc_id is not null")
-    heads = table_cut(whole.groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("r")).select("digest", F.col("r.row").alias("node")))
+    heads = table_cut(whole.groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("r"), F.min(F.struct("doc_id", "text_hash")).alias("own")).select("digest", F.col("r.row").alias("node"), "own"))
     nodes = all_sets.join(heads.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), "doc_id", "text_hash", "n", "counts", "fine")
     keys = all_sets.where("size(keys) > 0").select(F.explode("keys").alias("key"), F.col("row").alias("node"))
     shared = keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, "key bigint, node bigint")
@@ -375,10 +399,35 @@ def near_groups(docs: DataFrame, percent: int = 85, k: int = 4) -> DataFrame:
     sizes = shared.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / BLOCK).alias("leaves"))
     members = table_cut(shared.join(sizes, "key"))
     comp = linked_components(docs, nodes, members, percent, k)
-    label = heads.select("digest", F.lit(None).cast("bigint").alias("least"))
+    label = heads.select("digest", F.col("own").alias("least"))
     if comp is not None:
-        ids = comp.join(nodes.select("node", "doc_id"), "node")
-        label = ids.join(ids.groupBy("comp").agg(F.min("doc_id").alias("least")), "comp").join(heads, "node").select("digest", "least")
-    own = whole.groupBy("digest").agg(F.min("doc_id").alias("own"))
-    out = all_sets.select("doc_id", "n", "digest").join(own, "digest", "left").join(label, "digest", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "own", "doc_id")).alias("component_id"))
+        ids = heads.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        label = ids.join(ids.groupBy("comp").agg(F.min("own").alias("least")), "comp").select("digest", "least")
+    out = all_sets.select("doc_id", "text_hash", "n", "digest").join(label, "digest", "left")
+    linked = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    first = F.coalesce((F.col("least.doc_id") == F.col("doc_id")) & (F.col("least.text_hash") == F.col("text_hash")), F.lit(True))
+    component = F.when(F.col("doc_id").isNotNull(), F.when(linked, F.col("least.doc_id")).otherwise(F.col("doc_id")))
+    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), component.alias("component_id"), (~linked | first).alias("leader"))
+
+
+def near_groups(docs: DataFrame, percent: int = 85, k: int = 4) -> DataFrame:
+    """(doc_id, n_shingles, component_id) per row of docs(doc_id, text)."""
+    return grouped(docs, percent, k).select("doc_id", "n_shingles", "component_id")
+
+
+def without_near_copies(docs: DataFrame, percent: int = 80, k: int = 5) -> DataFrame:
+    """docs with one row of each component: of its least id, and of that id's texts in the component the one of least hash.
+
+    Rows are told apart by id and text, so of two texts with one id each keeps its own group. Rows
+    that repeat the one that stays go too; rows without words or id link with nothing and all stay.
+    """
+    names = docs.columns
+    groups = table_cut(grouped(docs, percent, k))
+    marked = docs.withColumn("__hash", F.xxhash64(F.col("text").cast("binary")))
+    gone = groups.where("not leader").select("doc_id", F.col("text_hash").alias("__hash")).distinct()
+    left = marked.join(gone, ["doc_id", "__hash"], "left_anti")
+    again = groups.where("leader and n_shingles > 0 and doc_id is not null").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", F.col("text_hash").alias("__hash"))
+    if again.limit(1).count() == 0:
+        return left.select(*names)
+    once = left.join(again, ["doc_id", "__hash"], "left_semi").dropDuplicates(["doc_id", "__hash"])
+    return left.join(again, ["doc_id", "__hash"], "left_anti").unionByName(once).select(*names)

@@ -17,7 +17,7 @@ by a keyed token of its own, its domain stays.
 Only SQL functions are used: the text is split around the matches once and
 the pieces are joined again. Null text stays null, texts without a match stay
 as they are. An input column named n_found or n_changed is replaced; other
-columns are untouched. Repeated rows repeat, an empty table gives no rows.
+columns are untouched, but for __found and __new, which are the operator's own. Repeated rows repeat, an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -161,6 +161,9 @@ def replaced(v: Column, key: str) -> Column:
     )
 
 
+RESULTS = ("n_found", "n_changed")
+
+
 def pseudonymise(docs: DataFrame, key: str = "fieldloom", column: str = "text") -> DataFrame:
     """docs with the column's personal values replaced; adds n_found and n_changed."""
     text = F.col(column)

@@ -9,12 +9,15 @@ twice or more are known exactly, and all other super-k-mers stay where they
 are. The rest then travel, each once, as one packed string to the bucket of its
 minimiser. A bucket's strings arrive in the order of documents and places;
 sorting its windows (by two 64-bit hashes) puts equal ones together with the
-first in front, and the others count as repeats whose words are removed.
+first in front, and the others count as repeats whose words are removed. The
+words themselves are compared before that: stretches of repeats with the
+stretch they repeat, byte by byte, and where hashes deceive, all windows.
 
 A bucket takes at most MOST super-k-mers. A minimiser with more is split in
 parts by place: each part settles the repeats within it and passes on one
-first place per window; the least of those, aggregated per window, settles the
-rest. So no task gathers a hot group.
+first place per window (under a 128-bit digest of its words); the least of
+those, aggregated per window, settles the rest. Of minimisers alone, which are
+a few numbers each and only streamed, one task reads all that are equal.
 
 Null text has no words. Documents of under 20 words are never changed. Null ids
 sort first. Rows with one doc_id and different texts are documents of their
@@ -35,10 +38,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import hashed_words, in_order, mix, powers, table_cut
+from .common import A, B, both, hashed_words, in_order, mix, table_cut
 
 SPAN, MER, MOST = 20, 6, 20_000
-A, B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 RESULTS = ("n_words", "n_removed", "kept_sha256", "kept")
 
 
@@ -147,6 +149,46 @@ def _packed(span: int, mer: int):
     return run
 
 
+def spans(h: np.ndarray, span: int) -> np.ndarray:
+    """A hash of the `span` hashes from each place on, by doubling; zero where there are fewer."""
+    out, done, width, power = None, 0, 1, h
+    while done < span:
+        if span & width:
+            part = power[done:]
+            out = part if out is None else both(out[: len(part)], part)
+            done += width
+        if done < span:
+            power = both(power[: max(0, len(power) - width)], power[width:])
+            width *= 2
+    return np.append(out, np.zeros(len(h) - len(out), np.uint64))
+
+
+def same_words(packed: pa.Array, row: np.ndarray, opens: np.ndarray, closes: np.ndarray, first: np.ndarray, lead: np.ndarray) -> bool:
+    """Whether each window that is not first has the bytes of its lead; windows in step with their leads are compared in one stretch."""
+    i = np.flatnonzero(~first)
+    if not len(i):
+        return True
+    j = lead[i]
+    step = (np.diff(i) == 1) & (np.diff(j) == 1) & (np.diff(row[i]) == 0) & (np.diff(row[j]) == 0)
+    s, e = np.flatnonzero(np.append(True, ~step)), np.flatnonzero(np.append(~step, True))
+    places = zip(row[i[s]].tolist(), opens[i[s]].tolist(), closes[i[e]].tolist(), row[j[s]].tolist(), opens[j[s]].tolist(), closes[j[e]].tolist())
+    data, ends = memoryview(packed.buffers()[2]), np.frombuffer(packed.buffers()[1], np.int32)[packed.offset :]
+    at = lambda r, x, y: data[ends[r] + x : ends[r] + y]
+    return all(at(a, b, c) == at(d, f, g) for a, b, c, d, f, g in places)
+
+
+def first_windows(packed: pa.Array, bucket: np.ndarray, row: np.ndarray, opens: np.ndarray, closes: np.ndarray) -> np.ndarray:
+    """Which windows are the first of their words in their bucket, by the words alone."""
+    seen: set = set()
+    out = np.zeros(len(row), bool)
+    texts = packed.to_pylist()
+    for k, (b, r, x, y) in enumerate(zip(bucket.tolist(), row.tolist(), opens.tolist(), closes.tolist())):
+        key = b, hashlib.blake2b(texts[r][x:y], digest_size=16).digest()
+        out[k] = key not in seen
+        seen.add(key)
+    return out
+
+
 FOUND = "window binary, doc_id bigint, tag bigint, start bigint, many bigint"
 
 
@@ -160,31 +202,39 @@ def _bucket(span: int, rows_at_once: int = 20_000):
         t = t.combine_chunks()
         mini, part, start = (t.column(c).to_numpy() for c in ("mini", "part", "start"))
         bucket = np.append(0, np.cumsum((mini[1:] != mini[:-1]) | (part[1:] != part[:-1])))
-        row, place, one, two = [], [], [], []
-        for lo, hi, _, places, _, _, h in hashed_words(t.column("packed")):
+        row, place, one, two, opens, closes = [], [], [], [], [], []
+        for lo, hi, _, places, first_byte, end_byte, h in hashed_words(t.column("packed")):
             windows = np.diff(places) - span + 1
             at = in_order(places[:-1], windows)
-            for out, code in ((one, h), (two, mix(h ^ B))):
-                sums = np.append(np.uint64(0), np.cumsum(code * powers("up", len(h))[: len(h)]))
-                out.append(mix((sums[at + span] - sums[at]) * powers("down", len(h) + 1)[at]))
+            for out, code in ((one, h), (two, mix((h ^ B) * A))):
+                out.append(spans(code, span)[at])
             row.append(np.repeat(np.arange(lo, hi), windows))
             place.append(in_order(start[lo:hi], windows))
-        row, place, one, two = map(np.concatenate, (row, place, one, two))
+            # the bytes of each window, counted from its row's begin
+            begin = np.repeat(first_byte[places[:-1]], windows)
+            opens.append(first_byte[at] - begin), closes.append(end_byte[at + span - 1] - begin)
+        row, place, one, two, opens, closes = map(np.concatenate, (row, place, one, two, opens, closes))
         order = np.lexsort((two, one, bucket[row]))
         b, x, y = bucket[row][order], one[order], two[order]
         leads = np.append(True, (b[1:] != b[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1]))
         first = np.zeros(len(row), bool)
         first[order[leads]] = True
+        lead = np.empty(len(row), np.int64)
+        lead[order] = order[np.flatnonzero(leads)][np.cumsum(leads) - 1]
+        words = t.column("packed").combine_chunks()
+        if not same_words(words, row, opens, closes, first, lead):
+            first = first_windows(words, bucket[row], row, opens, closes)
         # ranges of repeats, within one super-k-mer each
         again = ~first
         begin = np.flatnonzero(again & np.append(True, ~again[:-1] | (row[1:] != row[:-1])))
         last = np.flatnonzero(again & np.append(~again[1:] | (row[1:] != row[:-1]), True))
         local = np.flatnonzero(first & (part[row] >= 0))
-        prints = np.stack([one[local], two[local]], 1).astype("<u8").tobytes()
+        texts = {i: words[i].as_py() for i in np.unique(row[local]).tolist()}
+        prints = [hashlib.blake2b(texts[i][x:y], digest_size=16).digest() for i, x, y in zip(row[local].tolist(), opens[local].tolist(), closes[local].tolist())]
         taken = pa.array(np.append(row[begin], row[local]))
         return pa.RecordBatch.from_arrays(
             [
-                pa.array([None] * len(begin) + [prints[16 * i : 16 * i + 16] for i in range(len(local))], pa.binary()),
+                pa.array([None] * len(begin) + prints, pa.binary()),
                 *(t.column(c).combine_chunks().take(taken) for c in ("doc_id", "tag")),
                 pa.array(np.append(place[begin], place[local])),
                 pa.array(np.append(last - begin + 1, np.ones(len(local), np.int64))),

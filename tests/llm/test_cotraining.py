@@ -72,3 +72,26 @@ def test_clashing_columns_and_accuracy(spark):
     assert len(out) == 401 and {r["more"] for r in out} == {1.5, None}
     assert all(r["kept"] == (r["doc_id"] % 3 > 0) for r in out if r["doc_id"] is not None)
     assert cotraining.fit(docs, labels)["accuracy"] == 1.0
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 2, 3])
+def test_exchange_does_no_harm(spark, rounds):
+    """A view without signal teaches nothing: plain rows stay told apart after any number of rounds."""
+    rows = [(i, f"{'fine clear' if i % 3 else 'bad spam'} text w{i % 50} " * 5, "en", f"s{i % 7}", 50) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars int")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(300)], "doc_id bigint, quality int, toxic int")
+    model = cotraining.fit(docs, labels, rounds=rounds)
+    assert model["learned"][0] == [0, 0] and model["accuracy"] == 1.0
+    assert all(r["kept"] == (r["doc_id"] % 3 > 0) for r in cotraining.score(docs, model).collect())
+
+
+def test_sure_bounds():
+    """Bounds need enough right rows; equal scores count together; a view without signal has none."""
+    z = np.concatenate([np.linspace(-5, -1, 100), np.linspace(1, 5, 100)])
+    good = (z > 0).astype(int)
+    low, high = cotraining.sure_from(z, good)
+    assert -1.5 < low < 1.5 and -1.5 < high < 1.5
+    assert cotraining.sure_from(z[90:110], good[90:110]) == (-np.inf, np.inf)
+    assert cotraining.sure_from(np.zeros(200), good) == (-np.inf, np.inf)
+    assert cotraining.sure_from(np.random.default_rng(0).normal(size=200), good) == (-np.inf, np.inf)
+    assert cotraining.sure_from(np.zeros(0), np.zeros(0)) == (-np.inf, np.inf)

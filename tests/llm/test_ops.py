@@ -110,19 +110,111 @@ def test_jaccard_chains(spark):
     assert {r[0]: (r[1], r[2]) for r in got.collect()} == _components(made)
 
 
-def test_group_keys_never_lose_a_link():
+@pytest.mark.parametrize("percent, k", [(85, 4), (80, 5)])
+def test_group_keys_never_lose_a_link(spark, percent, k):
+    """Linked sets share a key, whatever the order by frequency, and the bound of their counts is no reason to skip them."""
+    import random
+
     import numpy as np
 
-    rnd = np.random.default_rng(3)
+    rnd, made = random.Random(k), []
     for n in (1, 2, 5, 7, 13, 40, 111, 300):
-        for _ in range(30):
-            s = np.unique(rnd.integers(0, 2**63, n).astype(np.uint64))
-            t = np.unique(np.concatenate([s[rnd.random(len(s)) > 0.07], rnd.integers(0, 2**63, rnd.integers(0, n // 12 + 1)).astype(np.uint64)]))
-            both = len(np.intersect1d(s, t))
-            if both and 100 * both >= 85 * (len(s) + len(t) - both):
-                a = {k for v in jaccard.levels(len(s), 85) for k in jaccard.group_keys(s, v, 85).tolist()}
-                b = {k for v in jaccard.levels(len(t), 85) for k in jaccard.group_keys(t, v, 85).tolist()}
-                assert a & b
+        for _ in range(24):
+            base = [f"v{rnd.randrange(50 if n % 2 else 9000)}" for _ in range(n + k - 1)]
+            near = list(base)
+            for _ in range(rnd.randrange(0, n // 40 + 2)):
+                near[rnd.randrange(len(near))] = f"n{rnd.random()}"
+            made += [base, near + [f"m{i}" for i in range(rnd.randrange(0, n // 12 + 1))]]
+    df = spark.createDataFrame([(i, i, bytearray(" ".join(w).encode())) for i, w in enumerate(made)], "doc_id bigint, text_hash bigint, raw binary").repartition(3)
+    keys = {r["doc_id"]: set(r["keys"]) for r in jaccard.sets(df, jaccard.cell_levels(df, k), percent, k).collect()}
+    grams = [np.unique(np.array([hash(tuple(w[i : i + k])) for i in range(max(1, len(w) - k + 1))])) for w in made]
+    linked = 0
+    for a in range(0, len(made), 2):
+        both = len(np.intersect1d(grams[a], grams[a + 1]))
+        if 100 * both >= percent * (len(grams[a]) + len(grams[a + 1]) - both):
+            same = set(grams[a]) == set(grams[a + 1])
+            linked += not same
+            # a set that a task has met again leaves its keys out: equal sets have one digest
+            assert same or keys[a] & keys[a + 1] or not keys[a] or not keys[a + 1]
+    assert linked > 20
+
+
+def _opposite(n):
+    """Two different words of n letters which polynomials modulo 2 ** 64 cannot tell apart from about 1,024 letters on."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [512, 1024, 2048, 4096])
+def test_words_built_to_collide(spark, n):
+    """They are no near copies, and a window that holds one does not repeat a window that holds the other."""
+    one, two = _opposite(n)
+    docs = spark.createDataFrame([(1, one), (2, two)], "doc_id bigint, text string")
+    assert {r[0]: r[2] for r in jaccard.near_groups(docs).collect()} == {1: 1, 2: 2}
+    tail = " ".join(f"t{i}" for i in range(19))
+    docs = spark.createDataFrame([(1, f"{one} {tail}"), (2, f"{two} {tail}"), (3, f"{one} {tail}")], "doc_id bigint, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in superkmers.dedup(docs).collect()} == {1: 0, 2: 0, 3: 20}
+
+
+def test_word_hashes():
+    """No two of many words share a hash, whatever their lengths and places; A-Z fold where asked."""
+    import numpy as np
+
+    from fieldloom.llm.common import bytes_hashes
+
+    words_ = [str(i).encode() for i in range(20_000)] + [b"a" * i for i in range(1, 600)] + [b"b" * 8 + bytes([i]) for i in range(65, 91)] + [x.encode() for n in (8, 16, 32, 64, 1024) for x in _opposite(n)]
+    ends = np.cumsum([len(w) for w in words_])
+    starts = ends - [len(w) for w in words_]
+    b = np.frombuffer(b"".join(words_), np.uint8)
+    h = bytes_hashes(b, starts, ends)
+    assert len(np.unique(h)) == len(set(words_))
+    alone = [bytes_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0] for w in words_[::97]]
+    assert alone == h[::97].tolist()
+    upper = np.frombuffer(b"ABCdefghijKLM abcdefghijklm", np.uint8)
+    x, y = bytes_hashes(upper, np.array([0, 14]), np.array([13, 27]), fold=True)
+    assert x == y
+
+
+def test_deceiving_hashes_are_settled_by_words():
+    """Where windows share a hash, the words decide."""
+    import numpy as np
+    import pyarrow as pa
+
+    packed = pa.array([b"a b c", b"a b d", b"a b c"], pa.binary())
+    row, opens, closes = np.array([0, 1, 2]), np.array([0, 0, 0]), np.array([5, 5, 5])
+    first, lead = np.array([True, False, False]), np.array([0, 0, 0])
+    assert not superkmers.same_words(packed, row, opens, closes, first, lead)
+    assert superkmers.same_words(packed, row, opens, closes, np.array([True, True, False]), np.array([0, 1, 0]))
+    assert superkmers.first_windows(packed, np.zeros(3, int), row, opens, closes).tolist() == [True, True, False]
+    assert superkmers.first_windows(packed, np.array([0, 0, 1]), row, opens, closes).tolist() == [True, True, True]
+
+
+def test_best_pairs_are_bounded(monkeypatch):
+    """4,096 near copies in one key: few pairs are held at a time, each row keeps its best ones and the group is known to have more."""
+    import numpy as np
+
+    rnd = np.random.default_rng(1)
+    m = 700
+    counts = np.tile(rnd.integers(0, 4, jaccard.GROUPS), (m, 1)).astype(np.int32)
+    counts[np.arange(m), rnd.integers(0, jaccard.GROUPS, m)] += 1
+    n = counts.sum(1)
+    group, leaf, node = np.zeros(m, np.int64), np.zeros(m, np.int64), np.arange(m)
+    got = {}
+    for limit in (10_000, 10**9):
+        monkeypatch.setattr(jaccard, "PAIRS", limit)
+        best = jaccard.Best(group, node, 2)
+        sizes = []
+        real = best.add
+        best.add = lambda *a: (real(*a), sizes.append(best.size))
+        jaccard.group_pairs(group, leaf, counts, n, node, 85, best)
+        i, j, more = best.pairs()
+        got[limit] = sorted(zip(i.tolist(), j.tolist(), more.tolist()))
+        assert more.all() and set(i.tolist()) | set(j.tolist()) == set(range(m))
+        if limit == 10_000:
+            assert max(sizes) < 25_000
+    assert got[10_000] == got[10**9]
 
 
 def test_cotraining(spark, docs, empty):

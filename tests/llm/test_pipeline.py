@@ -26,6 +26,39 @@ def test_near_duplicates_between_the_thresholds(spark):
     assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == made.keys() - gone
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """Rows are told apart by id and text: no text vanishes because another one with its id goes."""
+    x, y = (" ".join(f"{c}{i}" for i in range(40)) for c in "xy")
+    rows = [(1, x), (2, x), (2, y), (3, f"{y} more"), (4, y), (4, y), (None, x), (None, x), (5, None), (5, None), (6, " "), (7, f"{x} tail"), (7, f"{x} tail")]
+    docs = spark.createDataFrame([(*r, i, "k") for i, r in enumerate(rows)], "doc_id bigint, text string, nth int, leader string")
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=repr) == sorted([(1, x), (2, y), (None, x), (None, x), (5, None), (5, None), (6, " ")], key=repr)
+    # the one that stays comes once, though its row is repeated
+    again = spark.createDataFrame([(1, x, "a"), (1, x, "a"), (2, x, "b"), (9, y, "c")], "doc_id bigint, text string, __own string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, again, "").collect()) == [1, 9]
+    assert corpus_pipeline.near_duplicates(spark, docs.where("false"), "").count() == 0
+
+
+def test_stages_keep_clashing_columns(spark):
+    """Input columns named like an operator's results come back as they were, nulls, ties and empty texts pass, empty tables give none."""
+    more = {"kept": "k", "score": "s", "p_text": "p", "p_meta": "m", "n_words": "w", "n_removed": "r", "kept_sha256": "h", "n_found": "f", "n_changed": "c"}
+    passage = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, f"{passage} card 4111 1111 1111 1111"), (2, f"{passage} other"), (2, f"{passage} other"), (3, None), (4, ""), (None, passage)]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, " + ", ".join(f"{c} string" for c in more)
+    docs = spark.createDataFrame([(i, t, None, None, None, *more.values()) for i, t in rows], schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SMALL)
+        assert out.columns == docs.columns
+        kept = out.collect()
+        assert kept and all(r[c] == v for r in kept for c, v in more.items()), name
+        assert stage(spark, docs.where("false"), SMALL).count() == 0, name
+    assert corpus_pipeline.pack(spark, docs.where("false"), SMALL).count() == 0
+
+
+SMALL = "/root/testdata/sf0.001"
+
+
 def test_whole_pipeline(spark):
     """Each stage of one run over the smallest tables, judged on the rows that the stage before wrote."""
     import hashlib
