@@ -67,6 +67,10 @@ def settings(spark: SparkSession, **values):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+#: tables without a proven bound are never broadcast, however small they are here: joins inside these settings shuffle both sides
+UNBOUNDED = {"spark__sql__autoBroadcastJoinThreshold": "-1", "spark__sql__adaptive__autoBroadcastJoinThreshold": "-1"}
+
+
 class Cache(dict):
     """A word cache of bounded size: emptied when full, so results never depend on it."""
 

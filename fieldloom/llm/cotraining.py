@@ -238,7 +238,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int =
     """Weights of both views and of the combination; None with fewer than 20 labelled rows or without labels of both classes."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.min("quality") - F.max(F.coalesce("toxic", F.lit(0))) > 0).cast("int").alias("good"))
     named = docs.where("doc_id is not null")
-    both = named.select("doc_id").distinct().join(known, "doc_id").withColumn("order", F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 40)))
+    both = named.select("doc_id").distinct().join(known.hint("merge"), "doc_id").withColumn("order", F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 40)))
     # a threshold on the hash leaves little more than the sample, however many labels there are
     share = min(1.0, 1.2 * sample / max(1, both.count()) + 1e-9)
     chosen = {r["doc_id"]: r["good"] for r in both.where(F.col("order") < int(share * (1 << 40))).orderBy("order", "doc_id").limit(sample).collect()}
@@ -254,7 +254,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int =
     of = lambda some: unpacked(*([r[c] for r in some] for c in ("shape", "words", "meta")))
     tenth = max(2, len(rows) // 10)
     quota = (max(1, int(tenth * (1 - good.mean()))), max(1, int(tenth * good.mean())))
-    pool = table_cut(views(named).join(known.select("doc_id"), "doc_id", "left_anti")) if rounds else None
+    pool = table_cut(views(named).join(known.select("doc_id").hint("merge"), "doc_id", "left_anti")) if rounds else None
     extra: list[dict] = [{}, {}]  # what each model learns from the other view: doc_id -> (label, row)
     for r in range(rounds + 1):
         models = []

@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import A, Cache, cut, hashed_words, in_order, mix, settings, table_cut
+from .common import A, UNBOUNDED, Cache, hashed_words, mix, settings, table_cut
 
 GROUPS, CELLS, LEAF, BLOCK, FEW, PAIRS = 128, 1 << 16, 32, 4096, 8, 500_000
 FILTER = {
@@ -328,22 +328,41 @@ def _verify(percent: int, k: int):
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, comp) with the least node reachable, for all nodes with an edge: least labels and pointer jumps."""
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct())
-    label = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")))
+    """(node, comp) with the least node reachable, for all nodes with an edge of edges(a, b).
+
+    Each node joins its least neighbour, if that is less; then edges lie between the joined nodes,
+    once each, and those inside one go. This is repeated until none is left, so edges become fewer each time.
+    """
+    side = lambda x: F.col(x).alias("node")
+    label, left = None, table_cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct())
     while True:
-        heard = both.join(label.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("m"))
-        step = label.join(heard, "node").select("node", F.col("comp").alias("old"), F.least("comp", "m").alias("mid"))
-        jump = step.join(label.select(F.col("node").alias("mid"), F.col("comp").alias("far")), "mid", "left")
-        after = cut(jump.select("node", "old", F.least("mid", F.coalesce("far", "mid")).alias("comp")))
-        if after.where("old <> comp").limit(1).count() == 0:
-            return after.select("node", "comp")
-        label = after.select("node", "comp")
+        near = left.select(side("a"), F.col("b").alias("other")).union(left.select(side("b"), F.col("a").alias("other")))
+        step = table_cut(near.groupBy("node").agg(F.least("node", F.min("other")).alias("to")))
+        if label is None:
+            label = step.select("node", F.col("to").alias("comp"))
+        else:
+            label = table_cut(label.join(step.select(F.col("node").alias("comp"), "to"), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp")))
+        end = lambda x: step.select(F.col("node").alias(x), F.col("to").alias(f"{x}_to"))  # noqa: B023,E731
+        moved = left.join(end("a"), "a").join(end("b"), "b").select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b"))
+        left = table_cut(moved.where("a < b").distinct())
+        if left.limit(1).count() == 0:
+            return label
+
+
+def merged(comp: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components after more links(a, b): only links between the former components are followed."""
+    if comp is None:
+        return components(links)
+    end = lambda x: comp.select(F.col("node").alias(x), F.col("comp").alias(f"{x}_in"))
+    between = links.join(end("a"), "a", "left").join(end("b"), "b", "left").select(F.coalesce("a_in", "a").alias("a"), F.coalesce("b_in", "b").alias("b"))
+    new = components(between)
+    old = comp.join(new.select(F.col("node").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+    return table_cut(old.unionByName(new.join(comp.select("node"), "node", "left_anti")))
 
 
 def linked_components(docs: DataFrame, nodes: DataFrame, members: DataFrame, percent: int, k: int) -> DataFrame | None:
     """(node, comp) of all linked nodes; nodes(node, doc_id, text_hash, n, counts, fine), members(key, leaves, node), docs(doc_id, text_hash, raw); None without a link."""
-    comp, links, tested, sides, texts, most = None, None, None, None, None, 1
+    comp, tested, sides, texts, most = None, None, None, None, 1
     points = nodes.select("node", "n", "counts")
     while True:
         now = members.withColumn("comp", F.col("node"))
@@ -368,9 +387,9 @@ def linked_components(docs: DataFrame, nodes: DataFrame, members: DataFrame, per
         texts = more if texts is None else texts.union(more)
         text = lambda x: texts.select(F.col("node").alias(x), F.col("raw").alias(f"r{x}"))
         new = table_cut(near.join(text("b"), "b").join(text("a"), "a").select("a", "b", "ra", "rb").mapInArrow(_verify(percent, k), "a bigint, b bigint"))
-        links, tested = (new, pairs) if links is None else (links.union(new), tested.union(pairs))
+        tested = pairs if tested is None else tested.union(pairs)
         if new.limit(1).count():
-            comp = components(links)
+            comp = merged(comp, new)
         # all pairs of the other keys have been tested
         left = found.where("more").select("key").distinct()
         if left.limit(1).count() == 0:
@@ -387,23 +406,25 @@ def grouped(docs: DataFrame, percent: int = 85, k: int = 4) -> DataFrame:
     """
     raw = F.col("text").cast("binary")
     docs = docs.select("doc_id", F.xxhash64(raw).alias("text_hash"), raw.alias("raw"))
-    all_sets = table_cut(sets(docs, cell_levels(docs, k), percent, k))
-    whole = all_sets.where("n > 0 and doc_id is not null")
-    heads = table_cut(whole.groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("r"), F.min(F.struct("doc_id", "text_hash")).alias("own")).select("digest", F.col("r.row").alias("node"), "own"))
-    nodes = all_sets.join(heads.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), "doc_id", "text_hash", "n", "counts", "fine")
-    keys = all_sets.where("size(keys) > 0").select(F.explode("keys").alias("key"), F.col("row").alias("node"))
-    shared = keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, "key bigint, node bigint")
-    # several tasks may have sent the keys of one set, each for its own row
-    copies = whole.where("size(keys) > 0").select("row", "digest").join(heads, "digest").where("row <> node").select("row", F.col("node").alias("head"))
-    shared = shared.withColumnRenamed("node", "row").join(copies, "row", "left").select("key", F.coalesce("head", "row").alias("node")).repartition("key").distinct()
-    sizes = shared.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / BLOCK).alias("leaves"))
-    members = table_cut(shared.join(sizes, "key"))
-    comp = linked_components(docs, nodes, members, percent, k)
-    label = heads.select("digest", F.col("own").alias("least"))
-    if comp is not None:
-        ids = heads.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        label = ids.join(ids.groupBy("comp").agg(F.min("own").alias("least")), "comp").select("digest", "least")
-    out = all_sets.select("doc_id", "text_hash", "n", "digest").join(label, "digest", "left")
+    with settings(docs.sparkSession, **UNBOUNDED):
+        all_sets = table_cut(sets(docs, cell_levels(docs, k), percent, k))
+        whole = all_sets.where("n > 0 and doc_id is not null")
+        heads = table_cut(whole.groupBy("digest").agg(F.min(F.struct("doc_id", "row")).alias("r"), F.min(F.struct("doc_id", "text_hash")).alias("own")).select("digest", F.col("r.row").alias("node"), "own"))
+        nodes = all_sets.join(heads.select(F.col("node").alias("row")), "row").select(F.col("row").alias("node"), "doc_id", "text_hash", "n", "counts", "fine")
+        keys = all_sets.where("size(keys) > 0").select(F.explode("keys").alias("key"), F.col("row").alias("node"))
+        shared = keys.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_shared, "key bigint, node bigint")
+        # several tasks may have sent the keys of one set, each for its own row
+        copies = whole.where("size(keys) > 0").select("row", "digest").join(heads, "digest").where("row <> node").select("row", F.col("node").alias("head"))
+        shared = shared.withColumnRenamed("node", "row").join(copies, "row", "left").select("key", F.coalesce("head", "row").alias("node")).repartition("key").distinct()
+        sizes = shared.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / BLOCK).alias("leaves"))
+        members = table_cut(shared.join(sizes, "key"))
+        comp = linked_components(docs, nodes, members, percent, k)
+        label = heads.select("digest", F.col("own").alias("least"))
+        if comp is not None:
+            ids = heads.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+            label = ids.join(ids.groupBy("comp").agg(F.min("own").alias("least")), "comp").select("digest", "least")
+        label = table_cut(label)
+    out = all_sets.select("doc_id", "text_hash", "n", "digest").join(label.hint("merge"), "digest", "left")
     linked = (F.col("n") > 0) & F.col("doc_id").isNotNull()
     first = F.coalesce((F.col("least.doc_id") == F.col("doc_id")) & (F.col("least.text_hash") == F.col("text_hash")), F.lit(True))
     component = F.when(F.col("doc_id").isNotNull(), F.when(linked, F.col("least.doc_id")).otherwise(F.col("doc_id")))
@@ -425,8 +446,9 @@ def without_near_copies(docs: DataFrame, percent: int = 80, k: int = 5) -> DataF
     groups = table_cut(grouped(docs, percent, k))
     marked = docs.withColumn("__hash", F.xxhash64(F.col("text").cast("binary")))
     gone = groups.where("not leader").select("doc_id", F.col("text_hash").alias("__hash")).distinct()
-    left = marked.join(gone, ["doc_id", "__hash"], "left_anti")
+    left = marked.join(gone.hint("merge"), ["doc_id", "__hash"], "left_anti")
     again = groups.where("leader and n_shingles > 0 and doc_id is not null").groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", F.col("text_hash").alias("__hash"))
+    again = again.hint("merge")
     if again.limit(1).count() == 0:
         return left.select(*names)
     once = left.join(again, ["doc_id", "__hash"], "left_semi").dropDuplicates(["doc_id", "__hash"])

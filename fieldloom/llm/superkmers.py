@@ -269,12 +269,12 @@ def repeats(docs: DataFrame, unique: bool, span: int = SPAN, mer: int = MER, mos
     twice = twice if unique else twice.distinct()
     codes = twice.groupBy("doc_id", "tag").agg(F.collect_list("code").alias("codes")).withColumnsRenamed({"doc_id": "id", "tag": "of"})
     one = docs if unique else docs.groupBy("doc_id", "tag").agg(F.first("text").alias("text"))
-    texts = one.join(codes, one["doc_id"].eqNullSafe(codes["id"]) & (one["tag"] == codes["of"])).select("doc_id", "tag", "text", "codes")
+    texts = one.join(codes.hint("merge"), one["doc_id"].eqNullSafe(codes["id"]) & (one["tag"] == codes["of"])).select("doc_id", "tag", "text", "codes")
     packed = texts.mapInArrow(_packed(span, mer), "mini bigint, part bigint, doc_id bigint, tag bigint, start bigint, packed binary")
     found = table_cut(packed.repartition("mini", "part").sortWithinPartitions("mini", "part", "doc_id", "tag", "start").mapInArrow(_bucket(span), FOUND))
     local = found.where("window is not null").select("window", F.struct("doc_id", "tag", "start").alias("place"))
     first = local.groupBy("window").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last").select("window", "first")
-    later = local.join(first, "window").where("place > first").select("place.*", F.lit(1).cast("bigint").alias("many"))
+    later = local.join(first.hint("merge"), "window").where("place > first").select("place.*", F.lit(1).cast("bigint").alias("many"))
     return found.where("window is null").select("doc_id", "tag", "start", "many").unionByName(later)
 
 
@@ -314,6 +314,6 @@ def dedup(docs: DataFrame, span: int = SPAN, mer: int = MER, most: int = MOST) -
     tag = F.lit(0).cast("bigint") if unique else F.xxhash64(F.col("text").cast("binary"))
     found = repeats(docs.select("doc_id", tag.alias("tag"), "text"), unique, span, mer, most)
     found = found.groupBy(F.col("doc_id").alias("__id"), F.col("tag").alias("__of")).agg(F.collect_list("start").alias("__starts"), F.collect_list("many").alias("__manys"))
-    joined_docs = docs.withColumn("__text", F.col("text")).join(found, docs["doc_id"].eqNullSafe(found["__id"]) & (tag == found["__of"]), "left").drop("__id", "__of")
+    joined_docs = docs.withColumn("__text", F.col("text")).join(found.hint("merge"), docs["doc_id"].eqNullSafe(found["__id"]) & (tag == found["__of"]), "left").drop("__id", "__of")
     schema = StructType([*docs.schema.fields, *(StructField(n, t) for n, t in zip(RESULTS, (LongType(), LongType(), StringType(), StringType())))])
     return joined_docs.mapInArrow(_removed(docs.columns, span), schema)

@@ -191,6 +191,30 @@ def test_deceiving_hashes_are_settled_by_words():
     assert superkmers.first_windows(packed, np.array([0, 0, 1]), row, opens, closes).tolist() == [True, True, True]
 
 
+def test_components_grow_link_by_link(spark):
+    """Chains, stars and random links, given in parts, equal a plain union of sets."""
+    import random
+
+    rnd = random.Random(6)
+    links = [(i, i + 1) for i in range(40)] + [(1000, i) for i in range(500, 540)] + [(rnd.randrange(2000, 2400), rnd.randrange(2000, 2400)) for _ in range(260)] + [(7, 1000), (5, 5)]
+    rnd.shuffle(links)
+    top = {}
+
+    def find(x):
+        while top.setdefault(x, x) != x:
+            x = top[x]
+        return x
+
+    comp = None
+    for part in (links[:150], links[150:160], links[160:]):
+        for a, b in part:
+            x, y = sorted((find(a), find(b)))
+            top[y] = x
+        comp = jaccard.merged(comp, spark.createDataFrame(part, "a bigint, b bigint"))
+        got = {r["node"]: r["comp"] for r in comp.collect()}
+        assert got == {x: find(x) for x in got} and set(top) - set(got) <= {5}
+
+
 def test_best_pairs_are_bounded(monkeypatch):
     """4,096 near copies in one key: few pairs are held at a time, each row keeps its best ones and the group is known to have more."""
     import numpy as np
