@@ -49,6 +49,11 @@ def normalized_key(text: Column) -> Column:
     return F.replace(normalized(text), F.lit(" "), F.lit(""))
 
 
+def plain_key(label: str) -> str:
+    """normalized_key of a text that the plan holds."""
+    return "".join(c for c in unicodedata.normalize("NFC", label) if c not in STRIPPED and c not in "\u200b\ufeff")
+
+
 def has_check_mark(text: Column) -> Column:
     return F.coalesce(text.rlike(CHECKED), F.lit(False))
 

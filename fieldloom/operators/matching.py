@@ -77,3 +77,36 @@ def matched_pages(scores: DataFrame, doc: str, page: str, threshold: float = 0.3
     free = lambda took, p: ~F.exists(took, lambda t: (t["rank"] == p["rank"]) | (t["page"] == p["page"]))
     took = F.aggregate("pairs", none, lambda took, p: F.when(free(took, p), F.concat(took, F.array(p))).otherwise(took))
     return pairs.select(doc, F.explode(took).alias("t")).select(doc, F.col("t.unit").alias("unit"), F.col("t.page").alias(page))
+
+
+def matched_bundles(scores: DataFrame, doc: str, page: str, threshold: float = 0.35, most: int = 200) -> DataFrame:
+    """(doc, bundle, unit, page): several copies of a form in one file, each a one-to-one matching of the units with the pages that are left.
+
+    Matchings as in matched_pages follow each other until one is empty, has fewer than half of the
+    first one's pages (halves to even, one at least), or `most` are found; bundles are numbered from 1
+    by their first page. The pairs of one document are one array, gone through once a bundle.
+    """
+    pair = F.struct((-F.col("ratio")).alias("order"), "rank", F.col(page).cast("bigint").alias("page"), "unit")
+    pairs = scores.where(F.col("ratio") >= threshold).groupBy(doc).agg(F.sort_array(F.collect_list(pair)).alias("pairs"), F.countDistinct(page).alias("_pages"))
+    kind = "array<struct<order: double, rank: int, page: bigint, unit: string>>"
+    none = F.expr(f"cast(array() as {kind})")
+    start = F.struct(F.expr(f"cast(array() as array<{kind}>)").alias("found"), F.expr("cast(array() as array<bigint>)").alias("used"), F.lit(False).alias("over"))
+
+    def step(state, _):
+        free = lambda took, p: ~F.array_contains(state["used"], p["page"]) & ~F.exists(took, lambda t: (t["rank"] == p["rank"]) | (t["page"] == p["page"]))
+        took = F.aggregate("pairs", none, lambda took, p: F.when(free(took, p), F.concat(took, F.array(p))).otherwise(took))
+
+        def judged(t):
+            least = F.greatest(F.lit(1), F.bround(F.size(F.get(state["found"], F.lit(0))) * 0.5).cast("int"))
+            stop = (F.size(t) == 0) | ((F.size(state["found"]) > 0) & (F.size(t) < least))
+            more = F.struct(F.concat(state["found"], F.array(t)).alias("found"), F.concat(state["used"], F.transform(t, lambda p: p["page"])).alias("used"), F.lit(False).alias("over"))
+            return F.when(stop, F.struct(state["found"].alias("found"), state["used"].alias("used"), F.lit(True).alias("over"))).otherwise(more)
+
+        return F.when(state["over"], state).otherwise(F.transform(F.array(took), judged)[0])
+
+    # no more bundles than pages that fit
+    rounds = F.sequence(F.lit(1), F.least(F.lit(most), F.col("_pages").cast("int")))
+    found = pairs.withColumn("_found", F.aggregate(rounds, start, step)["found"])
+    ordered = F.sort_array(F.transform("_found", lambda b: F.struct(F.array_min(F.transform(b, lambda p: p["page"])).alias("first"), b.alias("b"))))
+    out = found.select(doc, F.posexplode(ordered).alias("bundle", "b")).select(doc, (F.col("bundle") + 1).alias("bundle"), F.explode("b.b").alias("p"))
+    return out.select(doc, "bundle", F.col("p.unit").alias("unit"), F.col("p.page").alias(page))
