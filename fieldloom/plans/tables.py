@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import matching, specs
+from ..streaming import entries
 from .forms import read
 from .pages import UNITS
 
@@ -33,6 +34,16 @@ def fields(s, d):
     return specs.applied_specs(cells(s, d), ["event_id"], SPECS)
 
 
+KIND = "CASE event_id % 50 WHEN 11 THEN 'close' WHEN 23 THEN 'open' ELSE 'entry' END"
+ENTRY = "CASE WHEN event_id % 17 = 0 THEN 'bad id' ELSE concat('entry-', CAST(1000000 + event_id - event_id % 3 AS STRING)) END"
+
+
+def entries_received(s, d):
+    """Events as a stream of entries, of which some close and open their form again."""
+    events = s.readStream.schema(read(s, d, "events").schema).parquet(f"{d}/[e]vents.parquet")
+    return entries.drained(entries.received(events.selectExpr("event_type", "event_id AS at", f"{KIND} AS kind", f"{ENTRY} AS id"), "event_type"), "receipts")
+
+
 def queries() -> dict:
     page = lambda s, d: read(s, d, "documents").select(F.expr("doc_id div 12").alias("file"), (F.col("doc_id") % 12).alias("page"), "text")
     told = lambda m: F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
@@ -40,6 +51,7 @@ def queries() -> dict:
         "spec_fields": fields,
         "spec_records": lambda s, d: specs.mapped_records(fields(s, d), ["event_id"]).select("event_id", told("values").alias("values"), told("flags").alias("flags"), F.array_join("misaligned", ";").alias("misaligned"), "completeness"),
         "form_blocks": lambda s, d: specs.form_blocks(cells(s, d), ["event_id"], SIGNALS, ("photo",)),
+        "entries_received": entries_received,
         "bundle_match": lambda s, d: matching.matched_bundles(matching.label_scores(page(s, d), ["file", "page"], "text", UNITS), "file", "page"),
     }
 
@@ -53,6 +65,10 @@ def oracle_sql() -> dict[str, str]:
         "spec_fields": given,
         "spec_records": f"""SELECT event_id, {told('value', "status = 'ok'")} AS "values", {told('status', flagged)} AS flags, coalesce(string_agg(field, ';' ORDER BY field) FILTER (WHERE {flagged} AND status = 'anchor_missing'), '') AS misaligned,
 round_even(count(*) FILTER (WHERE status = 'ok') / count(*) FILTER (WHERE status = 'ok' OR ({flagged})), 2) AS completeness FROM ({given}) GROUP BY 1""",
+        "entries_received": f"""WITH e AS (SELECT event_type, event_id AS "at", {KIND} AS kind, {ENTRY.replace('AS STRING', 'AS VARCHAR')} AS id FROM events), c AS (SELECT *, coalesce(last_value(CASE kind WHEN 'close' THEN true WHEN 'open' THEN false END IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY "at" ROWS UNBOUNDED PRECEDING), false) AS closed FROM e),
+f AS (SELECT *, row_number() OVER (PARTITION BY event_type, id, kind = 'entry' AND NOT closed AND id <> 'bad id' ORDER BY "at") AS nth FROM c), r AS (SELECT *, CASE WHEN closed THEN 'closed' WHEN id = 'bad id' THEN 'invalid' WHEN nth = 1 THEN 'taken' ELSE 'duplicate' END AS status FROM f WHERE kind = 'entry'),
+n AS (SELECT *, CASE WHEN status = 'taken' THEN count(*) FILTER (WHERE status = 'taken') OVER (PARTITION BY event_type ORDER BY "at") END AS seq FROM r)
+SELECT event_type, "at", id, status, CASE WHEN status IN ('taken', 'duplicate') THEN max(seq) FILTER (WHERE status = 'taken') OVER (PARTITION BY event_type, id) END AS seq FROM n""",
         # kind 0 has three signals of the first form, kind 1 one of each and the photo's share is the largest, kind 2 three
         "form_blocks": "SELECT event_id, 'structure' AS form, 1.0::DOUBLE AS confidence, CASE event_id % 3 WHEN 0 THEN event_type || ' 보' ELSE '' END AS name, '' AS code, CASE event_id % 3 WHEN 0 THEN event_type || ' 천' ELSE '' END AS river FROM events WHERE event_id % 3 <> 1 UNION ALL SELECT event_id, 'structure', 0.5, '', 'A-7', '' FROM events WHERE event_id % 3 = 1",
     }
