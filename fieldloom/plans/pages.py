@@ -84,7 +84,7 @@ def oracle_sql() -> dict[str, str]:
         "page_assign": f"SELECT doc_id, CASE WHEN title_score >= 0.85 OR (title_score >= 0.7 AND ratio >= 0.25) OR (ratio >= 0.35 AND (ut = '' OR pt = '')) THEN unit END AS unit, round(0.6 * title_score + 0.4 * ratio, 6) AS score FROM ({chosen}) WHERE nth = 1",
         "line_buckets": f"WITH w AS ({PLACED}), g AS (SELECT doc_id, greatest(3.0, 0.6 * quantile_cont(y1 - y0, 0.5)) AS step FROM w GROUP BY 1) SELECT doc_id, round_even((y0 + y1) / 2 / step, 0)::BIGINT AS bucket, count(*) AS n_words, string_agg(word, ' ' ORDER BY x0, word) AS text FROM w JOIN g USING (doc_id) WHERE trim(word) <> '' GROUP BY doc_id, bucket",
         "offset_median": f"WITH f AS (SELECT doc_id, box_id, arg_min(y0 + 7 - ty, row(abs(y0 + 7 - ty), cell)) AS dy FROM ({cell}), {at} WHERE k = label AND length(k) >= 2 AND abs(y0 + 7 - ty) <= 60 AND x1 <= 620 GROUP BY 1, 2), m AS (SELECT doc_id, median(dy) AS mid FROM f GROUP BY 1 HAVING count(*) >= 3 AND abs(median(dy)) > 2) SELECT doc_id, median(dy) AS shift FROM f JOIN m USING (doc_id) WHERE abs(dy - mid) <= 4 GROUP BY 1 HAVING count(*) >= 3",
-        "nearest_label": f"WITH c AS ({cell}), l AS (SELECT * FROM (SELECT c.*, field, rel, row_number() OVER (PARTITION BY doc_id, field ORDER BY k <> label, (x0 - tx) ** 2 + (y0 - ty) ** 2, cell) AS nth FROM c, {wanted} WHERE contains(k, label)) WHERE nth = 1) SELECT l.doc_id, field, trim(regexp_replace(nfc_normalize(c.text), '{blanks}', ' ', 'g')) AS value FROM l JOIN c ON c.doc_id = l.doc_id AND c.cell = l.cell + CASE rel WHEN 'right' THEN 1 ELSE 12 END AND (rel = 'below' OR l.cell % 12 < 11)",
+        "nearest_label": f"WITH c AS MATERIALIZED ({cell}), b AS (SELECT d.k, b.* FROM (SELECT DISTINCT k FROM c) d, {wanted} WHERE contains(d.k, label)), l AS (SELECT * FROM (SELECT c.*, field, rel, row_number() OVER (PARTITION BY doc_id, field ORDER BY k <> label, (x0 - tx) ** 2 + (y0 - ty) ** 2, cell) AS nth FROM c JOIN b USING (k)) WHERE nth = 1) SELECT l.doc_id, field, trim(regexp_replace(nfc_normalize(c.text), '{blanks}', ' ', 'g')) AS value FROM l JOIN c ON c.doc_id = l.doc_id AND c.cell = l.cell + CASE rel WHEN 'right' THEN 1 ELSE 12 END AND (rel = 'below' OR l.cell % 12 < 11)",
         "numbered_lists": f"WITH i AS ({item}), s AS (SELECT *, min(CASE WHEN is_no THEN r END) OVER (PARTITION BY tbl) AS first FROM i), e AS (SELECT *, min(CASE WHEN r > first AND NOT is_no THEN r END) OVER (PARTITION BY tbl) AS stop FROM s) SELECT tbl, r::INT AS r, name, count FROM e WHERE r >= first AND r < coalesce(stop, 99) AND name <> ''",
         "safe_names": f"""SELECT event_id, coalesce(nullif(substring(trim(regexp_replace(coalesce({names}, ''), '[\\\\/:*?"<>|\\s\\x{{3000}}]+', '_', 'g'), '_'), 1, 40), ''), '양식') AS name FROM events""",
         "field_labels": f"SELECT event_id, coalesce(CASE WHEN event_id % 3 = 0 THEN nullif(trim(CASE WHEN event_id % 4 > 0 THEN event_type ELSE ' ' END), '') END, nullif(regexp_replace(trim(coalesce({names}, '')), '^P[0-9]+_', ''), ''), '항목') AS label FROM events",
