@@ -54,9 +54,11 @@ def tokens_of(tokens: Column) -> Column:
         circled = F.array_position(F.array(*map(F.lit, CIRCLED)), at(2)).cast("int")
         no = F.when(bare & (at(6) != ""), None).when(at(2) != "", circled).otherwise(F.coalesce(number(at(3)), number(at(4)), number(at(5))))
         damaged = rf"^{NUMBER}[^0-9０-９\s]?(.*)$"
-        return F.struct(
-            t.alias("t"), t.rlike(rf"^[{MARKS}]$").alias("mark"), no.alias("no"), texts.stripped(at(6)).alias("rest"), (at(1) != "").alias("marked"), bare.alias("bare"),
-            number(F.regexp_extract(t, damaged, 1)).alias("damaged"), texts.stripped(F.regexp_extract(t, damaged, 2)).alias("left"))
+        parts = lambda *values: F.struct(t.alias("t"), *[v.alias(n) for n, v in zip(("mark", "no", "rest", "marked", "bare", "damaged", "left"), values)])
+        whole = parts(t.rlike(rf"^[{MARKS}]$"), no, texts.stripped(at(6)), at(1) != "", bare, number(F.regexp_extract(t, damaged, 1)), texts.stripped(F.regexp_extract(t, damaged, 2)))
+        # most words begin like none of these and need no closer look
+        plain = parts(F.lit(False), F.lit(None).cast("int"), F.lit(""), F.lit(False), F.lit(False), F.lit(None).cast("int"), F.lit(""))
+        return F.when(t.rlike(rf"^[{MARKS}{CIRCLED}(0-9０-９]"), whole).otherwise(plain)
 
     read_all = F.transform(tokens, read)
     bound = F.array(F.struct(read_all.alias("a")))
