@@ -71,6 +71,31 @@ def settings(spark: SparkSession, **values):
 UNBOUNDED = {"spark__sql__autoBroadcastJoinThreshold": "-1", "spark__sql__adaptive__autoBroadcastJoinThreshold": "-1"}
 
 
+def sliced(run, rows: int = 2000):
+    """The same work on batches of at most so many rows; after a task a worker gives back the memory that it no longer uses."""
+
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, max(b.num_rows, 1), rows):
+                yield b.slice(at, rows)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(small(batches))
+        give_back()
+
+    return work
+
+
+def give_back() -> None:
+    """Freed memory of Arrow and of the allocator goes back to the system, since workers live on between tasks."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 class Cache(dict):
     """A word cache of bounded size: emptied when full, so results never depend on it."""
 

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from .common import hashed_words, table_cut
+from .common import hashed_words, sliced, table_cut
 
 SAMPLE, ROUNDS, SHAPES, WORDS, ENDINGS = 8000, 3, 8, 1 << 15, 256
 WIDTHS = (SHAPES + WORDS + ENDINGS, 897)
@@ -151,7 +151,7 @@ def views(docs: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *views_of(b).packed()], names=["doc_id", "shape", "words", "meta"])
 
-    return docs.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("bigint").alias("n_chars")).mapInArrow(run, PACKED)
+    return docs.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("bigint").alias("n_chars")).mapInArrow(sliced(run), PACKED)
 
 
 def sigmoid(z):
@@ -213,7 +213,7 @@ def surest(pool: DataFrame, models: list[np.ndarray], quota: tuple[int, int], ta
         yield pa.RecordBatch.from_arrays([pa.array(view), pa.array(at), pa.array(counts[view, at])], names=["view", "at", "n"])
 
     counts = np.zeros((2, BINS), np.int64)
-    for r in pool.mapInArrow(count, "view bigint, at bigint, n bigint").groupBy("view", "at").agg(F.sum("n").alias("n")).collect():
+    for r in pool.mapInArrow(sliced(count), "view bigint, at bigint, n bigint").groupBy("view", "at").agg(F.sum("n").alias("n")).collect():
         counts[r["view"], r["at"]] = r["n"]
     cuts = [(int(np.searchsorted(np.cumsum(c), quota[0])), BINS - 1 - int(np.searchsorted(np.cumsum(c[::-1]), quota[1]))) for c in counts]
 
@@ -225,7 +225,7 @@ def surest(pool: DataFrame, models: list[np.ndarray], quota: tuple[int, int], ta
                     part = b.take(pa.array(ok))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ok), view)), pa.array(np.full(len(ok), good)), pa.array(far[ok]), *part.columns], names=["view", "good", "far", *part.schema.names])
 
-    found = table_cut(pool.mapInArrow(pick, "view bigint, good bigint, far double, " + PACKED))
+    found = table_cut(pool.mapInArrow(sliced(pick), "view bigint, good bigint, far double, " + PACKED))
     out = []
     for view in (0, 1):
         for good in (0, 1):
@@ -298,7 +298,7 @@ def score(docs: DataFrame, model: dict | None, threshold: float = 0.5) -> DataFr
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *map(pa.array, p), pa.array((p[2] >= threshold) | (model is None))], names=[*names, *RESULTS])
 
     schema = StructType([*docs.schema.fields, *(StructField(n, BooleanType() if n == "kept" else DoubleType()) for n in RESULTS)])
-    return with_size.mapInArrow(run, schema)
+    return with_size.mapInArrow(sliced(run), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, rounds: int = ROUNDS, threshold: float = 0.5) -> DataFrame:

@@ -38,9 +38,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import A, UNBOUNDED, Cache, hashed_words, mix, settings, table_cut
+from .common import A, UNBOUNDED, Cache, hashed_words, mix, settings, sliced, table_cut
 
-GROUPS, CELLS, LEAF, BLOCK, FEW, PAIRS = 128, 1 << 16, 32, 4096, 8, 500_000
+GROUPS, CELLS, LEAF, BLOCK, FEW, PAIRS = 128, 1 << 16, 32, 4096, 8, 200_000
 FILTER = {
     "spark__sql__optimizer__runtime__bloomFilter__applicationSideScanSizeThreshold": "0",
     "spark__sql__optimizer__runtime__bloomFilter__creationSideThreshold": "1TB",
@@ -82,7 +82,7 @@ def cell_levels(docs: DataFrame, k: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["cell", "n"])
 
     counts = np.zeros(CELLS)
-    for r in docs.select("raw").mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+    for r in docs.select("raw").mapInArrow(sliced(run), "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).collect():
         counts[r["cell"]] = r["n"]
     return np.ceil(np.log2(np.maximum(counts / max(1.0, float(np.median(counts))) - 0.25, 1))).astype(np.uint8)
 
@@ -144,7 +144,7 @@ def sets(docs: DataFrame, levels: np.ndarray, percent: int, k: int) -> DataFrame
             columns = [pa.array(rows), ids, b.column("text_hash"), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array(counts, pa.binary()), pa.array(fine, pa.binary()), lists]
             yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "text_hash", "n", "digest", "counts", "fine", "keys"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(sliced(run), schema)
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +285,7 @@ def candidates(members: DataFrame, percent: int, most: int) -> DataFrame:
     """(key, a, b, more): pairs of one key and different comp that pass the bound, the best `most` of either end, and whether the key has more; members(key, leaves, node, comp, n, counts)."""
     met = members.withColumn("leaf", F.pmod(F.xxhash64("node"), "leaves")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("leaves") - 1)))
     met = met.select("key", F.least("leaf", "other").alias("lo"), F.greatest("leaf", "other").alias("hi"), "leaf", "node", "comp", "n", "counts")
-    return met.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "leaf").mapInArrow(_candidates(percent, most), "key bigint, a bigint, b bigint, more boolean")
+    return met.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "leaf").mapInArrow(sliced(_candidates(percent, most), 10_000), "key bigint, a bigint, b bigint, more boolean")
 
 
 def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,7 +386,7 @@ def linked_components(docs: DataFrame, nodes: DataFrame, members: DataFrame, per
             more = table_cut(docs.join(wanted, ["doc_id", "text_hash"]).select("node", "raw").mapInArrow(_compressed, "node bigint, raw binary").dropDuplicates(["node"]))
         texts = more if texts is None else texts.union(more)
         text = lambda x: texts.select(F.col("node").alias(x), F.col("raw").alias(f"r{x}"))
-        new = table_cut(near.join(text("b"), "b").join(text("a"), "a").select("a", "b", "ra", "rb").mapInArrow(_verify(percent, k), "a bigint, b bigint"))
+        new = table_cut(near.join(text("b"), "b").join(text("a"), "a").select("a", "b", "ra", "rb").mapInArrow(sliced(_verify(percent, k)), "a bigint, b bigint"))
         tested = pairs if tested is None else tested.union(pairs)
         if new.limit(1).count():
             comp = merged(comp, new)

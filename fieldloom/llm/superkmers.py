@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import A, B, both, hashed_words, in_order, mix, table_cut
+from .common import A, B, both, hashed_words, in_order, mix, sliced, table_cut
 
 SPAN, MER, MOST = 20, 6, 20_000
 RESULTS = ("n_words", "n_removed", "kept_sha256", "kept")
@@ -264,14 +264,14 @@ def _bucket(span: int, rows_at_once: int = 20_000):
 
 def repeats(docs: DataFrame, unique: bool, span: int = SPAN, mer: int = MER, most: int = MOST) -> DataFrame:
     """(doc_id, tag, start, many): ranges of windows that repeat an earlier one; docs(doc_id, tag, text), unique if no (doc_id, tag) comes twice."""
-    minis = docs.mapInArrow(_minimisers(span, mer), "mini bigint, doc_id bigint, tag bigint, code bigint")
+    minis = docs.mapInArrow(sliced(_minimisers(span, mer)), "mini bigint, doc_id bigint, tag bigint, code bigint")
     twice = minis.repartition("mini").sortWithinPartitions("mini", "doc_id", "tag", "code").mapInArrow(_repeated(most), "doc_id bigint, tag bigint, code bigint")
     twice = twice if unique else twice.distinct()
     codes = twice.groupBy("doc_id", "tag").agg(F.collect_list("code").alias("codes")).withColumnsRenamed({"doc_id": "id", "tag": "of"})
     one = docs if unique else docs.groupBy("doc_id", "tag").agg(F.first("text").alias("text"))
     texts = one.join(codes.hint("merge"), one["doc_id"].eqNullSafe(codes["id"]) & (one["tag"] == codes["of"])).select("doc_id", "tag", "text", "codes")
-    packed = texts.mapInArrow(_packed(span, mer), "mini bigint, part bigint, doc_id bigint, tag bigint, start bigint, packed binary")
-    found = table_cut(packed.repartition("mini", "part").sortWithinPartitions("mini", "part", "doc_id", "tag", "start").mapInArrow(_bucket(span), FOUND))
+    packed = texts.mapInArrow(sliced(_packed(span, mer)), "mini bigint, part bigint, doc_id bigint, tag bigint, start bigint, packed binary")
+    found = table_cut(packed.repartition("mini", "part").sortWithinPartitions("mini", "part", "doc_id", "tag", "start").mapInArrow(sliced(_bucket(span), 10_000), FOUND))
     local = found.where("window is not null").select("window", F.struct("doc_id", "tag", "start").alias("place"))
     first = local.groupBy("window").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last").select("window", "first")
     later = local.join(first.hint("merge"), "window").where("place > first").select("place.*", F.lit(1).cast("bigint").alias("many"))
@@ -316,4 +316,4 @@ def dedup(docs: DataFrame, span: int = SPAN, mer: int = MER, most: int = MOST) -
     found = found.groupBy(F.col("doc_id").alias("__id"), F.col("tag").alias("__of")).agg(F.collect_list("start").alias("__starts"), F.collect_list("many").alias("__manys"))
     joined_docs = docs.withColumn("__text", F.col("text")).join(found.hint("merge"), docs["doc_id"].eqNullSafe(found["__id"]) & (tag == found["__of"]), "left").drop("__id", "__of")
     schema = StructType([*docs.schema.fields, *(StructField(n, t) for n, t in zip(RESULTS, (LongType(), LongType(), StringType(), StringType())))])
-    return joined_docs.mapInArrow(_removed(docs.columns, span), schema)
+    return joined_docs.mapInArrow(sliced(_removed(docs.columns, span)), schema)
