@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from . import bpe, cascade, cotraining, fertility, fim, jaccard, matroska, neighbours, packing, periodic, pii, sharding, superkmers
 from .common import table
 
+#: bytes of a shard, few enough that small tables split too
+SHARD = 64 << 10
+
 
 def queries() -> dict:
     return {
@@ -14,7 +17,7 @@ def queries() -> dict:
         "op2_byte_bpe": lambda s, d: bpe.encode_documents(table(s, d, "documents")),
         "op3_jaccard_join": lambda s, d: jaccard.near_groups(table(s, d, "documents")),
         "op4_cotraining": lambda s, d: cotraining.classify(table(s, d, "documents"), table(s, d, "labels")).select("doc_id", "p_text", "p_meta", "score", "kept"),
-        "op5_extendible_hashing": lambda s, d: sharding.shards(table(s, d, "documents")),
+        "op5_extendible_hashing": lambda s, d: sharding.shards(table(s, d, "documents"), SHARD),
         "op6_matroska": lambda s, d: matroska.media_column(table(s, d, "documents")),
         "op7_pseudonyms": lambda s, d: pii.pseudonymise(table(s, d, "documents").select("doc_id", "text")).select("doc_id", "n_found", "n_changed", "text"),
         "op8_superkmers": lambda s, d: superkmers.dedup(table(s, d, "documents").select("doc_id", "text")).select("doc_id", "n_words", "n_removed", "kept_sha256"),
@@ -27,4 +30,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_extendible_hashing": sharding.oracle(), "op10_url_cascade": cascade.ORACLE}
+    return {"op5_extendible_hashing": sharding.oracle(SHARD), "op10_url_cascade": cascade.ORACLE}

@@ -77,10 +77,12 @@ def write_shards(docs: DataFrame, path: str, limit: int = 8 << 20) -> None:
 
 
 def oracle(limit: int = 8 << 20) -> str:
+    """Of all 64 bits; a text over the limit splits to the last and is then a part of its own."""
     return f"""
 WITH h AS (SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n_bytes, md5(coalesce(doc_id::VARCHAR, '')) AS m FROM documents),
-b AS (SELECT doc_id, n_bytes, (SELECT string_agg(lpad(bin(('0x' || substr(m, i, 1))::INT), 4, '0'), '' ORDER BY i) FROM range(1, 5) t(i)) AS bits FROM h),
-p AS (SELECT d, substr(bits, 1, d) AS node, sum(n_bytes) AS s FROM b, range(0, 17) r(d) GROUP BY ALL),
-l AS (SELECT doc_id, n_bytes, bits, (SELECT count(*) FROM p WHERE p.node = substr(bits, 1, p.d) AND p.s > {limit}) AS local_depth FROM b)
-SELECT doc_id, n_bytes, substr(bits, 1, local_depth) AS shard, local_depth::BIGINT AS local_depth, 0::BIGINT AS part, n_bytes > {limit} AS over_limit FROM l
+b AS (SELECT doc_id, n_bytes, (SELECT string_agg(lpad(bin(('0x' || substr(m, i, 1))::INT), 4, '0'), '' ORDER BY i) FROM range(1, 17) t(i)) AS bits FROM h),
+n AS (SELECT doc_id, n_bytes, substr(bits, 1, d) AS node FROM b, range(0, 65) r(d)),
+p AS (SELECT node FROM n GROUP BY 1 HAVING sum(n_bytes) > {limit}),
+l AS (SELECT doc_id, count(*) AS large FROM n JOIN p USING (node) GROUP BY 1)
+SELECT doc_id, n_bytes, substr(bits, 1, coalesce(large, 0)) AS shard, least(64, coalesce(large, 0))::BIGINT AS local_depth, CASE WHEN large > 64 THEN 3 * 1024 + 1 ELSE 0 END::BIGINT AS part, n_bytes > {limit} AS over_limit FROM b LEFT JOIN l USING (doc_id)
 """
