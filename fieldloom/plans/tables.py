@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import entries as sheets
 from ..operators import matching, specs
 from ..streaming import entries
 from .forms import read
@@ -34,10 +35,27 @@ def fields(s, d):
     return specs.applied_specs(cells(s, d), ["event_id"], SPECS)
 
 
+#: entries by their kind: values, meta, photos; {} is the event's type
+ENTRIES = [
+    ('{"이름": " {} ", "깊이": 2.0, "맑음": true, "종": [{"이름": "붕어", "수": 3}, "x", {"이름": "{}"}], "물": [{"수": 1.5}]}', '{"gps": {"lat": 37.5}}', '{"사진": "{}.jpg"}'),
+    ('{"이름": false, "깊이": "1,2", "맑음": "0", "물": []}', "{}", None),
+    ("no json", None, "[]"),
+]
+SHEET = [sheets.Field("제목", "title", value="조사표"), sheets.Field("이름"), sheets.Field("깊이", "number"), sheets.Field("맑음", "check", label="예"), sheets.Field("사진", "image"), sheets.Field("종", "table", columns=("이름", "수")), sheets.Field("물", "table", columns=("수",))]
+#: (kind, line, then 위도 to 물_수) that these entries give
+SHEET_ROWS = [(0, 0, "37.5", "", "", "조사표", "{}", "2", "예", "{}.jpg", "붕어", "3", "1.5"), (0, 1, "37.5", "", "", "조사표", "{}", "2", "예", "", "{}", "", ""), (1, 0, "", "", "", "조사표", "", "1,2", "", "", "", "", ""), (2, 0, "", "", "", "조사표", "", "", "", "", "", "", "")]
+
 KIND = "CASE event_id % 50 WHEN 11 THEN 'close' WHEN 23 THEN 'open' ELSE 'entry' END"
 ENTRY = "CASE WHEN event_id % 17 = 0 THEN 'bad id' ELSE concat('entry-', CAST(1000000 + event_id - event_id % 3 AS STRING)) END"
 
 
+def sheet_rows(s, d):
+    put = lambda t: F.lit(None).cast("string") if t is None else F.replace(F.lit(t), F.lit("{}"), F.col("event_type")) if t != "{}" else F.lit("{}")
+    made = F.get(F.array(*[F.struct(*[put(t).alias(n) for n, t in zip(("values", "meta", "photos"), e)]) for e in ENTRIES]), (F.col("event_id") % len(ENTRIES)).cast("int"))
+    e = read(s, d, "events").select(F.col("event_id").alias("seq"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created"), made.alias("e")).select("seq", "created", "e.*")
+    return sheets.entry_rows(e, SHEET, gps=True)
+
+
 def entries_received(s, d):
     """Events as a stream of entries, of which some close and open their form again."""
     events = s.readStream.schema(read(s, d, "events").schema).parquet(f"{d}/[e]vents.parquet")
@@ -52,6 +70,7 @@ def queries() -> dict:
         "spec_records": lambda s, d: specs.mapped_records(fields(s, d), ["event_id"]).select("event_id", told("values").alias("values"), told("flags").alias("flags"), F.array_join("misaligned", ";").alias("misaligned"), "completeness"),
         "form_blocks": lambda s, d: specs.form_blocks(cells(s, d), ["event_id"], SIGNALS, ("photo",)),
         "entries_received": entries_received,
+        "entry_sheet": sheet_rows,
         "bundle_match": lambda s, d: matching.matched_bundles(matching.label_scores(page(s, d), ["file", "page"], "text", UNITS), "file", "page"),
     }
 
@@ -61,7 +80,12 @@ def oracle_sql() -> dict[str, str]:
     given = f"SELECT event_id, field, replace(v, '{{}}', event_type) AS value, status, required FROM events JOIN (VALUES {rows}) AS g(kind, field, v, status, required) ON event_id % {len(TABLES)} = kind"
     told = lambda what, cond: f"coalesce(string_agg(field || '=' || {what}, ';' ORDER BY field) FILTER (WHERE {cond}), '')"
     flagged = "required AND status <> 'ok'"
+    names = [name for name, *_ in sheets.sheet_columns(SHEET, gps=True)][2:]
+    lines = ", ".join("(" + ", ".join(str(v) if isinstance(v, int) else f"'{v}'" for v in r) + ")" for r in SHEET_ROWS)
+    cells_of = ", ".join(f"""replace(c{i}, '{{}}', event_type) AS "{name}\"""" for i, name in enumerate(names))
     return {
+        "entry_sheet": f"""SELECT event_id AS seq, line::INT AS line, '기록 ' || event_id AS "_파일명", strftime(date_trunc('second', ts) + INTERVAL 9 HOUR, '%Y-%m-%d %H:%M') AS "기록일시", {cells_of}
+FROM events JOIN (VALUES {lines}) AS g(kind, line, {", ".join(f"c{i}" for i in range(len(names)))}) ON event_id % {len(ENTRIES)} = kind""",
         "spec_fields": given,
         "spec_records": f"""SELECT event_id, {told('value', "status = 'ok'")} AS "values", {told('status', flagged)} AS flags, coalesce(string_agg(field, ';' ORDER BY field) FILTER (WHERE {flagged} AND status = 'anchor_missing'), '') AS misaligned,
 round_even(count(*) FILTER (WHERE status = 'ok') / count(*) FILTER (WHERE status = 'ok' OR ({flagged})), 2) AS completeness FROM ({given}) GROUP BY 1""",
