@@ -27,6 +27,18 @@ def scores(gold: DataFrame, found: DataFrame, record: str, field: str) -> DataFr
     return j.groupBy(record).agg(F.count("*").alias("total"), F.count_if(ok).alias("correct")).withColumn("accuracy", F.bround(F.col("correct") / F.col("total"), 4))
 
 
+def score_report(scored: DataFrame, form: str, verified: str) -> DataFrame:
+    """(form, records, total, correct, accuracy, unverified): the sums of scores (form, verified, total, correct) by form, and of all with a null form.
+
+    accuracy is 0 without a field; unverified counts the records whose gold values nobody has checked.
+    Records with a null form count in the whole only.
+    """
+    sums = [F.count("*").alias("records"), F.sum("total").alias("total"), F.sum("correct").alias("correct"), F.count_if(~F.coalesce(F.col(verified), F.lit(False))).alias("unverified")]
+    both = scored.where(F.col(form).isNotNull()).groupBy(form).agg(*sums).unionByName(scored.agg(F.lit(None).cast(scored.schema[form].dataType).alias(form), *sums))
+    accuracy = F.when(F.coalesce("total", F.lit(0)) > 0, F.bround(F.col("correct") / F.col("total"), 4)).otherwise(0.0)
+    return both.select(form, "records", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("correct", F.lit(0)).alias("correct"), accuracy.alias("accuracy"), "unverified")
+
+
 def detected_forms(pages: DataFrame, page: str, text: str, signals: list[tuple[str, list[str]]]) -> DataFrame:
     """(page, form, confidence): the first form of the list with two signals or more in the text, else the best with one; null without any."""
     def best(blob):

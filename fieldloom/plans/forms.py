@@ -94,6 +94,7 @@ def queries() -> dict:
         "coord_range": lambda s, d: records.coordinate_flags(read(s, d, "events").select("event_id", F.when(F.col("event_id") % 10 == 0, "n/a").otherwise(F.concat(F.round(F.col("value") % 50, 2).cast("string"), F.lit("° N"))).alias("value")), 32.0, 40.0).select("event_id", "degrees", "is_outlier"),
         "merge_flags": lambda s, d: records.merged_flags(noisy(s, d).select("event_id", texts.value_flag(F.col("t"), F.lit(True)).alias("flag")), noisy(s, d).where("event_id % 3 = 0").select("event_id"), ["event_id"], "outlier"),
         "eval_score": lambda s, d: records.scores(gold(s, d), noisy(s, d).where("event_id % 5 > 0").select((F.col("event_id") - F.col("event_id") % 2).alias("event_id"), F.lit("f").alias("field"), F.col("t").alias("value")).groupBy("event_id", "field").agg(F.max("value").alias("value")), "event_id", "field"),
+        "eval_report": lambda s, d: records.score_report(read(s, d, "orders").select(F.nullif("o_orderstatus", F.lit("P")).alias("form"), (F.col("o_orderkey") % 3 > 0).alias("verified"), (F.col("o_orderkey") % 9).alias("total"), F.least(F.col("o_orderkey") % 9, F.col("o_custkey") % 7).alias("correct")), "form", "verified"),
         "detect_form": lambda s, d: records.detected_forms(read(s, d, "documents"), "doc_id", "text", SIGNALS),
         "dedup_boxes": lambda s, d: quality.unique_boxes(noisy(s, d).select("event_type", "event_id", F.coalesce("t", F.lit(" ")).alias("field")), "field", "event_id", ["event_type"]),
         "group_union": lambda s, d: records.grouped_fields(read(s, d, "conversations").select("role", (F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), F.concat(F.lit("f"), F.length("text") % 7).alias("field")), "role", "ord", "field"),
@@ -153,6 +154,9 @@ def oracle_sql() -> dict[str, str]:
 j AS (SELECT event_id, coalesce(t, '') AS g, coalesce(v, '') AS p FROM {noisy_sql} LEFT JOIN p USING (event_id)),
 m AS (SELECT event_id, CASE WHEN ({pure('g')}) IS NOT NULL AND ({pure('p')}) IS NOT NULL THEN ({pure('g')}) = ({pure('p')}) ELSE {canon('g')} = {canon('p')} END AS ok FROM j)
 SELECT event_id, count(*) AS total, count(*) FILTER (WHERE ok) AS correct, round_even(count(*) FILTER (WHERE ok) / count(*), 4) AS accuracy FROM m GROUP BY 1""",
+        "eval_report": """WITH s AS (SELECT nullif(o_orderstatus, 'P') AS form, o_orderkey % 3 > 0 AS verified, o_orderkey % 9 AS total, least(o_orderkey % 9, o_custkey % 7) AS correct FROM orders),
+g AS (SELECT form, grouping(form) AS whole, count(*) AS records, sum(total)::BIGINT AS total, sum(correct)::BIGINT AS correct, count(*) FILTER (WHERE NOT verified) AS unverified FROM s GROUP BY GROUPING SETS ((form), ()))
+SELECT form, records, total, correct, round_even(correct / total, 4) AS accuracy, unverified FROM g WHERE whole = 1 OR form IS NOT NULL""",
         "detect_form": f"""WITH b AS (SELECT doc_id, {key('text')} AS b FROM documents), n AS (SELECT doc_id, {scored} FROM b), r AS (SELECT *, CASE {strong} {weak} END AS i FROM n)
 SELECT doc_id, CASE i {form} END AS form, coalesce(CASE i {conf} END, 0)::DOUBLE AS confidence FROM r""",
         "dedup_boxes": f"""WITH n AS (SELECT event_type, event_id, coalesce(t, ' ') AS field, coalesce(nullif({strip("coalesce(t, ' ')")}, ''), '항목') AS name FROM {noisy_sql}),

@@ -91,3 +91,10 @@ def test_corrections_touch_known_records_only(spark):
 def test_upsert_takes_one_row_whole(spark):
     rows = spark.createDataFrame([("k", 1, "a", "z"), ("k", 5, "b", "x"), ("k", 5, "c", "a")], "k string, at int, p string, q string")
     assert [tuple(r) for r in stores.upsert_last(rows, "k", "at", ["p", "q"]).collect()] == [("k", 1, "c", "a")]
+
+
+def test_score_report(spark):
+    df = spark.createDataFrame([("a", True, 3, 2), ("a", None, 1, 1), (None, False, 4, 0), ("b", True, 0, 0)], "form string, verified boolean, total int, correct int")
+    got = {r["form"]: tuple(r)[1:] for r in records.score_report(df, "form", "verified").collect()}
+    assert got == {"a": (2, 4, 3, 0.75, 1), "b": (1, 0, 0, 0.0, 0), None: (4, 8, 3, 0.375, 2)}
+    assert [tuple(r) for r in records.score_report(df.where("false"), "form", "verified").collect()] == [(None, 0, 0, 0, 0.0, 0)]
