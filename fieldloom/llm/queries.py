@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from . import bpe, cascade, cotraining, fertility, fim, jaccard, matroska, neighbours, packing, periodic, pii, sharding, superkmers
 from .common import table
 
-#: bytes of a shard, few enough that small tables split too
-SHARD = 64 << 10
+#: bytes of a shard
+SHARD = 8 << 20
 
 
 def queries() -> dict:
