@@ -34,9 +34,9 @@ def parsed(s, d):
 
 
 def queries() -> dict:
-    told = F.array_join(F.transform("choices", lambda c: F.concat(c["no"].cast("string"), F.lit(":"), c["text"], F.when(c["marked"], "*").otherwise(""))), ";")
+    told = lambda: F.array_join(F.transform("choices", lambda c: F.concat(c["no"].cast("string"), F.lit(":"), c["text"], F.when(c["marked"], "*").otherwise(""))), ";")
     return {
-        "parse_survey": lambda s, d: parsed(s, d).select("c_custkey", "nth", "no", "qid", "text", told.alias("choices"), F.array_join("free", "|").alias("free")),
+        "parse_survey": lambda s, d: parsed(s, d).select("c_custkey", "nth", "no", "qid", "text", told().alias("choices"), F.array_join("free", "|").alias("free")),
         "survey_answers": lambda s, d: surveys.survey_answers(parsed(s, d), "c_custkey"),
         "survey_pages": lambda s, d: surveys.survey_pages(parsed(s, d), columns.ordered_lines(page_words(s, d), "c_custkey", "pos"), "c_custkey"),
     }
