@@ -1,8 +1,8 @@
 """Substring dedup by super-k-mer partitioning.
 
 A window is 20 consecutive words. Its minimiser is the least hash among its
-runs of 6 words. Consecutive windows of one minimiser form a super-k-mer;
-equal windows always lie in super-k-mers of one minimiser.
+runs of 6 words. Consecutive windows of one minimiser form a super-k-mer, cut
+after LONGEST windows; equal windows always lie in super-k-mers of one minimiser.
 
 First only minimisers and places move: sorted by minimiser, those that occur
 twice or more are known exactly, and all other super-k-mers stay where they
@@ -17,7 +17,10 @@ A bucket takes at most MOST super-k-mers. A minimiser with more is split in
 parts by place: each part settles the repeats within it and passes on one
 first place per window (under a 128-bit digest of its words); the least of
 those, aggregated per window, settles the rest. Of minimisers alone, which are
-a few numbers each and only streamed, one task reads all that are equal.
+a few numbers each and only streamed, one task reads all that are equal. Texts
+and super-k-mers come to Python in batches of about 4 MiB (a setting that stays,
+unless the session has its own), and buckets are settled some 4 MiB or 10,000
+super-k-mers at once, or a larger bucket alone.
 
 Null text has no words. Documents of under 20 words are never changed. Null ids
 sort first. Rows with one doc_id and different texts are documents of their
@@ -38,9 +41,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from .common import A, B, both, hashed_words, in_order, mix, sliced, table_cut
+from .common import A, B, both, hashed_words, in_order, mix, sliced, small_batches, table_cut
 
-SPAN, MER, MOST = 20, 6, 20_000
+SPAN, MER, MOST, LONGEST = 20, 6, 10_000, 32
 RESULTS = ("n_words", "n_removed", "kept_sha256", "kept")
 
 
@@ -63,6 +66,10 @@ def runs(h: np.ndarray, places: np.ndarray, span: int, mer: int) -> tuple[np.nda
     begins[places[:-1]] = True
     first = np.flatnonzero(whole & (begins[: len(low)] | np.append(True, (low[1:] != low[:-1]) | ~whole[:-1])))
     many = np.add.reduceat(np.append(whole, False).astype(np.int64), first) if len(first) else none
+    # long runs (of texts that repeat themselves) in pieces
+    pieces = -(-many // LONGEST)
+    skip = LONGEST * in_order(np.zeros(len(first), np.int64), pieces)
+    first, many = np.repeat(first, pieces) + skip, np.minimum(np.repeat(many, pieces) - skip, LONGEST)
     mini, last = low[first], first + many - 1
     hits = np.add.reduceat(np.append((m[: len(low)] == low) & whole, False).astype(np.int64), first) if len(first) else none
     for i in range(1, size):
@@ -192,7 +199,7 @@ def first_windows(packed: pa.Array, bucket: np.ndarray, row: np.ndarray, opens:
 FOUND = "window binary, doc_id bigint, tag bigint, start bigint, many bigint"
 
 
-def _bucket(span: int, rows_at_once: int = 20_000):
+def _bucket(span: int, rows_at_once: int = 10_000, bytes_at_once: int = 4 << 20):
     """Ranges of windows that repeat an earlier one of their bucket; of parts also each window's first place.
 
     Rows arrive in the order of minimiser, part, document and place.
@@ -248,7 +255,7 @@ def _bucket(span: int, rows_at_once: int = 20_000):
             if not b.num_rows:
                 continue
             held.append(b)
-            if sum(x.num_rows for x in held) < rows_at_once:
+            if sum(x.num_rows for x in held) < rows_at_once and sum(x.nbytes for x in held) < bytes_at_once:
                 continue
             t = pa.Table.from_batches(held)
             mini, part = t.column("mini").to_numpy(), t.column("part").to_numpy()
@@ -271,7 +278,7 @@ def repeats(docs: DataFrame, unique: bool, span: int = SPAN, mer: int = MER, mos
     one = docs if unique else docs.groupBy("doc_id", "tag").agg(F.first("text").alias("text"))
     texts = one.join(codes.hint("merge"), one["doc_id"].eqNullSafe(codes["id"]) & (one["tag"] == codes["of"])).select("doc_id", "tag", "text", "codes")
     packed = texts.mapInArrow(sliced(_packed(span, mer)), "mini bigint, part bigint, doc_id bigint, tag bigint, start bigint, packed binary")
-    found = table_cut(packed.repartition("mini", "part").sortWithinPartitions("mini", "part", "doc_id", "tag", "start").mapInArrow(sliced(_bucket(span), 10_000), FOUND))
+    found = table_cut(packed.repartition("mini", "part").sortWithinPartitions("mini", "part", "doc_id", "tag", "start").mapInArrow(sliced(_bucket(span)), FOUND))
     local = found.where("window is not null").select("window", F.struct("doc_id", "tag", "start").alias("place"))
     first = local.groupBy("window").agg(F.min("place").alias("first"), F.max("place").alias("last")).where("first < last").select("window", "first")
     later = local.join(first.hint("merge"), "window").where("place > first").select("place.*", F.lit(1).cast("bigint").alias("many"))
@@ -309,6 +316,7 @@ def _removed(names: list[str], span: int):
 
 def dedup(docs: DataFrame, span: int = SPAN, mer: int = MER, most: int = MOST) -> DataFrame:
     """docs with (n_words, n_removed, kept_sha256, kept): the words that stay, joined by a space; kept is the text itself if nothing goes."""
+    small_batches(docs.sparkSession)
     docs = docs.drop(*RESULTS)
     unique = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() == 0
     tag = F.lit(0).cast("bigint") if unique else F.xxhash64(F.col("text").cast("binary"))

@@ -353,6 +353,44 @@ def test_superkmers(spark, docs, rows, empty, most):
     assert superkmers.dedup(empty).count() == 0
 
 
+def test_superkmers_of_texts_that_repeat_themselves(spark):
+    """Their long super-k-mers come in pieces; the result is that of brute force, also with minimisers in parts."""
+    import numpy as np
+
+    line = " ".join(f"l{i}" for i in range(23))
+    texts = {1: "a " * 300, 2: "b c " * 150, 3: f"{line} " * 12, 4: "c b " * 90 + "a " * 70, 5: f"x {line} " * 3 + "b c " * 40, 6: "d " * 19}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    for most in (superkmers.MOST, 3):
+        got = superkmers.dedup(docs, most=most).collect()
+        assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} == _dedup(texts)
+    row, start, many, _, twice = superkmers.runs(np.array([7] * 300 + [9] * 45, np.uint64), np.array([0, 300, 345]), 20, 6)
+    assert many.max() <= superkmers.LONGEST and twice.all()
+    assert [many[row == r].sum() for r in (0, 1)] == [281, 26]
+    assert all((start[row == r] == np.append(0, np.cumsum(many[row == r])[:-1])).all() for r in (0, 1))
+
+
+def test_superkmers_hold_few_bytes(spark):
+    """Batches that go to Python are small unless the session says otherwise, and so are the buckets that a task settles at once."""
+    import pyarrow as pa
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    sizes = lambda: [r["m"] for r in spark.range(0, 9000, 1, 1).selectExpr("repeat('x', 1000) t").mapInArrow(lambda it: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["m"]) for b in it), "m long").collect()]
+    docs = spark.createDataFrame([(1, "a b")], "doc_id bigint, text string")
+    spark.conf.unset(key)
+    try:
+        superkmers.dedup(docs)
+        assert max(sizes()) < 5 << 20
+        spark.conf.set(key, "64m")
+        superkmers.dedup(docs)
+        assert spark.conf.get(key) == "64m"
+    finally:
+        spark.conf.unset(key)
+    long = " ".join("w" * 15_000 for _ in range(20)).encode()
+    batches = [pa.RecordBatch.from_pydict({"mini": [i], "part": [-1], "doc_id": [i], "tag": [0], "start": [0], "packed": [long]}) for i in range(60)]
+    batches = [b.set_column(5, "packed", b.column("packed").cast(pa.binary())) for b in batches]
+    assert len(list(superkmers._bucket(20)(iter(batches)))) >= 4
+
+
 def test_sharding_of_one_id(spark, tmp_path):
     """Many rows of one id: no part exceeds the limit but single rows that do, and every row is written once."""
     sizes = [400, 900, 1000, 501, 500, 1, 1300] * 300
