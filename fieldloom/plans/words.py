@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import texts
 from ..operators import columns, labels
+from ..operators.gathered import gathered
 from .forms import BLANKS, WORDS, read
 
 #: a page of twelve words a line; every fifth document has a wider gap in the middle
@@ -15,8 +16,10 @@ WIDTH = 640.0
 PLACE = f"doc_id, word, pos, {X0} AS x0, {X0} + 4 * length(word) AS x1, {LINE} * 14.0 AS y0, {LINE} * 14.0 + 10 AS y1, {WIDTH} AS width"
 
 
-def laid(s, d):
-    w = read(s, d, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "word")).where("word <> ''")
+def laid(s, d, together=False):
+    """Words of documents on pages; `together`: one page after another."""
+    docs = read(s, d, "documents").select("doc_id", "text")
+    w = (gathered(docs, "doc_id") if together else docs).select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "word")).where("word <> ''")
     return w.selectExpr(*[f"CAST({e.strip().split(' AS ')[0]} AS DOUBLE) AS {e.strip().split(' AS ')[1]}" if " AS " in e else e.strip() for e in PLACE.split(", ")])
 
 
@@ -34,10 +37,9 @@ def marks(s, d):
 
 
 def queries() -> dict:
-    found = lambda s, d: labels.label_words(laid(s, d), dictionary(s, d), "doc_id", "pos")
-    value = lambda relation: lambda s, d: labels.label_values(laid(s, d), found(s, d), "doc_id", "pos", relation)
+    value = lambda relation: lambda s, d: labels.labelled_values(laid(s, d, True), dictionary(s, d), "doc_id", "pos", relation, together=True)
     return {
-        "label_words": found,
+        "label_words": lambda s, d: labels.label_words(laid(s, d, True), dictionary(s, d), "doc_id", "pos", together=True),
         "label_value_right": value("right"),
         "label_value_below": value("below"),
         "column_split": lambda s, d: columns.column_split(laid(s, d), "doc_id").withColumn("split", F.round("split", 6)),
