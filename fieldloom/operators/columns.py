@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import texts
+from .gathered import floats, gathered, low, page_numbers, whole_pages
 
 #: bins over a page's width, and between which of them a band between columns may begin
 BINS, FROM, UNTIL = 200, 60, 140
@@ -44,12 +50,90 @@ def column_split(words: DataFrame, page: str) -> DataFrame:
     return w.groupBy(page).agg(F.count("*").alias("n_words")).join(two, page, "left")
 
 
-def ordered_lines(words: DataFrame, page: str, order: str) -> DataFrame:
-    """(page, line_no, words): the lines of each page from 1 on, the left column's before the right one's; words are structs (x0, order, word, y0, x1, y1) from left to right."""
-    w = words.where(texts.stripped(F.col("word")) != "").join(column_split(words, page).select(page, "split"), page)
-    w = w.withColumn("_side", F.coalesce(((F.col("x0") + F.col("x1")) / 2 >= F.col("split")).cast("int"), F.lit(0)))
-    lines = stepped_lines(w, [page, "_side"]).groupBy(page, "_side", "line").agg(F.sort_array(F.collect_list(F.struct("x0", order, "word", "y0", "x1", "y1"))).alias("words"))
-    return lines.select(page, F.row_number().over(Window.partitionBy(page).orderBy("_side", "line")).alias("line_no"), "words")
+def middles(groups: np.ndarray, values: np.ndarray, many: int) -> np.ndarray:
+    """The median of each group's values, NaN left out; NaN without any."""
+    some = ~np.isnan(values)
+    groups, values = groups[some], values[some]
+    by = np.lexsort((values, groups))
+    n = np.bincount(groups, minlength=many)
+    begin, out = np.cumsum(n) - n, np.full(many, np.nan)
+    full = n > 0
+    at = lambda k: values[by[(begin + k)[full]]]
+    out[full] = 0.5 * at((n - 1) // 2) + 0.5 * at(n // 2)
+    return out
+
+
+def stepped(groups: np.ndarray, y0: np.ndarray, y1: np.ndarray, many: int) -> np.ndarray:
+    """The lines of stepped_lines; NaN for words without a place."""
+    return np.rint((y0 + y1) / 2 / np.fmax(3.0, 0.6 * middles(groups, y1 - y0, many))[groups])
+
+
+def page_splits(pages: np.ndarray, x0: np.ndarray, x1: np.ndarray, y0: np.ndarray, y1: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """The split of each page by the rules of column_split, NaN with one column."""
+    many = int(pages[-1]) + 1
+    sized = width > 0
+    pages, x0, x1, y0, y1, width = (c[sized] for c in (pages, x0, x1, y0, y1, width))
+    bins = [np.where(np.isnan(x), BINS - 1, np.clip(np.floor(x / width * BINS), 0, BINS - 1)).astype(np.int64) for x in (x0, x1)]
+    edges = np.bincount(pages * (BINS + 1) + np.minimum(*bins), minlength=many * (BINS + 1)) - np.bincount(pages * (BINS + 1) + np.maximum(*bins) + 1, minlength=many * (BINS + 1))
+    empty = edges.reshape(many, BINS + 1).cumsum(axis=1).T == 0
+    run, wide, share = np.zeros(many, np.int64), np.full(many, int(np.ceil(0.03 * BINS)) - 1), np.full(many, np.nan)
+    for b in range(FROM, BINS):
+        run = np.where(empty[b], run + 1, 0)
+        first = b - run + 1
+        better = (run > wide) & (first < UNTIL)
+        wide = np.where(better, run, wide)
+        share = np.where(better, (run + 2 * first) / 2 / BINS, share)
+    split = share[pages] * width
+    # a word without a place lies on neither side
+    met = ~np.isnan(x0 + x1) & ~np.isnan(split)
+    side = pages[met] * 2 + ((x0 + x1) / 2 >= split)[met]
+    line = stepped(side, y0[met], y1[met], 2 * many)
+    n = np.bincount(side, minlength=2 * many).reshape(many, 2)
+    placed = ~np.isnan(line)
+    lines = np.bincount(np.unique(np.c_[side[placed], line[placed]], axis=0)[:, 0].astype(np.int64), minlength=2 * many).reshape(many, 2)
+    out = np.full(many, -np.inf)
+    np.maximum.at(out, pages[met], split[met])
+    two = (n.min(axis=1) > 0) & (n.sum(axis=1) >= 20) & (n.min(axis=1) >= 0.15 * n.sum(axis=1)) & (lines.min(axis=1) >= 3)
+    return np.where(two, out, np.nan)
+
+
+def ranks(column: pa.ChunkedArray) -> np.ndarray:
+    """Numbers that sort like the values, nulls first."""
+    return pc.rank(column.combine_chunks(), null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64)
+
+
+def table_lines(t: pa.Table, page: str, order: str) -> pa.RecordBatch:
+    """The lines of a table of whole pages."""
+    pages = page_numbers(t[page])
+    x0, x1, y0, y1, width = (floats(t[c]) for c in ("x0", "x1", "y0", "y1", "width"))
+    side = ((x0 + x1) / 2 >= page_splits(pages, x0, x1, y0, y1, width)[pages]).astype(np.int64)
+    line = low(stepped(pages * 2 + side, y0, y1, 2 * int(pages[-1]) + 2))
+    keys = [pages, side, line, low(x0), ranks(t[order])]
+    by = np.lexsort(keys[::-1])
+    same = lambda keys: np.logical_and.reduce([k[by][1:] == k[by][:-1] for k in keys])
+    if same(keys).any():
+        by = np.lexsort([low(y1), low(x1), low(y0), ranks(t["word"]), *keys[::-1]])
+    begin = np.flatnonzero(np.r_[True, ~same(keys[:3])])
+    words = t.take(pa.array(by))
+    inner = pa.StructArray.from_arrays([words[c].combine_chunks() for c in ("x0", order, "word", "y0", "x1", "y1")], ["x0", order, "word", "y0", "x1", "y1"])
+    of = pages[by][begin]
+    number = np.arange(len(begin)) - np.searchsorted(of, of) + 1
+    return pa.RecordBatch.from_arrays([words[page].take(pa.array(begin)).combine_chunks(), pa.array(number, pa.int32()), pa.ListArray.from_arrays(pa.array(np.r_[begin, len(by)], pa.int32()), inner)], [page, "line_no", "words"])
+
+
+def ordered_lines(words: DataFrame, page: str, order: str, together: bool = False) -> DataFrame:
+    """(page, line_no, words): the lines of each page from 1 on, the left column's before the right one's; words are structs (x0, order, word, y0, x1, y1) from left to right.
+
+    With `together` the words of a page lie gathered already, else they are shuffled; a page's lines follow each other.
+    """
+    w = words.where(F.col(page).isNotNull() & (texts.stripped(F.col("word")) != "")).select(page, order, "word", *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1", "width")])
+    kind = {c: w.schema[c].dataType.simpleString() for c in (page, order)}
+    schema = f"{page} {kind[page]}, line_no int, words array<struct<x0: double, {order}: {kind[order]}, word: string, y0: double, x1: double, y1: double>>"
+
+    def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return (table_lines(t, page, order) for t in whole_pages(batches, page))
+
+    return (w if together else gathered(w, page)).mapInArrow(lines, schema)
 
 
 def even_columns(marks: DataFrame, keys: list[str], x: str, least: int = 3, slack: float = 0.25) -> DataFrame:

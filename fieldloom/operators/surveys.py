@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from math import isnan
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -130,14 +131,11 @@ def short_label(words: Column) -> Column:
 
 
 def line_features(lines: DataFrame, page: str) -> DataFrame:
-    """What each line of lines(page, line_no, words) is by itself: text, distance, choices, label and the parts of a question number."""
+    """What each line of lines(page, line_no, words) is by itself: text, place, choices, label and the parts of a question number."""
     t = lines.withColumn("_t", F.transform("words", lambda w: texts.stripped(w["word"])))
-    w = Window.partitionBy(page).orderBy("line_no")
     high = median(F.transform("words", lambda x: x["y1"] - x["y0"]))
     cy = (F.get("words", F.lit(0))["y0"] + F.get("words", F.lit(0))["y1"]) / 2
-    t = t.withColumn("_cy", cy).withColumn("_high", high)
-    dy = F.coalesce(F.col("_cy") - F.lag("_cy").over(w), F.lit(0.0))
-    t = t.withColumn("close", (dy >= 0) & (dy < F.greatest(F.lit(8.0), 2.2 * F.col("_high"))))
+    t = t.withColumn("cy", cy).withColumn("near", F.greatest(F.lit(8.0), 2.2 * high))
     t = t.withColumn("joined", texts.normalized(joined(F.col("_t")))).withColumn("_first", F.get("_t", F.lit(0))).withColumn("_tail", F.slice("_t", 2, F.size("_t")))
     t = t.withColumn("_c", line_choices(F.col("_t"))).withColumn("_d", line_choices(F.col("_tail")))
     at = lambda c, pattern, k: F.regexp_extract(c, pattern, k)
@@ -153,7 +151,7 @@ def line_features(lines: DataFrame, page: str) -> DataFrame:
     listed = (pick(3) == ")") & F.col("_first").rlike(rf"^\(?{NUMBER}\)$") & F.exists("_tail", lambda x: number(F.regexp_extract(x, rf"^\(?{NUMBER}\)$", 1)) == F.col("no") + 1)
     inner = F.when(F.col("kind") == "whole", F.col("_c")).otherwise(F.col("_d"))
     return t.select(
-        page, "line_no", "joined", "close", ((F.col("joined") == "") | F.col("joined").rlike(NOISE)).alias("noise"), F.col("_c.c").alias("choices"), short_label(F.col("_c.lead")).alias("lead_label"),
+        page, "line_no", "joined", "cy", "near", ((F.col("joined") == "") | F.col("joined").rlike(NOISE)).alias("noise"), F.col("_c.c").alias("choices"), short_label(F.col("_c.lead")).alias("lead_label"),
         (F.size("_c.lead") > 0).alias("has_lead"), short_label(F.col("_t")).alias("label"), "kind", pick(1).alias("pre"), F.col("no").alias("number"), number(at(F.col("_first"), sub, 2)).alias("sub"),
         pick(3).alias("style"), texts.normalized(text).alias("question"), F.coalesce(listed, F.lit(False)).alias("listed"), inner["c"].alias("inner"), texts.normalized(joined(inner["lead"])).alias("inner_lead"))
 
@@ -165,7 +163,8 @@ class Fold:
         self.out: list[dict] = []
         self.last: int | None = None
         self.prefix = self.name = ""
-        self.name_above = False
+        self.name_above = self.close = False
+        self.cy: float | None = None
 
     def begin(self, **more) -> None:
         self.out.append({"no": None, "qid": "", "text": "", "choices": [], "free": []} | more)
@@ -185,6 +184,13 @@ class Fold:
         return (x.number, f"{x.pre}{x.number}", x.pre) if fits else None
 
     def line(self, x) -> None:
+        """The next line of the page; close: it lies just below the one before, be that noise or not."""
+        dy = 0.0 if self.cy is None or isnan(x.cy) or isnan(self.cy) else x.cy - self.cy
+        self.close, self.cy = 0 <= dy < x.near, x.cy
+        if not x.noise:
+            self.read(x)
+
+    def read(self, x) -> None:
         cur = self.out[-1] if self.out else None
         nos = [c["no"] for c in x.choices]
         goes_on = bool(cur and cur["choices"] and nos and nos[0] == cur["choices"][-1]["no"] + 1 and (not x.has_lead or x.lead_label))
@@ -214,18 +220,18 @@ class Fold:
             unnumbered = cur["no"] is None
             if unnumbered and not cur["text"]:
                 cur["text"] = x.label
-            elif unnumbered and self.name_above and x.close and x.label != cur["text"] and len((cur["text"] + x.label).replace(" ", "")) <= NAME:
+            elif unnumbered and self.name_above and self.close and x.label != cur["text"] and len((cur["text"] + x.label).replace(" ", "")) <= NAME:
                 cur["text"] += " " + x.label
                 self.name_above = False
             else:
                 self.name = x.label
-        elif not cur["choices"] and not cur["free"] and x.close and not cur["text"].rstrip().endswith(ENDS):
+        elif not cur["choices"] and not cur["free"] and self.close and not cur["text"].rstrip().endswith(ENDS):
             cur["text"] = f"{cur['text']} {x.joined}".strip()
         else:
             cur["free"].append(x.joined)
 
 
-def parsed_surveys(words: DataFrame, page: str, order: str) -> DataFrame:
+def parsed_surveys(words: DataFrame, page: str, order: str, together: bool = False) -> DataFrame:
     """(page, nth, no, qid, text, choices, free): the questions of each page of words(page, order, width, word, box), in order.
 
     A question begins with its number, one more than the last (a page's first may be any, two may be
@@ -233,9 +239,10 @@ def parsed_surveys(words: DataFrame, page: str, order: str) -> DataFrame:
     one. Choices go on while their numbers do; a new group without a number is a question by the short
     name beside, above or below it. no is null for parts and for named groups; without a name the id is
     their place. Other lines continue a question without choices or are its answers in words. Pages
-    without words or without a key have no rows; a null word is blank.
+    without words or without a key have no rows; a null word is blank. With `together` the words of a
+    page lie gathered already, else they are shuffled.
     """
-    lines = line_features(columns.ordered_lines(words.where(F.col(page).isNotNull()), page, order), page).where("not noise")
+    lines = line_features(columns.ordered_lines(words, page, order, together), page)
     schema = f"{page} {lines.schema[page].dataType.simpleString()}, {QUESTIONS}"
 
     def rows(at, state: Fold) -> Iterator[tuple]:
@@ -255,7 +262,7 @@ def parsed_surveys(words: DataFrame, page: str, order: str) -> DataFrame:
             out = []
         yield frame(list(rows(at, state)))
 
-    return lines.repartition(page).sortWithinPartitions(page, "line_no").mapInPandas(fold, schema)
+    return lines.mapInPandas(fold, schema)
 
 
 def survey_answers(questions: DataFrame, page: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import columns, surveys
+from ..operators.gathered import gathered
 from .forms import read
 
 #: lines of a page by its kind; {} is the customer's segment
@@ -23,14 +24,14 @@ GIVEN = [
 
 def page_words(s, d):
     lines = F.array(*[F.array(*[F.replace(F.lit(line), F.lit("{}"), F.col("c_mktsegment")) for line in page]) for page in PAGES])
-    page = read(s, d, "customer").select("c_custkey", F.posexplode(F.get(lines, (F.col("c_custkey") % len(PAGES)).cast("int"))).alias("line", "text"))
+    page = gathered(read(s, d, "customer").select("c_custkey", "c_mktsegment"), "c_custkey").select("c_custkey", F.posexplode(F.get(lines, (F.col("c_custkey") % len(PAGES)).cast("int"))).alias("line", "text"))
     w = page.select("c_custkey", "line", F.posexplode(F.split("text", " ")).alias("nth", "word"))
     x0, y0 = F.col("nth") * 40.0, F.col("line") * 14.0
     return w.select("c_custkey", (F.col("line") * 100 + F.col("nth")).alias("pos"), "word", x0.alias("x0"), (x0 + 30).alias("x1"), y0.alias("y0"), (y0 + 10).alias("y1"), F.lit(640.0).alias("width"))
 
 
 def parsed(s, d):
-    return surveys.parsed_surveys(page_words(s, d), "c_custkey", "pos")
+    return surveys.parsed_surveys(page_words(s, d), "c_custkey", "pos", together=True)
 
 
 def queries() -> dict:
@@ -38,7 +39,7 @@ def queries() -> dict:
     return {
         "parse_survey": lambda s, d: parsed(s, d).select("c_custkey", "nth", "no", "qid", "text", told().alias("choices"), F.array_join("free", "|").alias("free")),
         "survey_answers": lambda s, d: surveys.survey_answers(parsed(s, d), "c_custkey"),
-        "survey_pages": lambda s, d: surveys.survey_pages(parsed(s, d), columns.ordered_lines(page_words(s, d), "c_custkey", "pos"), "c_custkey"),
+        "survey_pages": lambda s, d: surveys.survey_pages(parsed(s, d), columns.ordered_lines(page_words(s, d), "c_custkey", "pos", together=True), "c_custkey"),
     }
 
 

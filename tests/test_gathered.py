@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from fieldloom.operators import labels
+from fieldloom.operators import columns, labels
 
 SF = "/root/testdata/sf0.001"
 WORD = "page int, pos int, word string, x0 double, x1 double, y0 double, y1 double, width double"
@@ -64,3 +64,34 @@ def test_label_of_page_dealt_over_rows(spark, seed):
     words = scattered(spark, [1, 1, 2], seed).withColumn("pos", F.monotonically_increasing_id() % 50)
     found = labels.label_words(words, spark.createDataFrame([("ab",)], "label string"), "page", "pos")
     assert found.count() == found.select("page").distinct().count()
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_lines_split_as_the_columns_do(spark, seed):
+    """Lines follow column_split: the first lines hold the words left of the split, each in steps of the side's own height."""
+    r, rows = random.Random(seed), []
+    for p in range(12):
+        right = r.choice((250.0, 330.0, 420.0))
+        for i in range(r.randrange(10, 70)):
+            x, y = r.choice((0.0, 60.0, 120.0, right, right + 60)), 14.0 * r.randrange(6) + r.random() * 5
+            rows.append((p, i, r.choice("abc"), None if r.random() < 0.01 else x, x + 40, y, y + r.choice((8, 10)), r.choice((640.0, 640.0, 640.0, 0.0, None)) if p == 3 else 640.0))
+    words = spark.createDataFrame(rows, WORD).cache()
+    splits = {x["page"]: x["split"] for x in columns.column_split(words, "page").collect()}
+    assert None in splits.values() or len({*splits.values()}) > 1
+    w = words.join(columns.column_split(words, "page").select("page", "split"), "page").withColumn("side", F.coalesce(((F.col("x0") + F.col("x1")) / 2 >= F.col("split")).cast("int"), F.lit(0)))
+    by = {}
+    for x in columns.stepped_lines(w, ["page", "side"]).collect():
+        by.setdefault((x["page"], x["side"], x["line"]), []).append((-1 if x["x0"] is None else x["x0"], x["pos"]))
+    want = {}
+    for key in sorted(by):
+        want.setdefault(key[0], []).append([pos for _, pos in sorted(by[key])])
+    got = {}
+    for x in sorted(columns.ordered_lines(words, "page", "pos").collect(), key=lambda x: (x["page"], x["line_no"])):
+        got.setdefault(x["page"], []).append([v["pos"] for v in x["words"]])
+        assert x["line_no"] == len(got[x["page"]])
+    assert got == want
+
+
+@pytest.mark.parametrize("name", ["survey_lines", "parse_survey", "survey_answers", "survey_pages"])
+def test_lines_move_texts_only(spark, name):
+    assert all("Generate posexplode" not in x or "MapInArrow" in x or "MapInPandas" in x for x in shuffled(entry.queries()[name](spark, SF)))
