@@ -43,7 +43,7 @@ def queries() -> dict:
         "label_value_right": value("right"),
         "label_value_below": value("below"),
         "column_split": lambda s, d: columns.column_split(laid(s, d), "doc_id").withColumn("split", F.round("split", 6)),
-        "survey_lines": lambda s, d: columns.ordered_lines(laid(s, d), "doc_id", "pos").select("doc_id", "line_no", F.md5(F.array_join(F.transform("words", lambda w: w["word"]), " ")).alias("digest")),
+        "survey_lines": lambda s, d: columns.ordered_lines(laid(s, d, True), "doc_id", "pos", together=True).select("doc_id", "line_no", F.md5(F.array_join(F.transform("words", lambda w: w["word"]), " ")).alias("digest")),
         "even_columns": lambda s, d: columns.even_columns(marks(s, d), ["user_id", "head"], "x").withColumn("x", F.round("x", 6)),
     }
 
