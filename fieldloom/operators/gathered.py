@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame
 def gathered(rows: DataFrame, page: str) -> DataFrame:
     """rows, those of one page one after another in one partition; what explode makes of them lies so too.
 
-    Rows of words take several times the space of the texts that they are made from: gather those.
+    Rows of words take several times the space of the texts that they are made from: gather those. As
+    many tasks as shuffles have: by the few bytes of the texts, Spark would merge them into one or two.
     """
-    return rows.repartition(page).sortWithinPartitions(page)
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), page).sortWithinPartitions(page)
 
 
 def runs(keys: pa.Array | pa.ChunkedArray) -> np.ndarray:
